@@ -6,7 +6,8 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ["spatial_queries"]
+_MODULES = ["spatial_queries", "feature_queries", "profile_queries", "timeseries_queries",
+            "prepare_queries", "evaluate_queries", "model_queries", "source_queries"]
 
 for _m in _MODULES:
     try:
