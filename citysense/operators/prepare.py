@@ -16,6 +16,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Ve
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .stats import exact_quantiles, ordered_prefix
 
 HASH_BUCKETS_HEX = 5  # leading hex digits used as a uniform, order-preserving bucket
@@ -197,9 +198,12 @@ def preprocess_classification(df: DataFrame, target: str = "arrest", test_frac:
     train = df.where(F.col("split") == "train")
     df = median_impute(df, nums, train)
     df = standardise(df, nums, df.where(F.col("split") == "train"))
+    # cut lineage: the fitted statistics are scalar subqueries over the input,
+    # and encoder fitting plus every model iteration would re-run them
+    df = materialize(df.select(id_col, "split", "label", *nums, "is_weekend", *cats))
     enc = fit_one_hot_drop_first(df.where(F.col("split") == "train"), cats)
     inputs = nums + ["is_weekend"] + [f"{c}_ohe" for c in cats]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     model = PipelineModel(stages=list(enc.stages) + [assembler])
-    out = model.transform(df).select(id_col, "split", "label", "features")
+    out = materialize(model.transform(df).select(id_col, "split", "label", "features"))
     return out, model

@@ -58,6 +58,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def materialize(df):
+    """Cut lineage before iterative work (model fits): a reliable checkpoint.
+
+    Written to the shared checkpoint folder, so a lost executor does not send
+    every ML iteration back through the whole preparation plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
