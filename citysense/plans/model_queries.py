@@ -21,7 +21,7 @@ from ..operators import prepare as PR
 from ..operators import sampling as SM
 from ..operators import spatial as S
 from ..operators import timeseries as TS
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import area_safety as AS
 from . import fixtures as fx
 from .registry import register
@@ -119,7 +119,7 @@ def j4_area_safety_report(spark, sf):
 @register("j5_grid_search")
 def j5_grid_search(spark, sf):
     prof = S.cell_profile(fx.incidents(spark, sf))
-    prof = M.stratified_folds(prof.withColumnRenamed("safety_label", "label"), "label", "grid_cell", k=5)
+    prof = materialize(M.stratified_folds(prof.withColumnRenamed("safety_label", "label"), "label", "grid_cell", k=5))
     rf = M.random_forest(num_trees=20, seed=42)
     pipe = M.classifier_pipeline(AS.PROFILE_FEATURES, rf)
     grid = M.param_grid(rf, maxDepth=[3, 6], numTrees=[10, 20])
