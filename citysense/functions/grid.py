@@ -67,18 +67,15 @@ class Grid:
         n = len(edges)
         lo, hi = edges[0], edges[-1]
         step = (hi - lo) / (n - 1)
-        arr = _lit_array(edges)
-        # guess of #{edges <= x}, clipped into [0, n]
-        guess = F.floor((x - F.lit(lo)) / F.lit(step)).cast("int") + 1
-        guess = F.least(F.greatest(guess, F.lit(0)), F.lit(n))
-        # exact fix-up against the neighbouring edge literals (1-based access)
-        below = F.try_element_at(arr, F.greatest(guess, F.lit(1)))          # edges[guess-1]
-        above = F.try_element_at(arr, F.least(guess + 1, F.lit(n)))          # edges[guess]
-        cnt = (F.when((guess >= 1) & (below > x), guess - 1)
-                .when((guess < n) & (above <= x), guess + 1)
-                .otherwise(guess))
-        idx = F.least(F.greatest(cnt - 1, F.lit(0)), F.lit(n - 2))
-        return F.when(x.isNotNull(), idx)
+        # edges padded with -inf/+inf: the neighbour lookups need no range guards
+        padded = _lit_array([float("-inf"), *edges, float("inf")])
+        # g = guess of #{edges <= x}, clipped into [0, n]; off by at most one near an edge
+        g = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(step)).cast("int") + 1, F.lit(0)), F.lit(n))
+        # exact fix-up: padded[g] is edges[g-1], padded[g+1] is edges[g] (0-based)
+        cnt = (g - (F.element_at(padded, g + 1) > x).cast("int")
+               + (F.element_at(padded, g + 2) <= x).cast("int"))
+        # least/greatest skip NULLs, so a NULL x is guarded explicitly
+        return F.when(x.isNotNull(), F.least(F.greatest(cnt - 1, F.lit(0)), F.lit(n - 2)))
 
     def lat_index(self, lat: str | Column = "latitude") -> Column:
         return self.axis_index(F.col(lat) if isinstance(lat, str) else lat, self.lat_edges)

@@ -79,10 +79,7 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", group
         F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("neg"))
     pre = ordered_prefix(agg, "score", ["pos", "neg"], g)
-    if g:
-        tot = agg.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-        return pre.join(tot, g)
-    return pre.withColumns({"P": agg.select(F.sum("pos")).scalar(), "N": agg.select(F.sum("neg")).scalar()})
+    return pre.withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", group_cols: Sequence[str] = ()) -> DataFrame:

@@ -97,7 +97,7 @@ def stratified_folds(df: DataFrame, label: str = "label", id_col: str = "id", k:
                      out: str = "fold") -> DataFrame:
     """Fold ids 0..k-1 dealt round-robin in hash order within each class (exactly stratified)."""
     ranked = _ranked_by_hash(df, id_col, [label], seed)
-    return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_h")
+    return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_n", "_h")
 
 
 def grid_search(pipeline: Pipeline, grid, train: DataFrame, label: str = "label", fold_col: str = "fold",

@@ -48,16 +48,13 @@ def _ranked_by_hash(df: DataFrame, id_col: str, partition_cols: Sequence[str], s
     keyed = df.withColumns({"_h": h, "_one": F.lit(1)})
     bucket = F.conv(F.substring(F.col("_h"), 1, HASH_BUCKETS_HEX), 16, 10).cast("long")
     out = ordered_prefix(keyed, "_h", ["_one"], partition_cols, bucket=bucket)
-    return out.withColumnRenamed("_one_upto", "_rank").drop("_one")
+    return out.withColumnsRenamed({"_one_upto": "_rank", "_one_total": "_n"}).drop("_one")
 
 
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", test_frac: float = 0.3,
                      seed: int = 42) -> DataFrame:
     """I4: per class, the ``ceil(test_frac * n_class)`` rows first in hash order are 'test'."""
-    ranked = _ranked_by_hash(df, id_col, [label], seed)
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # n has one row per class; AQE broadcasts it.
-    out = ranked.join(n, label)
+    out = _ranked_by_hash(df, id_col, [label], seed)  # carries the class size as _n
     return out.withColumn("split", F.when(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test_frac)), "test")
                           .otherwise("train")).drop("_rank", "_n", "_h")
 
@@ -113,7 +110,7 @@ def undersample(df: DataFrame, label: str = "label", id_col: str = "id", ratio:
     keep = F.floor(n_min / F.lit(ratio))
     ranked = _ranked_by_hash(df, id_col, [label], seed)
     return (ranked.where((F.col(label) == minority) | (F.col("_rank") <= keep))
-                  .drop("_rank", "_h"))
+                  .drop("_rank", "_n", "_h"))
 
 
 def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced",

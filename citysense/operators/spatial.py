@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.grid import DEFAULT_GRID, Grid, euclid
 from ..functions.spatial import add_hotspot_distances
@@ -65,10 +66,18 @@ def safety_threshold(counts: DataFrame, percentile: float = DEFAULT_PERCENTILE)
     return counts.where(F.col("n") > 0).select(F.percentile(F.col("n"), percentile / 100.0)).scalar()
 
 
+def threshold_over_cells(n: Column, percentile: float = DEFAULT_PERCENTILE) -> Column:
+    """Window form of :func:`safety_threshold` for a frame keyed by cell (<= n_cells rows).
+
+    Evaluated in the same pass as the counts instead of as a second job over
+    the input; the un-partitioned window holds at most ``n_cells`` rows.
+    """
+    return F.percentile(F.when(n > 0, n), percentile / 100.0).over(Window.partitionBy()).cast("double")
+
+
 def area_safety_labels(dense: DataFrame, percentile: float = DEFAULT_PERCENTILE) -> DataFrame:
     """``(cell, n, threshold, safety_label)``; unsafe (1) when n >= threshold."""
-    thr = safety_threshold(dense, percentile)
-    return dense.select("cell", "n", thr.cast("double").alias("threshold")).withColumn(
+    return dense.select("cell", "n", threshold_over_cells(F.col("n"), percentile).alias("threshold")).withColumn(
         "safety_label", (F.col("n") >= F.col("threshold")).cast("int"))
 
 
@@ -89,7 +98,7 @@ def grid_stats(labels: DataFrame) -> DataFrame:
 
 def map_layers(labels: DataFrame, grid: Grid = DEFAULT_GRID) -> DataFrame:
     """Occupied cells with centre, label and heat intensity ``min(1, n / max n)``."""
-    max_n = labels.select(F.max("n")).scalar()
+    max_n = F.max("n").over(Window.partitionBy())  # labels: <= n_cells rows
     return (with_centres(labels.where(F.col("n") > 0), grid)
             .select("cell", "lat_c", "lon_c", "n", "safety_label",
                     F.least(F.lit(1.0), F.col("n") / max_n).alias("heat")))
@@ -182,8 +191,8 @@ def cell_profile(df: DataFrame, grid: Grid = DEFAULT_GRID, percentile: float = D
         F.avg(F.col("is_night").cast("int")).alias("is_night_mean"),
         F.avg(F.col("is_weekend").cast("int")).alias("is_weekend_mean"),
     )
-    # The label threshold comes from the same cell counts.
-    thr = safety_threshold(prof.select(F.col("cell_crime_count").alias("n")), percentile)
+    # The label threshold comes from the same cell counts (<= n_cells rows).
+    thr = threshold_over_cells(F.col("cell_crime_count"), percentile)
     return prof.withColumn("safety_label", (F.col("cell_crime_count") >= thr).cast("int"))
 
 

@@ -28,7 +28,8 @@ def default_buckets(df: DataFrame) -> int:
 
 def ordered_prefix(df: DataFrame, order_col: str, measures: Sequence[str], partition_cols: Sequence[str] = (),
                    buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
-    """Add ``<m>_upto``: sum of ``m`` over rows with key <= this row's key (same partition).
+    """Add ``<m>_upto``: sum of ``m`` over rows with key <= this row's key (same partition),
+    and ``<m>_total``: the partition's sum.
 
     Input rows must be unique on ``(partition_cols, order_col)`` (pre-aggregate
     first); then ``<m>_upto - m`` is the strictly-smaller sum. ``bucket`` may
@@ -48,8 +49,10 @@ def ordered_prefix(df: DataFrame, order_col: str, measures: Sequence[str], parti
         b = df.withColumn("_bucket", bucket)
     totals = b.groupBy(*p, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     wb = Window.partitionBy(*p).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*p, "_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(wb), F.lit(0)).alias(f"_o_{m}")
-                                             for m in measures])
+    wall = Window.partitionBy(*p)
+    offsets = totals.select(*p, "_bucket",
+                            *[F.coalesce(F.sum(f"_t_{m}").over(wb), F.lit(0)).alias(f"_o_{m}") for m in measures],
+                            *[F.sum(f"_t_{m}").over(wall).alias(f"{m}_total") for m in measures])
     # offsets: one row per (partition, bucket); with no partition columns that
     # is at most `buckets` rows -> broadcast. Otherwise AQE decides by size.
     joined = b.join(F.broadcast(offsets) if not p else offsets, [*p, "_bucket"])
@@ -70,11 +73,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     v = F.col(value_col)
     vc = df.where(v.isNotNull()).groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     pre = ordered_prefix(vc, "_v", ["_c"], g, buckets)
-    if g:
-        # one row per group; AQE broadcasts it when small
-        pre = pre.join(vc.groupBy(*g).agg(F.sum("_c").alias("_n")), g)
-    else:
-        pre = pre.withColumn("_n", vc.agg(F.sum("_c")).scalar())
+    pre = pre.withColumnRenamed("_c_total", "_n")
     aggs = []
     for i, q in enumerate(probs):
         pos = (F.col("_n") - 1) * F.lit(float(q))

@@ -22,6 +22,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Whole-stage generated methods of the feature/grid projections exceed
+    # HotSpot's 8000-byte JIT limit; let the JIT compile them (set the same
+    # on executors of a cluster).
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
