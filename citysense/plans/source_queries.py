@@ -70,7 +70,10 @@ def a4_source_query(spark, sf):
     return RD.source_query(fx.incidents(spark, sf), 5000).select("id", "case_number", "date", "description")
 
 
-@register("a5_write_snapshot")
+@register("a5_write_snapshot", with_views("incidents") + "select id, case_number, date, primary_type, description, "
+          "arrest, round(latitude, 6) as latitude, round(longitude, 6) as longitude, location_description, "
+          "cast(district as bigint) as district, cast(community_area as bigint) as community_area from incidents "
+          "where latitude is not null and longitude is not null")
 def a5_write_snapshot(spark, sf):
     path = _scratch(spark, "a5")
     WR.write_raw_snapshot(fx.incidents(spark, sf), path, fmt="parquet")
@@ -93,7 +96,9 @@ def a7_write_report(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-@register("a8_persist_splits")
+@register("a8_persist_splits", with_views("scored") + "select id, cast(label as bigint) as label, round(score, 6) as score, "
+          "cast(pred as bigint) as pred, cast(hour as bigint) as hour, cast(district as bigint) as district, "
+          "'test' as split from scored where substr(md5('42:' || cast(id as varchar)), 1, 8) < '33333333'")
 def a8_persist_splits(spark, sf):
     path = _scratch(spark, "a8")
     WR.write_splits(PR.random_split(fx.scored(spark, sf), "id", 0.2, 42), path)
