@@ -15,6 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialize
 from .stats import exact_quantiles, ordered_prefix
@@ -91,26 +92,28 @@ def mode_impute(df: DataFrame, cols: Sequence[str], train: DataFrame | None = No
 
 def standardise(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
     """``(x - mean) / std_pop`` with train statistics; zero std scales by 1."""
-    fit = (train if train is not None else df).agg(
-        *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    # one pass for every statistic, shipped as one scalar struct
+    fit = (train if train is not None else df).select(F.struct(
+        *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).alias("st"))
+    stats = fit.scalar()
+    out = df.withColumn("_st", stats)
     cols_out = {}
     for c in cols:
-        m = fit.select(f"m_{c}").scalar()
-        s = fit.select(f"s_{c}").scalar()
+        m, s = F.col(f"_st.m_{c}"), F.col(f"_st.s_{c}")
         cols_out[c] = (F.col(c) - m) / F.when((s == 0) | s.isNull(), F.lit(1.0)).otherwise(s)
-    return df.withColumns(cols_out)
+    return out.withColumns(cols_out).drop("_st")
 
 
 def undersample(df: DataFrame, label: str = "label", id_col: str = "id", ratio: float = 0.8,
                 seed: int = 42) -> DataFrame:
     """Keep every minority row and the first ``int(n_min / ratio)`` majority rows in hash order."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n_min = counts.select(F.min("_n")).scalar()
-    minority = counts.select(F.min_by(label, F.struct("_n", label))).scalar()
-    keep = F.floor(n_min / F.lit(ratio))
-    ranked = _ranked_by_hash(df, id_col, [label], seed)
-    return (ranked.where((F.col(label) == minority) | (F.col("_rank") <= keep))
-                  .drop("_rank", "_n", "_h"))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    # (size, label) of the smallest class as one scalar
+    smallest = counts.select(F.min(F.struct(F.col("_c").alias("n"), F.col(label).alias("label")))).scalar()
+    ranked = _ranked_by_hash(df, id_col, [label], seed).withColumn("_min", smallest)
+    keep = F.floor(F.col("_min.n") / F.lit(ratio))
+    return (ranked.where((F.col(label) == F.col("_min.label")) | (F.col("_rank") <= keep))
+                  .drop("_rank", "_n", "_h", "_min"))
 
 
 def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced",
@@ -122,8 +125,9 @@ def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced",
             expr = F.when(F.col(label) == F.lit(k), F.lit(float(w))).otherwise(expr)
         return df.withColumn(out, expr)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.select(F.sum("_nc")).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
+    # counts has one row per class: totals by a window over it, no extra job
+    allc = Window.partitionBy()
+    total, k = F.sum("_nc").over(allc), F.count(F.lit(1)).over(allc)
     w = counts.select(label, (total / (k * F.col("_nc")) if mode == "balanced" else 1.0 / F.col("_nc")).alias(out))
     # one row per class
     return df.join(F.broadcast(w), label, "left")

@@ -25,13 +25,21 @@ from ..session import materialize, scratch_path
 from . import area_safety as AS
 from . import fixtures as fx
 from .registry import register
+from .sqlviews import with_views
 
 
 def _prepared(spark, sf):
     return PR.preprocess_classification(fx.incidents(spark, sf))
 
 
-@register("i1_one_hot_drop_first")
+def _onehot_sql(value: str, levels: str) -> str:
+    return f"list_transform({levels}, lambda l: cast(case when {value} = l then 1 else 0 end as double))"
+
+
+@register("i1_one_hot_drop_first", with_views("incidents") + ", lv as (select list_sort(list_distinct(list(dayname(date)))) "
+          "as dl, list_sort(list_distinct(list(location_description))) as ll from incidents) "
+          f"select id, {_onehot_sql('dayname(date)', 'dl[2:]')} as day_of_week_ohe, "
+          f"{_onehot_sql('location_description', 'll[2:]')} as location_description_ohe from incidents, lv")
 def i1_one_hot_drop_first(spark, sf):
     inc = fx.incidents(spark, sf).withColumn("day_of_week", F.date_format("date", "EEEE"))
     model = PR.fit_one_hot_drop_first(inc, ["day_of_week", "location_description"])
@@ -40,7 +48,10 @@ def i1_one_hot_drop_first(spark, sf):
                       vector_to_array("location_description_ohe").alias("location_description_ohe"))
 
 
-@register("i2_one_hot_all_levels")
+@register("i2_one_hot_all_levels", with_views("incidents") + ", sp as (select *, case when substr(md5('42:' || "
+          "cast(id as varchar)), 1, 8) < '33333333' then 'test' else 'train' end as split from incidents), "
+          "lv as (select list_sort(list_distinct(list(location_description))) as ll from sp where split = 'train') "
+          f"select id, split, {_onehot_sql('location_description', 'll')} as ohe from sp, lv")
 def i2_one_hot_all_levels(spark, sf):
     inc = PR.random_split(fx.incidents(spark, sf), "id", 0.2, 42)
     model = PR.one_hot_all_levels(["location_description"]).fit(inc.where(F.col("split") == "train"))
@@ -70,7 +81,8 @@ def i12_preprocess_classification(spark, sf):
     return out.select("id", "split", "label", vector_to_array("features").alias("features"))
 
 
-@register("b15_assemble")
+@register("b15_assemble", with_views("scored") + "select id, [cast(hour as double), cast(district as double), score] "
+          "as features from scored")
 def b15_assemble(spark, sf):
     df = CL.assemble(fx.scored(spark, sf), ["hour", "district", "score"], "features")
     return df.select("id", vector_to_array("features").alias("features"))
