@@ -63,13 +63,40 @@ def _scored_features(spark, sf):
     return CL.assemble(sc, ["hour", "district", "score"], "features")
 
 
-@register("i8_smote")
+def _unit_sql(tag: str) -> str:
+    key = f"'42:' || cast(r.id as varchar) || ':' || cast(r.copy as varchar) || ':{tag}'"
+    return f"(cast(cast('0x' || substr(md5({key}), 1, 12) as bigint) as double) / cast({16 ** 12} as double))"
+
+
+_D2 = " + ".join(f"(n.x[{i}] - r.x[{i}]) * (n.x[{i}] - r.x[{i}])" for i in (1, 2, 3))
+_SMOTE_SQL = (
+    with_views("scored") + ", b as (select id, label, [cast(hour as double), cast(district as double), score] as x "
+    "from scored), "
+    "m as (select id, x, row_number() over (order by md5('42:' || cast(id as varchar))) - 1 as r from b where label = 1), "
+    "cnt as (select count(*) filter (where label = 1) as n_min, count(*) filter (where label <> 1) as n_maj from b), "
+    "nd as (select cast(floor(0.1 * n_maj) as bigint) - n_min as need, n_min from cnt), "
+    "cp as (select m.id, m.x, (nd.need // nd.n_min) + case when m.r < nd.need % nd.n_min then 1 else 0 end as copies "
+    "from m, nd), "
+    "rw as (select id, x, unnest(range(copies)) as copy from cp where copies > 0), "
+    f"nn as (select r.id, r.copy, r.x, n.x as nx, row_number() over (partition by r.id, r.copy order by {_D2}, n.id) as k "
+    "from rw r join m n on n.id <> r.id), "
+    f"sel as (select r.id, r.copy, r.x, r.nx, {_unit_sql('gap')} as u from nn r where r.k = floor({_unit_sql('nn')} * 5) + 1), "
+    "over as (select cast(id as varchar) as sample_key, cast(label as bigint) as label, false as synthetic, x as features "
+    "from b union all select 's:' || cast(id as varchar) || ':' || cast(copy as varchar), 1, true, "
+    "[x[1] + u * (nx[1] - x[1]), x[2] + u * (nx[2] - x[2]), x[3] + u * (nx[3] - x[3])] from sel)")
+
+
+@register("i8_smote", _SMOTE_SQL + " select * from over")
 def i8_smote(spark, sf):
     out = SM.smote(_scored_features(spark, sf), "label", "features", "id", ratio=0.1, k=5, seed=42)
     return out.select("sample_key", "label", "synthetic", vector_to_array("features").alias("features"))
 
 
-@register("i10_smote_undersample")
+@register("i10_smote_undersample", _SMOTE_SQL + ", rk as (select sample_key, label, synthetic, row_number() over "
+          "(partition by label order by md5('42:' || sample_key)) as rk from over), "
+          "c as (select label, count(*) as n from over group by label) "
+          "select sample_key, label, synthetic from rk where label = (select arg_min(label, n) from c) "
+          "or rk <= floor((select min(n) from c) / 0.8)")
 def i10_smote_undersample(spark, sf):
     out = SM.smote_then_undersample(_scored_features(spark, sf), "label", "features", "id", 0.1, 0.8)
     return out.select("sample_key", "label", "synthetic")
@@ -149,7 +176,7 @@ def j6_batch_scoring(spark, sf):
 @register("j8_feature_importances")
 def j8_feature_importances(spark, sf):
     data, _ = _prepared(spark, sf)
-    model = M.random_forest(num_trees=50, seed=42).fit(data.where(F.col("split") == "train"))
+    model = M.random_forest(num_trees=20, max_depth=8, seed=42).fit(data.where(F.col("split") == "train"))
     return M.feature_importances(model, data)
 
 

@@ -134,6 +134,12 @@ def f13_class_distribution(spark, sf):
     return P.distribution(fx.scored(spark, sf), "label")
 
 
-@register("f14_row_count_types")
+_F14_TYPES = [("id", "bigint"), ("case_number", "string"), ("date", "timestamp_ntz"), ("primary_type", "string"),
+              ("description", "string"), ("arrest", "string"), ("latitude", "double"), ("longitude", "double"),
+              ("location_description", "string"), ("district", "int"), ("community_area", "int")]
+
+
+@register("f14_row_count_types", INC + "select t.\"column\", t.type, (select count(*) from incidents) as rows from (values "
+          + ", ".join(f"('{c}', '{t}')" for c, t in _F14_TYPES) + ") t(\"column\", type)")
 def f14_row_count_types(spark, sf):
     return P.row_count_and_types(fx.incidents(spark, sf))
