@@ -27,8 +27,16 @@ DEFAULT_LAT_RANGE = (41.6, 42.0)
 DEFAULT_LON_RANGE = (-87.9, -87.5)
 
 
+def _double_sql(v: float) -> str:
+    v = float(v)
+    if v != v or v in (float("inf"), float("-inf")):
+        return f"cast('{'NaN' if v != v else ('Infinity' if v > 0 else '-Infinity')}' as double)"
+    return f"{v!r}D"  # shortest round-trip text, parsed as a double (not a decimal)
+
+
 def _lit_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array<double> built as one SQL expression (one JVM call, exact values)."""
+    return F.expr("array(" + ", ".join(_double_sql(v) for v in values) + ")")
 
 
 @dataclass(frozen=True)

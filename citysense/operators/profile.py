@@ -104,12 +104,13 @@ def describe(df: DataFrame) -> DataFrame:
 
 def null_profile(df: DataFrame, top: int | None = 10) -> DataFrame:
     """NULL count and percent per column, largest first (ties by name)."""
-    aggs = [F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c) for c in df.columns] + [_n().alias("\u0001n")]
-    wide = df.agg(*aggs)
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("missing")) for c in df.columns])).alias("r"),
-        F.col("`\u0001n`").alias("n"))
-    out = long.select("r.column", "r.missing", (F.col("r.missing") * 100.0 / F.col("n")).alias("percent"))
+    cols = df.columns
+    # one aggregate row, then one `stack` expression (built as SQL text: one JVM call)
+    aggs = [f"sum(cast(`{c}` is null as bigint)) as m{i}" for i, c in enumerate(cols)] + ["count(1) as n"]
+    wide = df.selectExpr(*aggs)
+    pairs = ", ".join(f"{_sql_str(c)}, m{i}" for i, c in enumerate(cols))
+    long = wide.selectExpr(f"stack({len(cols)}, {pairs}) as (`column`, missing)", "n")
+    out = long.select("column", "missing", (F.col("missing") * 100.0 / F.col("n")).alias("percent"))
     out = out.orderBy(F.desc("missing"), F.asc("column"))
     return out.limit(top) if top else out
 
@@ -121,18 +122,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     in the projection.
     """
     cols = list(cols)
-    aggs = {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs[(a, b)] = F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}\u0001{b}")
-    wide = df.agg(*aggs.values())
-    entries = []
-    for a in cols:
-        for b in cols:
-            key = (a, b) if (a, b) in aggs else (b, a)
-            entries.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                    F.col(f"`{key[0]}\u0001{key[1]}`").alias("corr")))
-    return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+    k = len(cols)
+    aggs = [f"corr(cast(`{cols[i]}` as double), cast(`{cols[j]}` as double)) as c{i}_{j}"
+            for i in range(k) for j in range(i, k)]
+    wide = df.selectExpr(*aggs)
+    entries = ", ".join(f"{_sql_str(cols[i])}, {_sql_str(cols[j])}, c{min(i, j)}_{max(i, j)}"
+                        for i in range(k) for j in range(k))
+    return wide.selectExpr(f"stack({k * k}, {entries}) as (column_a, column_b, corr)")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def row_count_and_types(df: DataFrame) -> DataFrame:

@@ -27,6 +27,9 @@ DEFAULT_CONF = {
     # on executors of a cluster).
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    # PySpark otherwise records a Python call site (several JVM round trips)
+    # for every Column function call while a plan is being built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
