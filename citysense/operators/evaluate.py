@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .stats import ordered_prefix
 
 
@@ -78,7 +79,9 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", group
     agg = df.where(_c(score).isNotNull() & y.isNotNull()).groupBy(*g, _c(score).alias("score")).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("neg"))
-    pre = ordered_prefix(agg, "score", ["pos", "neg"], g)
+    # The prefix sums read this table several times (bucket bounds, bucket
+    # totals, rows); checkpoint it once so the input is scanned and shuffled once.
+    pre = ordered_prefix(materialize(agg), "score", ["pos", "neg"], g)
     return pre.withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
 
 

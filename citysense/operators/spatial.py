@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.grid import DEFAULT_GRID, Grid, euclid
 from ..functions.spatial import add_hotspot_distances
 from ..schema import require_columns
+from ..session import materialize
 from .clean import coerce_numeric, drop_missing_coordinates
 
 # Fixed values that must equal the reference's (area safety by time of day).
@@ -235,9 +236,13 @@ def score_locations(points: DataFrame, incidents_df: DataFrame, grid: Grid = DEF
     Nearest grid centre empty -> (0, 1.0); otherwise the label of the nearest
     occupied cell by mean location, confidence 0.7.
     """
-    labels = area_safety(incidents_df, grid, percentile).select(
-        F.col("cell").alias("nearest_cell"), F.col("n").alias("nearest_cell_count"))
-    prof = cell_profile(incidents_df, grid, percentile)
+    # One pass over the incidents: the cell profile (<= n_cells rows, checkpointed)
+    # gives both the dense counts for D12's cell and the D13 search table.
+    prof = materialize(cell_profile(incidents_df, grid, percentile))
+    counts = prof.select(F.col("grid_cell").alias("cell"), F.col("cell_crime_count").alias("n"))
+    dense = (grid_frame(incidents_df.sparkSession, grid).join(F.broadcast(counts), "cell", "left")
+             .select("cell", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+    labels = dense.select(F.col("cell").alias("nearest_cell"), F.col("n").alias("nearest_cell_count"))
     pts = points.withColumn("nearest_cell", grid.nearest_centre(lat, lon))
     # labels has exactly n_cells rows: broadcast.
     pts = pts.join(F.broadcast(labels), "nearest_cell", "left")

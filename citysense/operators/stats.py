@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 
 def default_buckets(df: DataFrame) -> int:
     try:
@@ -72,7 +74,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     g = list(group_cols)
     v = F.col(value_col)
     vc = df.where(v.isNotNull()).groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    pre = ordered_prefix(vc, "_v", ["_c"], g, buckets)
+    # read several times below: checkpoint the (much smaller) value-count table once
+    pre = ordered_prefix(materialize(vc), "_v", ["_c"], g, buckets)
     pre = pre.withColumnRenamed("_c_total", "_n")
     aggs = []
     for i, q in enumerate(probs):

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 FREQS = ("D", "W", "M", "Y")
 
 
@@ -56,6 +58,9 @@ def resample_counts(df: DataFrame, freq: str = "D", date_col: str = "date",
     counts = (df.where(F.col(date_col).isNotNull())
                 .groupBy(*s, period_end(F.col(date_col), freq).alias("period_end"))
                 .agg(F.count(F.lit(1)).alias(count_col)))
+    # read twice (span and fill): checkpoint the small (series, period) table so
+    # the records are scanned and shuffled once
+    counts = materialize(counts)
     span = counts.groupBy(*s).agg(F.min("period_end").alias("_lo"), F.max("period_end").alias("_hi"))
     cal = span.select(*s, F.explode(_calendar(F.col("_lo"), F.col("_hi"), freq)).alias("period_end"))
     return (cal.join(counts, [*s, "period_end"], "left")
