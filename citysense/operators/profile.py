@@ -89,13 +89,19 @@ def describe(df: DataFrame) -> DataFrame:
                      "min": F.min(c).cast("double"), "25%": pct[0], "50%": pct[1], "75%": pct[2],
                      "max": F.max(c).cast("double")}
         else:
+            # count_distinct is planned as a two-phase (distributed) aggregate
             stats = {"count": F.count(c).cast("double"), "unique": F.count_distinct(c).cast("double")}
-            if isinstance(f.dataType, T.StringType):
-                stats["top"] = F.mode(c, deterministic=True)
         for s, e in stats.items():
             alias = f"{f.name}\u0001{s}"
             aggs.append(e.cast("string").alias(alias))
             keys.append((f.name, s, alias))
+    # 'top' of string columns: counted per value, reduced with min_by (no
+    # value-count map of a whole column in one task); smallest value on ties
+    from .prepare import fit_modes
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    for name, top in fit_modes(df, strings).items():
+        aggs.append(F.first(top.cast("string")).alias(f"{name}\u0001top"))
+        keys.append((name, "top", f"{name}\u0001top"))
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"`{a}`").alias("value"))
