@@ -212,7 +212,31 @@ def h6_global_gbt_forecast(spark, sf):
     return FC.global_lag_regressor(samples, "gbt")
 
 
-@register("h7_differenced_ar")
+def _h7_sql() -> str:
+    """AR(2) on first differences per series, solved in closed form (Cramer) from the same sums."""
+    from .timeseries_queries import LOG, _resample_sql
+    w = "over (partition by series order by period_end)"
+    det = "(a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13))"
+    d0 = "(b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3))"
+    d1 = "(a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13))"
+    d2 = "(a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13))"
+    return (LOG + ", " + _resample_sql("W") + ", "
+            f"a as (select series, period_end, cast(n as double) as y, lag(cast(n as double)) {w} as prev, "
+            f"cast(n as double) - lag(cast(n as double)) {w} as d from filled), "
+            f"b as (select *, lag(d, 1) {w} as d1, lag(d, 2) {w} as d2 from a), "
+            "c as (select * from b where d2 is not null), "
+            "s as (select *, case when row_number() over (partition by series order by period_end) - 1 < "
+            "floor(count(*) over (partition by series) * 0.8) then 'train' else 'test' end as split from c), "
+            "st as (select series, count(*) + 1e-9 as a11, sum(d1) as a12, sum(d2) as a13, sum(d1 * d1) + 1e-9 as a22, "
+            "sum(d1 * d2) as a23, sum(d2 * d2) + 1e-9 as a33, sum(d) as b1, sum(d1 * d) as b2, sum(d2 * d) as b3 "
+            "from s where split = 'train' group by series), "
+            f"co as (select series, {d0} / {det} as c0, {d1} / {det} as c1, {d2} / {det} as c2 from st) "
+            "select 'ar2_diff' as model, s.series, s.period_end, s.split, s.y as actual, "
+            "round(s.prev + ((c0 + co.c1 * s.d1) + co.c2 * s.d2), 6) + 0.0 as predicted "
+            "from s join co on co.series = s.series")
+
+
+@register("h7_differenced_ar", _h7_sql())
 def h7_differenced_ar(spark, sf):
     return FC.differenced_ar(_weekly(spark, sf), p=2)
 

@@ -57,4 +57,5 @@ def dbl(x: float) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round({expr}, {ROUND_DIGITS})"
+    """Round like the Spark side; ``+ 0.0`` turns DuckDB's -0.0 into 0.0 (Spark never yields -0.0 here)."""
+    return f"(round({expr}, {ROUND_DIGITS}) + 0.0)"

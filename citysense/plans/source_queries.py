@@ -71,7 +71,7 @@ def a4_source_query(spark, sf):
 
 
 @register("a5_write_snapshot", with_views("incidents") + "select id, case_number, date, primary_type, description, "
-          "arrest, round(latitude, 6) as latitude, round(longitude, 6) as longitude, location_description, "
+          "arrest, round(latitude, 6) + 0.0 as latitude, round(longitude, 6) + 0.0 as longitude, location_description, "
           "cast(district as bigint) as district, cast(community_area as bigint) as community_area from incidents "
           "where latitude is not null and longitude is not null")
 def a5_write_snapshot(spark, sf):

@@ -77,7 +77,7 @@ def _scaled_sql(fit_where: str) -> str:
     return (f"bounds as (select series, min(list_min(x)) as scale_min, max(list_max(x)) as scale_max from split "
             f"{fit_where} group by series) "
             f"select s.series, s.period_end, s.split, b.scale_min, b.scale_max, "
-            f"list_transform(s.x, lambda v: round((v - b.scale_min) / ({rng}), 6)) as x_scaled, "
+            f"list_transform(s.x, lambda v: round((v - b.scale_min) / ({rng}), 6) + 0.0) as x_scaled, "
             f"{r6(f'(s.y - b.scale_min) / ({rng})')} as y_scaled from split s join bounds b on b.series = s.series")
 
 
