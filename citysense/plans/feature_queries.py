@@ -27,8 +27,10 @@ def b1_parse_timestamp(spark, sf):
     return CL.parse_timestamp(raw, "date")
 
 
-@register("b2_numeric_coercion", INC + f"select id, {r6(\"try_cast(coalesce(cast(latitude as varchar), 'n/a') as double)\")} "
-          "as latitude from incidents")
+_B2_SQL = "try_cast(coalesce(cast(latitude as varchar), 'n/a') as double)"
+
+
+@register("b2_numeric_coercion", INC + f"select id, {r6(_B2_SQL)} as latitude from incidents")
 def b2_numeric_coercion(spark, sf):
     raw = fx.incidents(spark, sf).select(
         "id", F.coalesce(F.col("latitude").cast("string"), F.lit("n/a")).alias("latitude"))
