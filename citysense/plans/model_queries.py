@@ -102,10 +102,39 @@ def i10_smote_undersample(spark, sf):
     return out.select("sample_key", "label", "synthetic")
 
 
-@register("i12_preprocess_classification")
+_I12_NUMS = ["latitude", "longitude", "hour", "month", "year", "day"]
+
+
+def _i12_sql() -> str:
+    split = "case when substr(md5('42:' || cast(id as varchar)), 1, 8) < '33333333' then 'test' else 'train' end"
+    med = ", ".join(f"quantile_cont({c}, 0.5) as md_{c}" for c in _I12_NUMS)
+    imp = ", ".join(f"coalesce({c}, md_{c}) as {c}_i" for c in _I12_NUMS)
+    st = ", ".join(f"avg({c}_i) as m_{c}, stddev_pop({c}_i) as s_{c}" for c in _I12_NUMS)
+    scaled = ", ".join(f"({c}_i - m_{c}) / (case when s_{c} = 0 or s_{c} is null then 1.0 else s_{c} end)"
+                       for c in _I12_NUMS)
+    return (with_views("incidents") +
+            f", p as (select id, case arrest when 'true' then 1 when 'false' then 0 end as label, {split} as split, "
+            "latitude, longitude, cast(hour(date) as double) as hour, cast(month(date) as double) as month, "
+            "cast(year(date) as double) as year, cast(day(date) as double) as day, "
+            "cast(isodow(date) >= 6 as double) as is_weekend, dayname(date) as day_of_week, location_description, "
+            "cast(district as varchar) as district from incidents where latitude is not null and longitude is not null), "
+            f"med as (select {med} from p where split = 'train'), "
+            f"q as (select p.*, {imp} from p, med), "
+            f"st as (select {st} from q where split = 'train'), "
+            "lv as (select list_sort(list_distinct(list(day_of_week))) as dl, "
+            "list_sort(list_distinct(list(location_description))) as ll, "
+            "list_sort(list_distinct(list(district))) as tl from q where split = 'train') "
+            "select id, split, cast(label as bigint) as label, list_transform("
+            f"[{scaled}, is_weekend] || {_onehot_sql('day_of_week', 'dl[2:]')} || "
+            f"{_onehot_sql('location_description', 'll[2:]')} || {_onehot_sql('district', 'tl[2:]')}, "
+            "lambda v: round(v, 6) + 0.0) as features from q, st, lv")
+
+
+@register("i12_preprocess_classification", _i12_sql())
 def i12_preprocess_classification(spark, sf):
     out, _ = _prepared(spark, sf)
-    return out.select("id", "split", "label", vector_to_array("features").alias("features"))
+    return out.select("id", "split", "label",
+                      F.transform(vector_to_array("features"), lambda v: F.round(v, 6)).alias("features"))
 
 
 @register("b15_assemble", with_views("scored") + "select id, [cast(hour as double), cast(district as double), score] "
