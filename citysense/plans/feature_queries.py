@@ -8,7 +8,6 @@ from ..functions import temporal as TM
 from ..functions import text as TX
 from ..functions.spatial import HOTSPOTS
 from ..operators import clean as CL
-from ..operators import spatial as S
 from ..operators.spatial import TIME_PERIODS
 from . import fixtures as fx
 from .registry import dbl, r6, register

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from citysense.operators import evaluate as EV
 from citysense.operators.stats import exact_quantiles, ordered_prefix
