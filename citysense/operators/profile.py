@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.temporal import WEEKDAY_NAMES
 
@@ -67,9 +66,13 @@ def rate_by(df: DataFrame, key: Column | str, target: Column | str, name: str |
 
 
 def distribution(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
-    """count and share (percent, rounded) per value; share from a window over the few groups."""
+    """count and share (percent, rounded) per value.
+
+    The total is a scalar count over the input (partial aggregation), so the
+    column may have any number of distinct values.
+    """
     counts = value_counts(df, col)
-    total = F.sum("count").over(Window.partitionBy())
+    total = df.where(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
     return counts.withColumns({"share": F.col("count") / total,
                                "percent": F.round(F.col("count") * 100.0 / total, digits)})
 
