@@ -32,19 +32,20 @@ def read_latest_snapshot(spark: SparkSession, path: str, fmt: str = "csv",
                          schema: T.StructType | None = None) -> DataFrame:
     """A2: rows of the most recently modified file under ``path``.
 
-    One listing + one scan: every file is read lazily and filtered on the
-    hidden ``_metadata.file_modification_time`` against its maximum (a
-    scalar subquery), ties broken by the larger file name (snapshot names
-    carry a timestamp). Partition pruning does not apply to file metadata, so
-    on a very large folder prefer a dated sub-folder path.
+    The folder is listed with the ``binaryFile`` source (its ``content``
+    column is pruned, so only file metadata is read), the newest path is
+    picked as one scalar (ties broken by the larger path, since snapshot names
+    carry a timestamp), and only that file is scanned.
     """
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                    .select("path", "modificationTime"))
+    newest = listing.select(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()
+    if newest is None or newest.p is None:
+        raise FileNotFoundError(f"no snapshot files under {path}")
     reader = spark.read.schema(schema or RAW_INCIDENT_SCHEMA)
     if fmt == "csv":
         reader = reader.option("header", True)
-    df = reader.format(fmt).load(path).select("*", F.col("_metadata.file_modification_time").alias("_mtime"),
-                                              F.col("_metadata.file_name").alias("_fname"))
-    newest = df.select(F.max_by("_fname", F.struct("_mtime", "_fname"))).scalar()
-    return df.where(F.col("_fname") == newest).drop("_mtime", "_fname")
+    return reader.format(fmt).load(newest.p)
 
 
 def source_query(df: DataFrame, limit: int | None = DEFAULT_SOURCE_LIMIT, date_col: str = "date",
