@@ -88,6 +88,51 @@ def differenced_ar(counts: DataFrame, p: int = 2, series_cols: Sequence[str] = (
                       y.alias("actual"), (F.col("_prev") + _dot(F.col("coef"), feats)).alias("predicted"))
 
 
+def differenced_ar_recursive(counts: DataFrame, p: int = 2, series_cols: Sequence[str] = ("series",),
+                             value: str = "n", train_frac: float = 0.8) -> DataFrame:
+    """H7, multi-step: forecast the whole test horizon from the end of the train periods.
+
+    As an ARIMA forecast does, each step feeds its own predicted difference
+    back as a lag. Per series the recursion is a ``sequence`` + ``aggregate``
+    fold over the horizon on one row (coefficients, last level, last ``p``
+    differences); the predictions are exploded and joined to the test periods
+    by step number. Returns test rows ``(model, series..., period_end, split,
+    actual, predicted)``.
+    """
+    s = list(series_cols)
+    w = Window.partitionBy(*s).orderBy("period_end")
+    y = F.col(value).cast("double")
+    df = counts.withColumn("_d", y - F.lag(y, 1).over(w))
+    df = df.withColumns({f"_d{i}": F.lag("_d", i).over(w) for i in range(1, p + 1)}).withColumn("_one", F.lit(1.0))
+    df = df.where(F.col(f"_d{p}").isNotNull()).withColumn("split", _split_col(s, train_frac))
+    feats = ["_one", *[f"_d{i}" for i in range(1, p + 1)]]
+    coef = per_group_ols(df.where(F.col("split") == "train"), s, feats, "_d")
+    # state after the last train period: its level and its last p differences (newest first)
+    last = (df.where(F.col("split") == "train").groupBy(*s)
+              .agg(F.max_by(F.struct(y.alias("n"), F.array("_d", *[f"_d{i}" for i in range(1, p)]).alias("lags")),
+                            F.col("period_end")).alias("st")))
+    test = df.where(F.col("split") == "test").withColumn(
+        "_h", F.row_number().over(Window.partitionBy(*s).orderBy("period_end")))
+    horizon = test.groupBy(*s).agg(F.max("_h").alias("_H"))
+    c = F.col("coef")
+
+    def step(acc, _i):
+        dhat = F.aggregate(F.zip_with(F.slice(c, 2, p), acc["lags"], lambda a, b: a * b), F.element_at(c, 1),
+                           lambda t, v: t + v)
+        lvl = acc["n"] + dhat
+        return F.struct(lvl.alias("n"), F.concat(F.array(dhat), F.slice(acc["lags"], 1, p - 1)).alias("lags"),
+                        F.array_append(acc["preds"], lvl).alias("preds"))
+
+    init = F.struct(F.col("st.n").alias("n"), F.col("st.lags").alias("lags"),
+                    F.array().cast("array<double>").alias("preds"))
+    paths = (last.join(coef, s).join(horizon, s)
+                 .select(*s, F.aggregate(F.sequence(F.lit(1), F.col("_H")), init, step)["preds"].alias("_preds")))
+    preds = paths.select(*s, F.posexplode("_preds").alias("_pos", "predicted")).withColumn("_h", F.col("_pos") + 1)
+    out = test.join(preds, [*s, "_h"])
+    return out.select(F.lit(f"ar{p}_diff_recursive").alias("model"), *s, "period_end", "split",
+                      y.alias("actual"), "predicted")
+
+
 def trend_seasonal(counts: DataFrame, period: float = 365.25 / 7, harmonics: int = 3,
                    series_cols: Sequence[str] = ("series",), value: str = "n", train_frac: float = 0.8) -> DataFrame:
     """H8: ``n ~ a + b t + sum_k (s_k sin(2 pi k t / P) + c_k cos(2 pi k t / P))`` per series."""

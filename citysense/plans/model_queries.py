@@ -270,6 +270,12 @@ def h7_differenced_ar(spark, sf):
     return FC.differenced_ar(_weekly(spark, sf), p=2)
 
 
+@register("h7_differenced_ar_recursive")
+def h7_differenced_ar_recursive(spark, sf):
+    """H7 multi-step: the whole test horizon forecast from the end of training."""
+    return FC.differenced_ar_recursive(_weekly(spark, sf), p=2)
+
+
 @register("h8_trend_seasonal")
 def h8_trend_seasonal(spark, sf):
     return FC.trend_seasonal(_weekly(spark, sf))
@@ -281,7 +287,8 @@ def h9_model_comparison(spark, sf):
     samples = TS.prepare_series(fx.incident_log(spark, sf), "W", 8, series_cols=["series"])
     weekly = _weekly(spark, sf)
     allf = (FC.global_lag_regressor(samples, "linear")
-            .unionByName(FC.differenced_ar(weekly, p=2)).unionByName(FC.trend_seasonal(weekly)))
+            .unionByName(FC.differenced_ar(weekly, p=2)).unionByName(FC.trend_seasonal(weekly))
+            .unionByName(FC.differenced_ar_recursive(weekly, p=2)))
     return TS.regression_metrics(allf.where(F.col("split") == "test"), ["model"])
 
 
