@@ -270,7 +270,27 @@ def h7_differenced_ar(spark, sf):
     return FC.differenced_ar(_weekly(spark, sf), p=2)
 
 
-@register("h7_differenced_ar_recursive")
+def _h7_recursive_sql() -> str:
+    """The same coefficients, iterated over the test horizon with a recursive CTE."""
+    base = _h7_sql()
+    head, tail = base.split("select 'ar2_diff' as model", 1)
+    assert head.startswith("with ")
+    head = "with recursive " + head[len("with "):]
+    return (head.rstrip() + ", "
+            "lt as (select series, arg_max(y, period_end) as n0, arg_max(d, period_end) as l10, "
+            "arg_max(d1, period_end) as l20 from s where split = 'train' group by series), "
+            "te as (select series, period_end, y, row_number() over (partition by series order by period_end) as h "
+            "from s where split = 'test'), "
+            "hz as (select series, max(h) as hmax from te group by series), "
+            "rec(series, h, n, l1, l2) as (select series, 0, n0, l10, l20 from lt union all "
+            "select r.series, r.h + 1, r.n + ((co.c0 + co.c1 * r.l1) + co.c2 * r.l2), "
+            "(co.c0 + co.c1 * r.l1) + co.c2 * r.l2, r.l1 from rec r join co on co.series = r.series "
+            "join hz on hz.series = r.series where r.h < hz.hmax) "
+            "select 'ar2_diff_recursive' as model, te.series, te.period_end, 'test' as split, te.y as actual, "
+            "round(rec.n, 6) + 0.0 as predicted from te join rec on rec.series = te.series and rec.h = te.h")
+
+
+@register("h7_differenced_ar_recursive", _h7_recursive_sql())
 def h7_differenced_ar_recursive(spark, sf):
     """H7 multi-step: the whole test horizon forecast from the end of training."""
     return FC.differenced_ar_recursive(_weekly(spark, sf), p=2)
