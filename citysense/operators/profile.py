@@ -132,12 +132,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = list(cols)
     k = len(cols)
-    aggs = [f"corr(cast(`{cols[i]}` as double), cast(`{cols[j]}` as double)) as c{i}_{j}"
-            for i in range(k) for j in range(i, k)]
-    wide = df.selectExpr(*aggs)
-    entries = ", ".join(f"{_sql_str(cols[i])}, {_sql_str(cols[j])}, c{min(i, j)}_{max(i, j)}"
-                        for i in range(k) for j in range(k))
-    return wide.selectExpr(f"stack({k * k}, {entries}) as (column_a, column_b, corr)")
+    # long form: each row becomes one (a, b, x, y) row per distinct pair, then one
+    # grouped corr with k(k+1)/2 keys (small generated code, partial aggregation)
+    entries = ", ".join(f"{_sql_str(cols[i])}, {_sql_str(cols[j])}, cast(`{cols[i]}` as double), "
+                        f"cast(`{cols[j]}` as double)" for i in range(k) for j in range(i, k))
+    pairs = df.selectExpr(f"stack({k * (k + 1) // 2}, {entries}) as (column_a, column_b, x, y)")
+    half = pairs.groupBy("column_a", "column_b").agg(F.corr("x", "y").alias("corr"))
+    a, b = F.col("column_a"), F.col("column_b")
+    both = F.when(a == b, F.array(F.struct(a.alias("column_a"), b.alias("column_b"))))\
+        .otherwise(F.array(F.struct(a.alias("column_a"), b.alias("column_b")),
+                           F.struct(b.alias("column_a"), a.alias("column_b"))))
+    return half.select(F.explode(both).alias("p"), "corr").select("p.column_a", "p.column_b", "corr")
 
 
 def _sql_str(s: str) -> str:
