@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES
 
 _MODULES = ["spatial_queries", "feature_queries", "profile_queries", "timeseries_queries",
-            "prepare_queries", "evaluate_queries", "model_queries", "source_queries"]
+            "prepare_queries", "evaluate_queries", "model_queries", "source_queries", "streaming_queries"]
 
 for _m in _MODULES:
     try:

@@ -44,8 +44,11 @@ def d6_dense_counts(spark, sf):
     return S.dense_cell_counts(S.assign_cells(fx.incidents(spark, sf)))
 
 
-@register("d7_area_safety_label", INC + f", {CELLS}, {COUNTS}, {DENSE}, {LABELS} "
-          f"select cell, n, {r6('threshold')} as threshold, safety_label from labels")
+ORACLES_D7 = (INC + f", {CELLS}, {COUNTS}, {DENSE}, {LABELS} "
+              f"select cell, n, {r6('threshold')} as threshold, safety_label from labels")
+
+
+@register("d7_area_safety_label", ORACLES_D7)
 def d7_area_safety_label(spark, sf):
     return S.area_safety(fx.incidents(spark, sf))
 
