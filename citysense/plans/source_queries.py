@@ -80,7 +80,16 @@ def a5_write_snapshot(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("a6_write_features")
+def _a6_sql() -> str:
+    from .feature_queries import _C11_SQL, _E1_SQL, _E2_SQL, _E3_SPATIAL
+    return (with_views("incidents") + "select id, case_number, date, primary_type, description, arrest, "
+            "round(latitude, 6) + 0.0 as latitude, round(longitude, 6) + 0.0 as longitude, location_description, "
+            "cast(district as bigint) as district, cast(community_area as bigint) as community_area, "
+            f"{_C11_SQL}, {_E3_SPATIAL}, {_E1_SQL}, {_E2_SQL} from incidents "
+            "where latitude is not null and longitude is not null")
+
+
+@register("a6_write_features", _a6_sql())
 def a6_write_features(spark, sf):
     from ..operators.features import create_all_features
     path = _scratch(spark, "a6")
