@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import with_hits
 from .line_quality import line_quality
+from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
 from .store import table
 
@@ -44,3 +46,22 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = byte_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_hits(docs, table(spark, sf_dir, "benchmark"), "hits")
+    n_hit = F.size("hits.words").cast("long")
+    return found.select(
+        "doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", secret_spans(F.col("text")).alias("s"))
+    return found.select(
+        "doc_id", "s.n_assign", "s.n_access", "s.n_hex",
+        F.sha2(spans_text(F.col("s.found"), base_only=True).cast("binary"), 256).alias("base_sha256"),
+        spans_text(F.col("s.found")).alias("spans"))

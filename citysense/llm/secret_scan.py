@@ -1,0 +1,198 @@
+"""Operator 4: secret scans by sliding-window entropy.
+
+Candidate strings are runs of 20 or more key characters. For each character
+class a window slides over the candidate; counts and the entropy sum are updated
+for the character that enters and the one that leaves, so a step costs the same
+however wide the window is. Windows above the entropy threshold of their class
+merge into spans, unless an allow-list rule explains the candidate (identifiers,
+paths of URLs, well-known digests and alphabets, ordinary words). To these come
+the spans of three fixed patterns (assignments, access keys, hex strings), which
+no allow-list suppresses.
+
+Texts pass through the workers once, in place. Byte-level searches over a few
+megabytes at a time tell which documents can have a span at all; only those
+become Python strings. Nothing is shuffled.
+
+Defined results: null and empty texts have no spans; positions are code points,
+ends exclusive; repeated rows get equal answers; an empty table gives no rows;
+other columns are untouched, whatever their names.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import log2
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .store import fresh_name
+from .textbytes import Runs, slices
+
+KINDS = ("assign", "access", "hex", "entropy")
+#: Fixed patterns. ASCII: letters beyond it that case folding takes for s or k don't match.
+ASSIGN = re.compile("(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+ACCESS = re.compile("AKIA[A-Z0-9]+")
+HEX = re.compile("[0-9a-f]{24,}")
+_ASSIGN_START = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", re.I)
+_CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
+_KEY_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_KEY_RUNS = Runs(bytes(b for b in range(256) if b not in _KEY_BYTES))
+RESULT = "struct<n_assign:long,n_access:long,n_hex:long,n_entropy:long,found:array<struct<kind:string,start:int,end:int>>>"
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    """``chars`` of the class; ``needs``: sets of which a window must hold one character each."""
+
+    name: str
+    chars: str
+    needs: tuple[str, ...]
+    window: int
+    least_bits: float
+
+
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CLASSES = (
+    CharacterClass("hex", _DIGITS + "abcdefABCDEF", (_DIGITS, "abcdefABCDEF"), 20, 3.0),
+    CharacterClass("letters and digits", _DIGITS + _LOWER + _UPPER, (_DIGITS, _LOWER + _UPPER), 20, 3.4),
+    CharacterClass("base64", _DIGITS + _LOWER + _UPPER + "+/_=-", (_DIGITS, _LOWER, _UPPER), 20, 3.8),
+)
+#: A candidate that matches as a whole is no secret.
+ALLOWED = tuple(re.compile(x) for x in (
+    "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
+    "sha(1|256|384|512)-[A-Za-z0-9+/=]+",  # integrity digests
+    "[A-Za-z]+([-_/][A-Za-z]+)*",  # words joined by signs
+    "[0-9+/_=-]+",  # numbers, dates, rules
+    "([A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z]*[0-9]{0,4}[-_/=+]*",  # names with numbers: version-12/file_name-3
+))
+_RUNNING = _DIGITS + _LOWER
+
+
+def _suppressed(text: str, start: int, end: int) -> bool:
+    own = text[start:end]
+    if any(x.fullmatch(own) for x in ALLOWED) or "EXAMPLE" in own or own.lower() in _RUNNING * 2:
+        return True
+    before = re.search(r"\S*$", text[max(0, start - 2000):start])[0]
+    return "://" in before
+
+
+def entropy_windows(text: str, kind: CharacterClass) -> list[tuple[int, int]]:
+    """Merged spans of the windows of ``text`` that lie in the class, hold what it needs and have
+    its entropy. With counts c of a window of w characters: H = log2 w - sum(c log2 c) / w."""
+    w = kind.window
+    term = [0.0, 0.0, *(c * log2(c) for c in range(2, w + 2))]
+    most = (log2(w) - kind.least_bits) * w + 1e-9  # for sum(c log2 c)
+    out: list[tuple[int, int]] = []
+    for run in re.finditer(f"[{re.escape(kind.chars)}]{{{w},}}", text):
+        counts: dict[str, int] = {}
+        have = [0] * len(kind.needs)
+        total, own = 0.0, run[0]
+        for i, c in enumerate(own):
+            k = counts.get(c, 0)
+            counts[c] = k + 1
+            total += term[k + 1] - term[k]
+            for j, need in enumerate(kind.needs):
+                have[j] += c in need
+            if i >= w:
+                gone = own[i - w]
+                k = counts[gone]
+                counts[gone] = k - 1
+                total += term[k - 1] - term[k]
+                for j, need in enumerate(kind.needs):
+                    have[j] -= gone in need
+            if i >= w - 1 and total <= most and all(have):
+                a, b = run.start() + i - w + 1, run.start() + i + 1
+                if out and a <= out[-1][1]:
+                    out[-1] = out[-1][0], b
+                else:
+                    out.append((a, b))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def find_secrets(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all spans, by start, then kind."""
+    base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    base += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    base += [("hex", *m.span()) for m in HEX.finditer(text)]
+    rich = []
+    for m in _CANDIDATE.finditer(text):
+        if not _suppressed(text, *m.span()):
+            rich += [(m.start() + a, m.start() + b) for kind in CLASSES for a, b in entropy_windows(m[0], kind)]
+    own = _merged([(a, b) for _, a, b in base])
+    more = [("entropy", a, b) for a, b in _merged(rich) if not any(x <= a and b <= y for x, y in own)]
+    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Numbers of the documents that can have a span."""
+    text = data.tobytes()
+    starts, ends, _ = _KEY_RUNS.find(data, offsets)
+    places = starts[ends - starts >= 20].tolist()
+    places += [m.start() for m in _ASSIGN_START.finditer(text)]
+    return np.unique(np.searchsorted(offsets, places, side="right") - 1) if places else np.zeros(0, dtype=int)
+
+
+def secret_spans(text: Column) -> Column:
+    """A struct for each text: the number of spans of each kind, and ``found``, all spans by start, then kind."""
+    kind = pa.struct([*[(f"n_{k}", pa.int64()) for k in KINDS],
+                      ("found", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found: list[list] = [[] for _ in range(len(texts))]
+            for first, data, offsets in slices(texts):
+                for i in _suspects(data, offsets):
+                    own = data[offsets[i]:offsets[i + 1]].tobytes().decode()
+                    found[first + i] = [{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(own)]
+            counts = [pa.array([sum(s["kind"] == k for s in x) for x in found], pa.int64()) for k in KINDS]
+            yield pa.StructArray.from_arrays([*counts, pa.array(found, kind[-1].type)], fields=list(kind))
+
+    return F.arrow_udf(scan, RESULT).asNondeterministic()(text)
+
+
+def spans_text(found: Column, base_only: bool = False) -> Column:
+    """``kind:start:end``, joined by commas."""
+    spans = F.filter(found, lambda s: s["kind"] != "entropy") if base_only else found
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars",
+           mark: str = "[REDACTED]") -> DataFrame:
+    """All documents, with a mark in place of each run of spans; again until a text has none."""
+    if find_secrets(mark):
+        raise ValueError(f"the mark {mark!r} is itself taken for a secret")
+
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = texts.to_pylist()
+            for first, data, offsets in slices(texts):
+                for i in _suspects(data, offsets):
+                    own = out[first + i]
+                    while spans := _merged([(a, b) for _, a, b in find_secrets(own)]):
+                        edges = [0, *(x for s in spans for x in s), len(own)]
+                        own = mark.join(own[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    out[first + i] = own
+            yield pa.array(out, pa.string())
+
+    new = fresh_name("redacted", docs.columns)
+    columns = {text_col: F.col(new)}
+    if chars_col in docs.columns:
+        columns[chars_col] = F.when(F.col(new).eqNullSafe(F.col(text_col)), F.col(chars_col)).otherwise(
+            F.length(new).cast(docs.schema[chars_col].dataType))
+    out = docs.withColumn(new, F.arrow_udf(clean, "string").asNondeterministic()(F.col(text_col)))
+    return out.withColumns(columns).select(*docs.columns)

@@ -45,12 +45,13 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    measured = docs.select(
+    # written before the range partitioner samples it, so that the texts are read once
+    measured = materialize(docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + overhead).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("key"),
-    )
+    ))
     ordered = materialize(measured.repartitionByRange(partitions, "key", "id")
                           .withColumn("part", F.spark_partition_id()))
 
