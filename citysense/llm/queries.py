@@ -15,6 +15,7 @@ from .decontaminate import with_hits
 from .line_quality import line_quality
 from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
+from .simhash import fingerprint_text, near_duplicates
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "s.n_assign", "s.n_access", "s.n_hex",
         F.sha2(spans_text(F.col("s.found"), base_only=True).cast("binary"), 256).alias("base_sha256"),
         spans_text(F.col("s.found")).alias("spans"))
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), fingerprint_text(F.col("fingerprint")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
