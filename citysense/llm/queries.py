@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import with_hits
 from .line_quality import line_quality
+from .packing import pack
 from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
 from .simhash import fingerprint_text, near_duplicates
 from .store import table
+from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +75,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), fingerprint_text(F.col("fingerprint")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query("op5_window_packing")
+def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), rule="most")
