@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import with_hits
+from .kneser_ney import score_held_out
 from .line_quality import line_quality
 from .packing import pack
 from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
 from .simhash import fingerprint_text, near_duplicates
+from .site_quality import site_quality
 from .store import table
 from .token_counts import token_counts
 
@@ -85,3 +87,13 @@ def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), rule="most")
+
+
+@query("op6_site_quality")
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_kneser_ney")
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
