@@ -21,6 +21,7 @@ from .simhash import fingerprint_text, near_duplicates
 from .site_quality import site_quality
 from .store import table
 from .token_counts import token_counts
+from .tool_calls import link_tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,65 @@ def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_kneser_ney")
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
+
+
+#: Conversations hold plain turns; every assistant's turn is read as a call whose tool and arguments follow from its
+#: text (some wrong on purpose), every other turn as the result of the turn before it.
+CHAT_CALLS = """
+SELECT conv_id, concat('call_', turn) AS call_id, turn,
+       CASE length(text) % 4 WHEN 0 THEN 'lookup' WHEN 1 THEN 'count' WHEN 2 THEN 'summarise' ELSE 'unlisted' END AS name,
+       concat('{{ ', CASE WHEN length(text) % 7 = 0 THEN '' ELSE concat('"query" : ', to_json(cast(split_part(text, ' ', 1) AS variant)), ', ') END,
+              '"limit": ', CASE WHEN length(text) % 5 = 0 THEN concat('"', length(text) % 50, '"') ELSE cast(length(text) % 50 AS string) END,
+              ', "exact":', length(text) % 2 = 0, CASE WHEN length(text) % 11 = 0 THEN '' ELSE ' }}' END) AS arguments,
+       concat('call_', turn - 2) AS after
+FROM {conversations} WHERE role = 'assistant'"""
+CHAT_RESULTS = """
+SELECT conv_id, concat('call_', turn - 1) AS call_id, turn, text AS content FROM {conversations} WHERE role IS DISTINCT FROM 'assistant'"""
+CHAT_SCHEMAS = """
+SELECT * FROM VALUES ('lookup', map('query', 'string', 'limit', 'integer', 'exact', 'boolean'), array('query')),
+                     ('count', map('query', 'string', 'limit', 'number'), array('limit')),
+                     ('summarise', map('query', 'string', 'limit', 'string', 'exact', 'boolean'), array('query', 'limit'))
+       AS t(name, properties, required)"""
+CHAT_ORACLE = """
+WITH RECURSIVE raw AS (
+  SELECT conv_id, 'call_' || turn AS call_id, turn, length(text) AS n,
+         CASE length(text) % 4 WHEN 0 THEN 'lookup' WHEN 1 THEN 'count' WHEN 2 THEN 'summarise' ELSE 'unlisted' END AS name,
+         split_part(text, ' ', 1) AS q
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (
+  SELECT conv_id, call_id, u.turn, u.n, u.name, u.q, copies
+  FROM (SELECT conv_id, call_id, min(struct_pack(turn := turn, name := name, n := n, q := q)) AS u, count(*) AS copies FROM raw GROUP BY ALL)),
+levels AS (
+  SELECT conv_id, turn, 0::BIGINT AS level FROM calls WHERE (conv_id, turn - 2) NOT IN (SELECT (conv_id, turn) FROM calls)
+  UNION ALL
+  SELECT c.conv_id, c.turn, l.level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+results AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content FROM conversations
+  WHERE role IS DISTINCT FROM 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, l.level, c.name, c.n, c.q, r.result_turn, r.content,
+         coalesce(c.copies, 1) AS copies, c.turn IS NOT NULL AS called,
+         CASE WHEN c.turn IS NULL THEN 'no call' WHEN r.result_turn IS NULL THEN 'no result' ELSE 'linked' END AS status
+  FROM calls c LEFT JOIN levels l ON c.conv_id = l.conv_id AND c.turn = l.turn
+  FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+checked AS (
+  SELECT *, called AND n % 11 <> 0 AS parsed, n % 7 <> 0 AS has_q, n % 5 = 0 AS as_text,
+         CASE WHEN NOT called THEN [] WHEN name = 'unlisted' THEN ['unknown tool'] WHEN n % 11 = 0 THEN ['not an object']
+              WHEN name = 'lookup' THEN list_filter([CASE WHEN n % 7 = 0 THEN 'missing query' END, CASE WHEN n % 5 = 0 THEN 'not integer limit' END], lambda x: x IS NOT NULL)
+              WHEN name = 'count' THEN list_filter([CASE WHEN n % 5 = 0 THEN 'not number limit' END, 'unknown exact'], lambda x: x IS NOT NULL)
+              ELSE list_filter([CASE WHEN n % 7 = 0 THEN 'missing query' END, CASE WHEN n % 5 <> 0 THEN 'not string limit' END], lambda x: x IS NOT NULL) END AS errors
+  FROM linked)
+SELECT conv_id, call_id, coalesce(turn, result_turn) AS turn, level, status, copies, len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors,
+       '{' || CASE WHEN parsed THEN '"arguments":{"exact":' || (n % 2 = 0) || ',"limit":' || CASE WHEN as_text THEN '"' || (n % 50) || '"' ELSE (n % 50) || '' END
+              || CASE WHEN has_q THEN ',"query":' || to_json(q) ELSE '' END || '},' ELSE '' END
+       || '"call_id":"' || call_id || '"' || CASE WHEN content IS NULL THEN '' ELSE ',"content":' || to_json(content) END || ',"conv_id":' || conv_id
+       || CASE WHEN called THEN ',"name":"' || name || '"' ELSE '' END || CASE WHEN result_turn IS NULL THEN '' ELSE ',"result_turn":' || result_turn END
+       || ',"status":"' || status || '"' || CASE WHEN turn IS NULL THEN '' ELSE ',"turn":' || turn END || '}' AS json
+FROM checked"""
+
+
+@query("op1_tool_calls", CHAT_ORACLE)
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    linked = link_tool_calls(spark.sql(CHAT_CALLS, conversations=turns), spark.sql(CHAT_RESULTS, conversations=turns), spark.sql(CHAT_SCHEMAS))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
