@@ -71,19 +71,20 @@ class Grid:
 
     # ---- D4 -------------------------------------------------------------
     def axis_index(self, x: Column, edges: tuple) -> Column:
-        """digitize(x, edges) - 1, clipped to [0, size-2]. NULL in -> NULL out."""
+        """digitize(x, edges) - 1, clipped to [0, size-2]. NULL or NaN in -> NULL out."""
         n = len(edges)
         lo, hi = edges[0], edges[-1]
         step = (hi - lo) / (n - 1)
         # edges padded with -inf/+inf: the neighbour lookups need no range guards
         padded = _lit_array([float("-inf"), *edges, float("inf")])
         # g = guess of #{edges <= x}, clipped into [0, n]; off by at most one near an edge
-        g = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(step)).cast("int") + 1, F.lit(0)), F.lit(n))
+        # (clipped as a double first: a far point would overflow the integer)
+        g = F.floor(F.least(F.greatest((x - F.lit(lo)) / F.lit(step), F.lit(-1.0)), F.lit(n - 1.0))).cast("int") + 1
         # exact fix-up: padded[g] is edges[g-1], padded[g+1] is edges[g] (0-based)
         cnt = (g - (F.element_at(padded, g + 1) > x).cast("int")
                + (F.element_at(padded, g + 2) <= x).cast("int"))
         # least/greatest skip NULLs, so a NULL x is guarded explicitly
-        return F.when(x.isNotNull(), F.least(F.greatest(cnt - 1, F.lit(0)), F.lit(n - 2)))
+        return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(cnt - 1, F.lit(0)), F.lit(n - 2)))
 
     def lat_index(self, lat: str | Column = "latitude") -> Column:
         return self.axis_index(F.col(lat) if isinstance(lat, str) else lat, self.lat_edges)
@@ -109,8 +110,7 @@ class Grid:
         """The two centre indices bracketing x (0-based); the nearest is one of them."""
         m = len(centres)
         step = (centres[-1] - centres[0]) / (m - 1)
-        a = F.floor((x - F.lit(centres[0])) / F.lit(step)).cast("int")
-        a = F.least(F.greatest(a, F.lit(0)), F.lit(m - 1))
+        a = F.floor(F.least(F.greatest((x - F.lit(centres[0])) / F.lit(step), F.lit(0.0)), F.lit(m - 1.0))).cast("int")
         b = F.least(a + 1, F.lit(m - 1))
         return a, b
 
@@ -131,7 +131,8 @@ class Grid:
             for j in (ja, jb):
                 d = euclid(la, lo, F.element_at(lat_c, i + 1), F.element_at(lon_c, j + 1))
                 cands.append(F.struct(d.alias("d"), (i * self.cells_per_axis + j).alias("cell")))
-        return F.when(la.isNotNull() & lo.isNotNull(), F.least(*cands)["cell"])
+        present = la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)
+        return F.when(present, F.least(*cands)["cell"])
 
 
 DEFAULT_GRID = Grid()

@@ -29,14 +29,21 @@ def parse_timestamp(df: DataFrame, col: str = "date", fmt: str | None = None, st
 
 
 def coerce_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """B2: cast to double, bad values -> NULL (``try_cast``; plain cast raises under ANSI)."""
+    """B2: cast to double, bad values and NaN -> NULL (``try_cast``; plain cast raises under ANSI)."""
     present = [c for c in cols if c in df.columns]
-    return df.withColumns({c: F.col(c).try_cast("double") for c in present}) if present else df
+    number = {c: F.col(c).try_cast("double") for c in present}
+    return df.withColumns({c: F.when(~F.isnan(x), x) for c, x in number.items()}) if present else df
 
 
 def drop_missing_coordinates(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Keep rows where both coordinates are present."""
-    return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    """Keep rows where both coordinates are present (neither NULL nor NaN)."""
+    kinds = dict(df.dtypes)
+    present = F.lit(True)
+    for c in (lat, lon):
+        present = present & F.col(c).isNotNull()
+        if kinds.get(c) in ("double", "float"):
+            present = present & ~F.isnan(c)
+    return df.where(present)
 
 
 def binary_target(c: Column, dtype: str) -> Column:

@@ -18,15 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .stats import exact_quantiles, ordered_prefix
+from .stats import attach, exact_quantiles, hash_cutoffs, ordered_prefix
 
-HASH_BUCKETS_HEX = 5  # leading hex digits used as a uniform, order-preserving bucket
+#: Rows that one bucket of a hash order should hold, and the most leading hex digits used as a bucket.
+BUCKET_ROWS, MOST_DIGITS = 50_000, 4
 
 
 def row_hash(id_col: str | Column, seed: int = 42) -> Column:
-    """md5 of ``seed:id`` as hex text (same text in DuckDB)."""
+    """md5 of ``seed:id`` as hex text (same text in DuckDB); a NULL id counts as no text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def _hex_cut(frac: float) -> str:
@@ -43,51 +44,79 @@ def _ranked_by_hash(df: DataFrame, id_col: str, partition_cols: Sequence[str], s
     """Add ``_rank`` (1-based) of each row within its partition in hash order, without a global sort.
 
     The hash is uniform, so its leading hex digits are an order-preserving,
-    balanced bucket for :func:`ordered_prefix`.
+    balanced bucket for :func:`ordered_prefix`; how many digits follows from
+    the measured number of rows.
     """
-    h = row_hash(id_col, seed)
-    keyed = df.withColumns({"_h": h, "_one": F.lit(1)})
-    bucket = F.conv(F.substring(F.col("_h"), 1, HASH_BUCKETS_HEX), 16, 10).cast("long")
+    digits, n = 1, df.count()
+    while digits < MOST_DIGITS and n > BUCKET_ROWS * 16 ** digits:
+        digits += 1
+    keyed = df.withColumns({"_h": row_hash(id_col, seed), "_one": F.lit(1)})
+    bucket = F.conv(F.substring(F.col("_h"), 1, digits), 16, 10).cast("long")
     out = ordered_prefix(keyed, "_h", ["_one"], partition_cols, bucket=bucket)
     return out.withColumnsRenamed({"_one_upto": "_rank", "_one_total": "_n"}).drop("_one")
 
 
+def _below_cut(df: DataFrame, cutoffs: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
+    """Add ``_below``: whether the row's hash is at or below its class's cut (one row per class, joined by size)."""
+    cuts = cutoffs.select(F.col(label).alias("_class"), "cut")
+    joined = attach(df, cuts, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
+    return joined.withColumn("_below", F.coalesce(row_hash(id_col, seed) <= F.col("cut"), F.lit(False))).drop("cut")
+
+
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", test_frac: float = 0.3,
                      seed: int = 42) -> DataFrame:
-    """I4: per class, the ``ceil(test_frac * n_class)`` rows first in hash order are 'test'."""
-    out = _ranked_by_hash(df, id_col, [label], seed)  # carries the class size as _n
-    return out.withColumn("split", F.when(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test_frac)), "test")
-                          .otherwise("train")).drop("_rank", "_n", "_h")
+    """I4: per class, the ``ceil(test_frac * n_class)`` rows first in hash order are 'test'.
+
+    The cut of each class is found from counts by hash prefix, so the rows are
+    filtered where they are and not shuffled. Rows with a NULL label are a class
+    of their own; rows with equal ids lie on the same side.
+    """
+    cuts = hash_cutoffs(df, row_hash(id_col, seed), F.ceil(F.col("rows") * F.lit(test_frac)), [label])
+    return _below_cut(df, cuts, label, id_col, seed).withColumn(
+        "split", F.when(F.col("_below"), "test").otherwise("train")).drop("_below")
+
+
+def _stacked(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
+    """``(name, value)`` for each of the columns of each row, NULLs left out: one scan for all of them."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast(kind).alias("value")) for c in cols]))
+    return df.select(pairs.alias("_p")).select("_p.name", "_p.value").where("value IS NOT NULL")
 
 
 def fit_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
-    """I5 fit: exact median per column as scalar subqueries (distributed quantiles)."""
-    return {c: exact_quantiles(train.select(c), c, [0.5]).select("q_0").scalar() for c in cols}
+    """I5 fit: exact median per column (distributed quantiles), all columns in one scan; one row per
+    column is read on the driver. A column without values has the median NULL."""
+    found = exact_quantiles(_stacked(train, cols, "double"), "value", [0.5], ["name"]).collect() if cols else []
+    medians = {r["name"]: r.q_0 for r in found}
+    return {c: F.lit(medians.get(c)).cast("double") for c in cols}
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
     """NULL -> median of the train rows."""
     med = fit_medians(train if train is not None else df, cols)
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), med[c]) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), med[c]) for c in cols}) if cols else df
 
 
-def fit_modes(train: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
-    """I6 fit: most frequent value, smallest on ties.
+def fit_modes(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[Column, int]]:
+    """I6 fit: ``(mode, its count)`` per column; the smallest value on ties.
 
-    Counted per distinct value first (partial aggregation), then reduced with
-    ``min_by`` so no task holds the value-count map of a whole column.
+    Counted per (column, value) first (partial aggregation), then reduced with
+    ``min_by``, so no task holds the value-count map of a whole column. Columns
+    of one type share a scan; the driver reads one row per column.
     """
-    out = {}
-    for c in cols:
-        vc = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        out[c] = vc.select(F.min_by(F.col(c), F.struct((-F.col("_n")).alias("k"), F.col(c).alias("v")))).scalar()
+    kinds, out = dict(train.dtypes), {}
+    for kind in dict.fromkeys(kinds[c] for c in cols):
+        own = [c for c in cols if kinds[c] == kind]
+        counts = _stacked(train, own, kind).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("b"))
+        found = {r["name"]: (r["value"], -r.k) for r in best.select("name", "b.k", "b.value").collect()}
+        out |= {c: (F.lit(found.get(c, (None, 0))[0]).cast(kind), found.get(c, (None, 0))[1]) for c in own}
     return out
 
 
 def mode_impute(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
     """NULL -> mode of the train rows."""
     modes = fit_modes(train if train is not None else df, cols)
-    return df.withColumns({c: F.coalesce(F.col(c), modes[c]) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), modes[c][0]) for c in cols}) if cols else df
 
 
 def standardise(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
@@ -106,14 +135,17 @@ def standardise(df: DataFrame, cols: Sequence[str], train: DataFrame | None = No
 
 def undersample(df: DataFrame, label: str = "label", id_col: str = "id", ratio: float = 0.8,
                 seed: int = 42) -> DataFrame:
-    """Keep every minority row and the first ``int(n_min / ratio)`` majority rows in hash order."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    # (size, label) of the smallest class as one scalar
-    smallest = counts.select(F.min(F.struct(F.col("_c").alias("n"), F.col(label).alias("label")))).scalar()
-    ranked = _ranked_by_hash(df, id_col, [label], seed).withColumn("_min", smallest)
-    keep = F.floor(F.col("_min.n") / F.lit(ratio))
-    return (ranked.where((F.col(label) == F.col("_min.label")) | (F.col("_rank") <= keep))
-                  .drop("_rank", "_n", "_h", "_min"))
+    """Keep every row of the smallest class and of each other class the first ``int(n_min / ratio)``
+    rows in hash order. Rows without a label are of no class and are not kept."""
+    known = df.where(F.col(label).isNotNull())
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    # (size, label) of the smallest class: one row
+    least = counts.select(F.min(F.struct(F.col("_c").alias("n"), F.col(label).alias("label"))).alias("m")).first().m
+    if least is None:
+        return known
+    cuts = hash_cutoffs(known, row_hash(id_col, seed), F.lit(int(least.n / ratio)).cast("long"), [label])
+    kept = _below_cut(known, cuts, label, id_col, seed)
+    return kept.where((F.col(label) == F.lit(least.label)) | F.col("_below")).drop("_below")
 
 
 def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced",
@@ -199,12 +231,11 @@ def preprocess_classification(df: DataFrame, target: str = "arrest", test_frac:
     train = df.where(F.col("split") == "train")
     df = median_impute(df, nums, train)
     df = standardise(df, nums, df.where(F.col("split") == "train"))
-    # cut lineage: the fitted statistics are scalar subqueries over the input,
-    # and encoder fitting plus every model iteration would re-run them
-    df = materialize(df.select(id_col, "split", "label", *nums, "is_weekend", *cats))
+    df = df.select(id_col, "split", "label", *nums, "is_weekend", *cats)
     enc = fit_one_hot_drop_first(df.where(F.col("split") == "train"), cats)
     inputs = nums + ["is_weekend"] + [f"{c}_ohe" for c in cats]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     model = PipelineModel(stages=list(enc.stages) + [assembler])
+    # cut lineage: every model iteration would run the preparation again
     out = materialize(model.transform(df).select(id_col, "split", "label", "features"))
     return out, model

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.temporal import WEEKDAY_NAMES
+from ..session import materialize
 
 
 def _n():
@@ -68,47 +69,68 @@ def rate_by(df: DataFrame, key: Column | str, target: Column | str, name: str |
 def distribution(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
     """count and share (percent, rounded) per value.
 
-    The total is a scalar count over the input (partial aggregation), so the
-    column may have any number of distinct values.
+    The counts are written once and their sum is read back as a scalar, so the
+    input is scanned once and the column may have any number of values.
     """
-    counts = value_counts(df, col)
-    total = df.where(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
+    counts = materialize(value_counts(df, col))
+    total = counts.select(F.sum("count")).scalar()
     return counts.withColumns({"share": F.col("count") / total,
                                "percent": F.round(F.col("count") * 100.0 / total, digits)})
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """F8: ``describe(include='all')`` in long form, one aggregate pass.
+    """F8: ``describe(include='all')`` in long form: rows ``(column, stat, value)``, values as text.
 
-    Rows ``(column, stat, value)``: count, unique, top (mode) for strings;
-    count, mean, std, min, 25%, 50%, 75%, max for numbers (percentiles approximate).
+    Strings and other types: count, unique, top (the smallest on ties), freq. Numbers: count, mean,
+    std, min, exact 25%, 50%, 75%, max. Timestamps and dates: count, mean, min, quartiles, max.
+    One pass for the plain aggregates, one for all quartiles, and one for all columns of a type
+    for the value counts.
     """
+    from .prepare import _stacked, fit_modes
+    from .stats import exact_quantiles
+
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    numbers = [c for c, t in fields.items() if isinstance(t, T.NumericType)]
+    times = [c for c, t in fields.items() if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    others = [c for c in fields if c not in numbers and c not in times]
+
+    def micros(c: str) -> Column:  # wall-clock microseconds since 1970, whatever the zone
+        return F.unix_micros(F.to_timestamp_ltz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+
+    def as_time(value: Column) -> Column:
+        return F.date_format(F.timestamp_micros(value.cast("long")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+    measured = df.select(*[F.col(f"`{c}`") for c in numbers + others], *[micros(c).alias(c) for c in times])
     aggs, keys = [], []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.NumericType,)):
-            pct = F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], 10000)
-            stats = {"count": F.count(c).cast("double"), "mean": F.avg(c), "std": F.stddev_samp(c),
-                     "min": F.min(c).cast("double"), "25%": pct[0], "50%": pct[1], "75%": pct[2],
-                     "max": F.max(c).cast("double")}
-        else:
-            # count_distinct is planned as a two-phase (distributed) aggregate
-            stats = {"count": F.count(c).cast("double"), "unique": F.count_distinct(c).cast("double")}
+    for c in fields:
+        x = F.col(f"`{c}`")
+        stats = {"count": F.count(x).cast("string")}
+        if c in numbers:
+            stats |= {"mean": F.avg(x).cast("string"), "std": F.stddev_samp(x).cast("string"),
+                      "min": F.min(x).cast("double").cast("string"), "max": F.max(x).cast("double").cast("string")}
+        elif c in times:
+            stats |= {"mean": as_time(F.floor(F.avg(x))), "min": as_time(F.min(x)), "max": as_time(F.max(x))}
         for s, e in stats.items():
-            alias = f"{f.name}\u0001{s}"
-            aggs.append(e.cast("string").alias(alias))
-            keys.append((f.name, s, alias))
-    # 'top' of string columns: counted per value, reduced with min_by (no
-    # value-count map of a whole column in one task); smallest value on ties
-    from .prepare import fit_modes
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    for name, top in fit_modes(df, strings).items():
-        aggs.append(F.first(top.cast("string")).alias(f"{name}\u0001top"))
-        keys.append((name, "top", f"{name}\u0001top"))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"`{a}`").alias("value"))
-        for c, s, a in keys])).alias("r")).select("r.*")
+            keys.append((c, s, f"a{len(keys)}"))
+            aggs.append(e.alias(keys[-1][2]))
+    wide = measured.agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(a).alias("value")) for c, s, a in keys]
+    out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+    if numbers or times:
+        q = exact_quantiles(_stacked(measured, numbers + times, "double"), "value", [0.25, 0.5, 0.75], ["name"])
+        is_time = F.col("name").isin(times) if times else F.lit(False)
+        value = F.when(is_time, as_time(F.floor("r.value"))).otherwise(F.col("r.value").cast("string"))
+        marks = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"q_{i}").alias("value")) for i, s in enumerate(("25%", "50%", "75%"))])
+        out = out.unionByName(q.select("name", F.explode(marks).alias("r")).select(
+            F.col("name").alias("column"), "r.stat", value.alias("value")))
+    if others:
+        uniques = _stacked(df, others, "string").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(uniques.select(F.col("name").alias("column"), F.lit("unique").alias("stat"), F.col("n").cast("string").alias("value")))
+        tops = [(c, s, v) for c, (top, n) in fit_modes(df, others).items() for s, v in (("top", top.cast("string")), ("freq", F.lit(str(n))))]
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), v.alias("value")) for c, s, v in tops])
+        out = out.unionByName(df.sparkSession.range(1).select(F.explode(cells).alias("r")).select("r.*"))
+    return out
 
 
 def null_profile(df: DataFrame, top: int | None = 10) -> DataFrame:
@@ -127,22 +149,14 @@ def null_profile(df: DataFrame, top: int | None = 10) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation for every ordered pair, NULL pairs skipped; long form.
 
-    One aggregate computes the k(k+1)/2 distinct pairs; the matrix is mirrored
-    in the projection.
+    One aggregate computes the k(k+1)/2 distinct pairs, with one input row for
+    each row; the matrix is mirrored in the projection of its single result row.
     """
     cols = list(cols)
-    k = len(cols)
-    # long form: each row becomes one (a, b, x, y) row per distinct pair, then one
-    # grouped corr with k(k+1)/2 keys (small generated code, partial aggregation)
-    entries = ", ".join(f"{_sql_str(cols[i])}, {_sql_str(cols[j])}, cast(`{cols[i]}` as double), "
-                        f"cast(`{cols[j]}` as double)" for i in range(k) for j in range(i, k))
-    pairs = df.selectExpr(f"stack({k * (k + 1) // 2}, {entries}) as (column_a, column_b, x, y)")
-    half = pairs.groupBy("column_a", "column_b").agg(F.corr("x", "y").alias("corr"))
-    a, b = F.col("column_a"), F.col("column_b")
-    both = F.when(a == b, F.array(F.struct(a.alias("column_a"), b.alias("column_b"))))\
-        .otherwise(F.array(F.struct(a.alias("column_a"), b.alias("column_b")),
-                           F.struct(b.alias("column_a"), a.alias("column_b"))))
-    return half.select(F.explode(both).alias("p"), "corr").select("p.column_a", "p.column_b", "corr")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    wide = df.selectExpr(*[f"corr(cast(`{cols[i]}` as double), cast(`{cols[j]}` as double)) as c{i}_{j}" for i, j in pairs])
+    cells = [f"{_sql_str(cols[a])}, {_sql_str(cols[b])}, c{i}_{j}" for i, j in pairs for a, b in dict.fromkeys([(i, j), (j, i)])]
+    return wide.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (column_a, column_b, corr)")
 
 
 def _sql_str(s: str) -> str:

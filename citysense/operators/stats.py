@@ -2,8 +2,8 @@
 
 A cumulative sum over a global order is, written naively, a window without a
 partition key: one task sees every row. Here the order key is cut into
-``buckets`` ranges at approximate quantiles (a scalar subquery), bucket totals
-are prefix-summed over at most ``buckets`` rows, and the exact cumulative sum
+``buckets`` ranges at approximate quantiles, bucket totals are prefix-summed
+over at most ``buckets`` rows a partition, and the exact cumulative sum
 inside each bucket is a window partitioned by bucket. Every task holds about
 ``rows / buckets`` rows; results are exact because the bucket function is
 monotone in the key (equal keys share a bucket).
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,25 +43,95 @@ def ordered_prefix(df: DataFrame, order_col: str, measures: Sequence[str], parti
     key = F.col(order_col)
     if bucket is None:
         buckets = buckets or default_buckets(df)
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = df.select(F.percentile_approx(key, probs, 10000)).scalar()
-        b = (df.withColumn("_bounds", bounds)
-               .withColumn("_bucket", F.size(F.filter(F.col("_bounds"), lambda x: x < key)))
-               .drop("_bounds"))
-    else:
-        b = df.withColumn("_bucket", bucket)
+        df, bucket = _bucketed(df, order_col, buckets)
+    b = df.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(-1)))
     totals = b.groupBy(*p, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     wb = Window.partitionBy(*p).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*p)
-    offsets = totals.select(*p, "_bucket",
+    # one row per (partition, bucket); NULL partition values are a partition of their own
+    offsets = totals.select(*[F.col(c).alias(f"_p_{c}") for c in p], F.col("_bucket").alias("_p__bucket"),
                             *[F.coalesce(F.sum(f"_t_{m}").over(wb), F.lit(0)).alias(f"_o_{m}") for m in measures],
                             *[F.sum(f"_t_{m}").over(wall).alias(f"{m}_total") for m in measures])
-    # offsets: one row per (partition, bucket); with no partition columns that
-    # is at most `buckets` rows -> broadcast. Otherwise AQE decides by size.
-    joined = b.join(F.broadcast(offsets) if not p else offsets, [*p, "_bucket"])
+    same = F.lit(True)
+    for c in [*p, "_bucket"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    # without partition columns there are at most `buckets` offsets
+    joined = attach(b, offsets, same) if p else b.join(F.broadcast(offsets), same)
     w = Window.partitionBy(*p, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.withColumns({f"{m}_upto": F.col(f"_o_{m}") + F.sum(m).over(w) for m in measures}).drop(
-        "_bucket", *[f"_o_{m}" for m in measures])
+        "_bucket", "_key", *[f"_p_{c}" for c in [*p, "_bucket"]], *[f"_o_{m}" for m in measures])
+
+
+def _bucketed(df: DataFrame, order_col: str, buckets: int) -> tuple[DataFrame, Column]:
+    """Buckets at approximate quantiles, found by binary search in the JVM (``Bucketizer``). The bounds are
+    ``buckets`` numbers, whatever the size of the table; as doubles they are monotone in any numeric key."""
+    keyed = df.withColumn("_key", F.col(order_col).cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    found = keyed.where(~F.isnan("_key")).select(F.percentile_approx("_key", probs, 10000)).first()[0] or []
+    inner = sorted({b for b in found if b not in (float("inf"), float("-inf"))})
+    if not inner:
+        return keyed, F.lit(0)
+    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_key", outputCol="_cut", handleInvalid="keep")
+    return cut.transform(keyed).withColumn("_key", F.col("_cut")).drop("_cut"), F.col("_key")
+
+
+def hash_cutoffs(df: DataFrame, hash_: Column, take: Column, group_cols: Sequence[str], digits: int = 4,
+                 levels: int = 2) -> DataFrame:
+    """For each group the least hash text below or at which ``take`` of its rows lie: ``(group, rows, take, cut)``.
+
+    ``take`` may use ``rows``, the group's size; where it is 0 or less, ``cut`` is NULL. Rows with equal
+    hashes lie on the same side. Each level counts rows by ``digits`` more leading hex digits, inside the
+    one prefix that holds the cut, and so narrows it 65,536 times; then one short prefix is left to sort.
+    A count has at most ``16 ** digits`` rows for each group, and no row is shuffled.
+    """
+    g = list(group_cols) or ["_all"]
+    keyed = df.withColumn("_all", F.lit(0)).select(*g, hash_.alias("_h"))
+    state = None
+    for level in range(levels):
+        if state is None:
+            rows, length = keyed, digits
+        else:
+            rows, length = _inside(keyed, state, g), digits * (level + 1)
+        counts = rows.groupBy(*g, F.substring("_h", 1, length).alias("_prefix")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*g).orderBy("_prefix")
+        if state is None:
+            sized = counts.withColumn("rows", F.sum("_c").over(Window.partitionBy(*g))).withColumn("take", take.cast("long"))
+            sized = sized.withColumn("_left", F.col("take"))
+        else:
+            sized = _joined(counts, state.select(*g, "rows", "take", "_left"), g)
+        upto = sized.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        # the prefix with the cut; for a take of 0 the first one, for one beyond the rows the last
+        wanted = F.least(F.greatest(F.col("_left"), F.lit(1)), F.sum("_c").over(Window.partitionBy(*g)))
+        at = upto.withColumn("_wanted", wanted).where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_c") < F.col("_wanted")))
+        state = materialize(at.select(*g, "rows", "take", (F.col("_wanted") - (F.col("_upto") - F.col("_c"))).alias("_left"), "_prefix"))
+    ends = _inside(keyed, state, g).groupBy(*g).agg(F.sort_array(F.collect_list("_h")).alias("_hs"))
+    out = _joined(ends, state, g)
+    return materialize(out.select(*g, "rows", "take", F.when(F.col("take") > 0, F.element_at("_hs", F.col("_left").cast("int"))).alias("cut")))
+
+
+def _joined(rows: DataFrame, table: DataFrame, g: list[str]) -> DataFrame:
+    """Rows with the columns of a table of one row for each group; NULL groups match."""
+    named = table.select(*[F.col(c).alias(f"_g_{c}") for c in g], *[c for c in table.columns if c not in g])
+    same = F.lit(True)
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return attach(rows, named, same).drop(*[f"_g_{c}" for c in g])
+
+
+def _inside(keyed: DataFrame, state: DataFrame, g: list[str]) -> DataFrame:
+    found = _joined(keyed, state.select(*g, "_prefix"), g)
+    return found.where(F.col("_h").startswith(F.col("_prefix"))).drop("_prefix")
+
+
+#: Rows of a joined table up to which it is broadcast, and the salts used beyond.
+MOST_BROADCAST_ROWS = 100_000
+
+
+def attach(rows: DataFrame, table: DataFrame, same: Column, how: str = "inner", most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """Join a small table onto all rows without shuffling these: it is broadcast if it is counted to have at
+    most ``most`` rows; a larger one is left to a shuffled join with adaptive skew splitting."""
+    table = materialize(table)
+    return rows.join(F.broadcast(table) if table.count() <= most else table, same, how)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols: Sequence[str] = (),

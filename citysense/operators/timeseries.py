@@ -144,7 +144,8 @@ def regression_aggs(actual: str = "actual", predicted: str = "predicted") -> lis
     sst = F.var_pop(y) * F.count(y)
     ape = F.when(y != 0, F.abs((y - p) / y))
     return [mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
-            (F.lit(1.0) - sse / sst).alias("r2"), (F.avg(ape) * 100).alias("mape")]
+            # constant actuals: 1 for a perfect forecast, else 0
+            F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) - F.try_divide(sse, sst)).alias("r2"), (F.avg(ape) * 100).alias("mape")]
 
 
 def regression_metrics(df: DataFrame, group_cols: Sequence[str] = (), actual: str = "actual",
