@@ -9,6 +9,8 @@ size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,7 @@ from ..functions.spatial import add_hotspot_distances
 from ..schema import require_columns
 from ..session import materialize
 from .clean import coerce_numeric, drop_missing_coordinates
+from .stats import attach
 
 # Fixed values that must equal the reference's (area safety by time of day).
 TIME_PERIODS = [("Morning (5-11)", 5, 11), ("Afternoon (12-16)", 12, 16),
@@ -58,17 +61,8 @@ def dense_cell_counts(cells: DataFrame, grid: Grid = DEFAULT_GRID, cell: str = "
                  .select("cell", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
-def safety_threshold(counts: DataFrame, percentile: float = DEFAULT_PERCENTILE) -> Column:
-    """Scalar: linear-interpolated percentile of the non-zero cell counts (exact).
-
-    ``counts`` is keyed by cell, so the exact ``percentile`` buffer holds at
-    most ``n_cells`` values.
-    """
-    return counts.where(F.col("n") > 0).select(F.percentile(F.col("n"), percentile / 100.0)).scalar()
-
-
 def threshold_over_cells(n: Column, percentile: float = DEFAULT_PERCENTILE) -> Column:
-    """Window form of :func:`safety_threshold` for a frame keyed by cell (<= n_cells rows).
+    """Linear-interpolated percentile of the non-zero counts of a frame keyed by cell (<= n_cells rows).
 
     Evaluated in the same pass as the counts instead of as a second job over
     the input; the un-partitioned window holds at most ``n_cells`` rows.
@@ -204,26 +198,66 @@ def cell_label_lookup(df: DataFrame, labels: DataFrame, cell: str = "cell") -> D
         "safety_label", F.coalesce(F.col("safety_label"), F.lit(0)))
 
 
+def _candidates(profile: pd.DataFrame, grid: Grid) -> pd.DataFrame:
+    """For each cell, and for -1 (anywhere), the occupied cells that can be the nearest to a point inside it.
+
+    Some occupied cell lies ``r`` rings away, so a point of the cell has a mean within the far
+    corners of these two; cells whose box begins beyond that can't be nearer. Means outside their
+    cell's box (the grid clips far points into its border) are candidates everywhere.
+    """
+    m = grid.cells_per_axis
+    cells = profile["grid_cell"].to_numpy()
+    la, lo = profile["latitude_mean"].to_numpy(), profile["longitude_mean"].to_numpy()
+    i, j = cells // m, cells % m
+    lat, lon = np.array(grid.lat_edges), np.array(grid.lon_edges)
+    inside = (la >= lat[i]) & (la <= lat[i + 1]) & (lo >= lon[j]) & (lo <= lon[j + 1])
+    dla, dlo = np.diff(lat), np.diff(lon)
+    far, near = np.hypot(dla.max(), dlo.max()), min(dla.min(), dlo.min())
+    by_row = [np.flatnonzero(inside & (i == r)) for r in range(m)]
+    strays, rows = np.flatnonzero(~inside), [list(range(len(cells)))]
+    for cell in range(grid.n_cells):
+        ci, cj = divmod(cell, m)
+        found, r, most = [], 0, m
+        while r <= most and r < m:  # ring by ring, until the next one begins too far away
+            ring = [k for row in {max(ci - r, 0), min(ci + r, m - 1)} if abs(row - ci) == r for k in by_row[row] if abs(j[k] - cj) <= r]
+            ring += [k for row in range(max(ci - r + 1, 0), min(ci + r, m)) for k in by_row[row] if abs(j[k] - cj) == r]
+            if ring and most == m:
+                most = int((r + 1) * far * (1 + 1e-9) / near) + 1
+            found += ring
+            r += 1
+        rows.append(sorted({*found, *strays.tolist()}))
+    return pd.DataFrame({"probe_cell": range(-1, grid.n_cells), "candidates": [cells[r].tolist() for r in rows]})
+
+
 def nearest_profile_cell(points: DataFrame, profile: DataFrame, lat: str = "latitude",
-                         lon: str = "longitude", carry: tuple = ("safety_label",)) -> DataFrame:
+                         lon: str = "longitude", carry: tuple = ("safety_label",), grid: Grid = DEFAULT_GRID) -> DataFrame:
     """Nearest occupied cell by mean incident location; ties -> lowest cell id.
 
-    The profile has one row per occupied cell (<= n_cells rows), so it is
-    shipped to every task once as a scalar-subquery array and searched there;
-    no join, no shuffle of the points.
+    A point is compared with the few cells around its own that can be the
+    nearest (see :func:`_candidates`), not with all. That list has one row per
+    grid cell, made in one task from the profile (<= n_cells rows each), and is
+    broadcast; the points are not shuffled. Points beyond the grid are compared
+    with every occupied cell; without coordinates there is no nearest cell.
     """
     fields = [F.col("latitude_mean").alias("la"), F.col("longitude_mean").alias("lo"),
               F.col("grid_cell").alias("grid_cell")] + [F.col(c).alias(c) for c in carry]
-    arr = profile.select(F.collect_list(F.struct(*fields))).scalar()
+    found = profile.select("grid_cell", "latitude_mean", "longitude_mean").groupBy().applyInPandas(
+        lambda f: _candidates(f, grid), "probe_cell int, candidates array<int>")
+    held = profile.select(F.col("grid_cell").alias("_held"), F.struct(*fields).alias("_place"))
+    lists = (found.select("probe_cell", F.explode("candidates").alias("_held")).join(F.broadcast(held), "_held")
+             .groupBy("probe_cell").agg(F.collect_list("_place").alias("_profile")))
     plat, plon = F.col(lat), F.col(lon)
+    within = plat.between(*grid.lat_range) & plon.between(*grid.lon_range)
+    probe = F.when(within, grid.cell(lat, lon)).otherwise(F.when(plat.isNotNull() & plon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon), -1))
 
     def key(p):
         return F.struct(euclid(p["la"], p["lo"], plat, plon).alias("d"), p["grid_cell"].alias("grid_cell"),
                         *[p[c].alias(c) for c in carry])
 
-    # Project the subquery first: Spark does not allow it inside the lambda's function.
     best = F.array_min(F.transform(F.col("_profile"), key))
-    return points.withColumn("_profile", arr).withColumn("_best", best).drop("_profile").withColumns(
+    # lists has n_cells + 1 rows: broadcast by construction
+    joined = points.withColumn("probe_cell", probe).join(F.broadcast(lists), "probe_cell", "left")
+    return joined.withColumn("_best", best).drop("_profile", "probe_cell").withColumns(
         {"nearest_occupied_cell": F.col("_best.grid_cell"),
          **{f"nearest_{c}": F.col(f"_best.{c}") for c in carry}}).drop("_best")
 
@@ -246,7 +280,7 @@ def score_locations(points: DataFrame, incidents_df: DataFrame, grid: Grid = DEF
     pts = points.withColumn("nearest_cell", grid.nearest_centre(lat, lon))
     # labels has exactly n_cells rows: broadcast.
     pts = pts.join(F.broadcast(labels), "nearest_cell", "left")
-    pts = nearest_profile_cell(pts, prof, lat, lon)
+    pts = nearest_profile_cell(pts, prof, lat, lon, grid=grid)
     empty = F.coalesce(F.col("nearest_cell_count"), F.lit(0)) == 0
     return pts.withColumns({
         "safety_label": F.when(empty, F.lit(0)).otherwise(F.col("nearest_safety_label")),
@@ -259,8 +293,8 @@ def district_density(df: DataFrame, district: str = "district") -> DataFrame:
     require_columns(df, [district], "district density")
     counts = (df.where(F.col(district).isNotNull()).groupBy(district)
                 .agg(F.count(F.lit(1)).alias("district_crime_density")))
-    # Districts are data values: plain join, AQE broadcasts when measured small.
-    return df.join(counts, district, "left")
+    named = counts.withColumnRenamed(district, "_district")
+    return attach(df, named, F.col(district) == F.col("_district"), "left").drop("_district")
 
 
 def add_spatial_features(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

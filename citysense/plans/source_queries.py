@@ -35,32 +35,41 @@ def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-@register("a1_read_csv")
+_ROWS_SQL = (with_views("incidents") + "select id, case_number, date, primary_type, description, arrest, "
+             "round(latitude, 6) + 0.0 as latitude, round(longitude, 6) + 0.0 as longitude, location_description, "
+             "cast(district as bigint) as district, cast(community_area as bigint) as community_area from incidents")
+
+
+def _typed(spark, sf, text):
+    """Text records with the types of the incidents again."""
+    types = dict(fx.incidents(spark, sf).dtypes)
+    return text.select(*[F.col(c).cast(types[c]).alias(c) for c in text.columns])
+
+
+@register("a1_read_csv", _ROWS_SQL)
 def a1_read_csv(spark, sf):
     raw = _raw(spark, sf)
     path = _scratch(spark, "a1")
     raw.write.mode("overwrite").option("header", True).csv(path)
-    return RD.read_incident_csv(spark, path, _text_schema(raw.columns))
+    return _typed(spark, sf, RD.read_incident_csv(spark, path, _text_schema(raw.columns)))
 
 
-@register("a2_latest_snapshot")
+@register("a2_latest_snapshot", _ROWS_SQL)
 def a2_latest_snapshot(spark, sf):
     raw = _raw(spark, sf)
     path = _scratch(spark, "a2")
-    # an older snapshot (arrests only), then the newer full one
-    raw.where(F.col("arrest") == "true").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/old")
-    import time
-    time.sleep(1.1)
-    raw.coalesce(1).write.mode("append").option("header", True).csv(f"{path}/new")
-    return RD.read_latest_snapshot(spark, f"{path}/*", "csv", _text_schema(raw.columns))
+    # an older snapshot (arrests only), then the newer full one, each in as many parts as it has
+    for name, rows in (("incidents-1", raw.where(F.col("arrest") == "true")), ("incidents-2", raw)):
+        rows.write.option("header", True).csv(f"{path}/{name}")
+    return _typed(spark, sf, RD.read_latest_snapshot(spark, path, "csv", _text_schema(raw.columns)))
 
 
-@register("a3_read_json")
+@register("a3_read_json", _ROWS_SQL)
 def a3_read_json(spark, sf):
     raw = _raw(spark, sf)
     path = _scratch(spark, "a3")
     raw.write.mode("overwrite").json(path)
-    return RD.read_incident_json(spark, path, _text_schema(raw.columns))
+    return _typed(spark, sf, RD.read_incident_json(spark, path, _text_schema(raw.columns)))
 
 
 @register("a4_source_query", with_views("incidents") + "select id, case_number, date, description from incidents "

@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Whole-stage generated methods of the feature/grid projections exceed
@@ -49,11 +50,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset.
+    """Return the shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
-    that setting always wins. Only a session without it (tests, a laptop)
-    gets a fresh local scratch folder.
+    On a cluster ``spark.checkpoint.dir`` names it (HDFS/S3/...); a session on a
+    cluster without that setting raises, since a folder of one host would be
+    lost to the others. A session on one machine (tests, a laptop) gets a fresh
+    scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -61,22 +63,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not is_one_machine(sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: the master is {sc.master}")
         conf_dir = tempfile.mkdtemp(prefix="citysense-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def is_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df):
     """Cut lineage before iterative work (model fits): a reliable checkpoint.
 
     Written to the shared checkpoint folder, so a lost executor does not send
-    every ML iteration back through the whole preparation plan.
+    every ML iteration back through the whole preparation plan. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes it once
+    nothing refers to it any more.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A path under the shared checkpoint folder for written intermediate tables; all of a session's
+    are removed when the session's JVM ends."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _SCRATCH.add(root)
+    return f"{root}/{name}"
+
+
+_SCRATCH: set[str] = set()

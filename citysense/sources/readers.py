@@ -30,17 +30,20 @@ def read_incident_json(spark: SparkSession, path: str, schema: T.StructType | No
 
 def read_latest_snapshot(spark: SparkSession, path: str, fmt: str = "csv",
                          schema: T.StructType | None = None) -> DataFrame:
-    """A2: rows of the most recently modified file under ``path``.
+    """A2: all rows of the most recently written snapshot under ``path``.
 
-    The folder is listed with the ``binaryFile`` source (its ``content``
-    column is pruned, so only file metadata is read), the newest path is
-    picked as one scalar (ties broken by the larger path, since snapshot names
-    carry a timestamp), and only that file is scanned.
+    A snapshot is a file, or a folder of part files (with or without partition
+    folders) as a Spark job writes it. The files are listed with the
+    ``binaryFile`` source (its ``content`` column is pruned, so only metadata is
+    read); the snapshot with the newest file is picked as one scalar (ties
+    broken by the larger name, since names carry a timestamp) and read whole.
     """
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
                     .select("path", "modificationTime"))
-    newest = listing.select(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()
-    if newest is None or newest.p is None:
+    folder = F.regexp_replace(F.regexp_replace("path", "/[^/]*$", ""), "(/[^/=]+=[^/]*)+$", "")
+    snapshot = F.when(F.regexp_extract("path", "[^/]*$", 0).startswith("part-"), folder).otherwise(F.col("path"))
+    newest = listing.select(F.max(F.struct("modificationTime", snapshot.alias("p"))).alias("n")).first().n
+    if newest is None:
         raise FileNotFoundError(f"no snapshot files under {path}")
     reader = spark.read.schema(schema or RAW_INCIDENT_SCHEMA)
     if fmt == "csv":

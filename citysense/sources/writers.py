@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import drop_missing_coordinates
 
+MOST_REPORT_ROWS = 100_000
+
 
 def write_raw_snapshot(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
     """A5: drop rows without coordinates and write the snapshot; returns the filtered frame."""
@@ -30,7 +32,9 @@ def write_features(df: DataFrame, path: str, partition_by: str | None = "year")
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report table as one CSV file with a header."""
+    """A report table as one CSV file with a header; a frame of more than a report's rows raises."""
+    if df.limit(MOST_REPORT_ROWS + 1).count() > MOST_REPORT_ROWS:
+        raise ValueError(f"a report has at most {MOST_REPORT_ROWS} rows; write larger frames with write_raw_snapshot")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

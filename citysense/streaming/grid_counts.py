@@ -33,12 +33,12 @@ def cell_count_stream(stream: DataFrame, grid: Grid = DEFAULT_GRID, lat: str = "
 
 def start_cell_counts(spark: SparkSession, landing: str, schema: T.StructType, fmt: str = "parquet",
                       query_name: str = "cell_counts", checkpoint: str | None = None,
-                      grid: Grid = DEFAULT_GRID, sink: str = "memory", options: dict | None = None):
+                      grid: Grid = DEFAULT_GRID, output: str | None = None, options: dict | None = None):
     """Start the incremental count query over files landing in ``landing``.
 
-    ``sink='memory'`` exposes the counts as the temp view ``query_name``
-    (tests, notebooks); any other format writes the complete counts table
-    there on every trigger (it is at most ``n_cells`` rows).
+    Without ``output`` the counts (at most ``n_cells`` rows) are the temp view
+    ``query_name`` (tests, notebooks); with it every trigger replaces the
+    Parquet table of that path by the complete counts.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
@@ -48,7 +48,9 @@ def start_cell_counts(spark: SparkSession, landing: str, schema: T.StructType, f
     counts = cell_count_stream(reader.load(landing), grid)
     ckpt = checkpoint or scratch_path(spark, f"stream-{query_name}")
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", ckpt).queryName(query_name)
-    return w.format(sink).start()
+    if output is None:
+        return w.format("memory").start()
+    return w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(output)).start()
 
 
 def labels_from_counts(spark: SparkSession, counts: DataFrame, grid: Grid = DEFAULT_GRID,
