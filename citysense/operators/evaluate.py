@@ -185,19 +185,16 @@ def error_analysis(df: DataFrame, features: Sequence[str], label: str = "label",
 
 def compare_models(long: DataFrame, model: str = "model", label: str = "label", pred: str = "pred") -> DataFrame:
     """K6: per model, classification metrics, or regression metrics when the label has > 10 distinct values."""
-    y, p = _c(label), _c(pred)
-    err = p.cast("double") - y.cast("double")
-    agg = long.groupBy(model).agg(
-        F.count_distinct(y).alias("_k"), *confusion_aggs(label, pred),
-        F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
-        (F.lit(1.0) - F.sum(err * err) / (F.var_pop(y.cast("double")) * F.count(y))).alias("r2"))
+    from .timeseries import regression_aggs
+    numbers = long.withColumns({"_actual": _c(label).cast("double"), "_predicted": _c(pred).cast("double")})
+    agg = numbers.groupBy(model).agg(
+        F.count_distinct("_actual").alias("_k"), *confusion_aggs(label, pred), *regression_aggs("_actual", "_predicted"))
     out = _ratios_from_counts(agg)
     reg = F.col("_k") > 10
     cls_cols = ["accuracy", "precision", "recall", "f1_score"]
     return out.select(model, F.when(reg, "regression").otherwise("classification").alias("task"),
                       *[F.when(~reg, F.col(c)).alias(c) for c in cls_cols],
-                      *[F.when(reg, F.col(c)).alias(c) for c in ("mse", "mae", "r2")],
-                      F.when(reg, F.sqrt("mse")).alias("rmse"))
+                      *[F.when(reg, F.col(c)).alias(c) for c in ("mse", "mae", "r2", "rmse", "mape")])
 
 
 def to_long(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str], var_name: str = "metric",

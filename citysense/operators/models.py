@@ -9,6 +9,7 @@ importances: one entry per feature).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .prepare import _ranked_by_hash
+from ..session import materialize
+from .prepare import _ranked_by_hash, class_weights
+from .sampling import smote
 
 SPARK_MAX_DEPTH = 30
 
@@ -28,9 +31,12 @@ SPARK_MAX_DEPTH = 30
 def random_forest(label: str = "label", features: str = "features", num_trees: int = 100,
                   max_depth: int | None = None, min_instances_per_node: int = 1, seed: int = 42,
                   weight_col: str | None = None) -> RandomForestClassifier:
-    """Random forest; unlimited depth maps to Spark's maximum (30)."""
+    """Random forest; ``max_depth=None`` (unlimited) maps to Spark's maximum (30), a depth that
+    Spark can't grow raises."""
+    if max_depth is not None and not 1 <= max_depth <= SPARK_MAX_DEPTH:
+        raise ValueError(f"max_depth must be None or from 1 to {SPARK_MAX_DEPTH}, got {max_depth}")
     rf = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=num_trees,
-                                maxDepth=min(max_depth or SPARK_MAX_DEPTH, SPARK_MAX_DEPTH),
+                                maxDepth=SPARK_MAX_DEPTH if max_depth is None else max_depth,
                                 minInstancesPerNode=min_instances_per_node, seed=seed)
     return rf.setWeightCol(weight_col) if weight_col else rf
 
@@ -100,6 +106,67 @@ def stratified_folds(df: DataFrame, label: str = "label", id_col: str = "id", k:
     return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_n", "_h")
 
 
+#: The grids of the arrest models. Unlimited depth is Spark's 30; a split needs twice as many rows as a leaf.
+RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 5]}
+GB_GRID = {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7]}
+
+
+def balanced_rows(train: DataFrame, label: str = "label", features: str = "features", id_col: str = "id",
+                  use_smote: bool = True, class_weight: str | dict | None = None, seed: int = 42) -> DataFrame:
+    """The rows a classifier is fitted on, written once: labelled rows only, with SMOTE up to equal
+    classes, or with a ``weight`` column (I11) for cost-sensitive fits."""
+    known = train.where(F.col(label).isNotNull()).select(id_col, label, features)
+    if use_smote:
+        return materialize(smote(known, label, features, id_col, 1.0, seed=seed).select(label, features))
+    if class_weight is not None:
+        named = {"weights": class_weight} if isinstance(class_weight, dict) else {"mode": class_weight}
+        return materialize(class_weights(known, label, **named).select(label, features, "weight"))
+    return materialize(known.select(label, features))
+
+
+def fit_balanced(estimator, train: DataFrame, label: str = "label", features: str = "features", id_col: str = "id",
+                 use_smote: bool = True, class_weight: str | dict | None = None, seed: int = 42):
+    """J1/J2 as trained by default: SMOTE on the training rows, then the fit. Without SMOTE a class
+    weight sets the estimator's weight column."""
+    rows = balanced_rows(train, label, features, id_col, use_smote, class_weight, seed)
+    estimator = estimator.copy()
+    return (estimator.setWeightCol("weight") if "weight" in rows.columns else estimator).fit(rows)
+
+
+def f1_of_class1(scored: DataFrame, label: str = "label", pred: str = "prediction") -> float:
+    y, p = F.col(label), F.col(pred)
+    hit, said, true = scored.agg(*[F.count(F.when(c, 1)) for c in ((y == 1) & (p == 1), p == 1, y == 1)]).first()
+    return 2 * hit / (said + true) if said + true else 0.0
+
+
+def grid_search_balanced(estimator, grid: list, train: DataFrame, label: str = "label", features: str = "features",
+                         id_col: str = "id", folds: int = 5, use_smote: bool = True, class_weight: str | dict | None = None,
+                         parallelism: int = 2, seed: int = 42) -> tuple[list[tuple[dict, float]], object]:
+    """Cross-validated search by the F1 of class 1, with SMOTE (or weights) inside each fold.
+
+    The held-out rows of a fold are never oversampled, and no synthetic row is made from them. Each
+    fold is prepared and written once for all grid points. Returns the mean score of each point and
+    the best one refitted on all balanced training rows.
+    """
+    dealt = materialize(stratified_folds(train.where(F.col(label).isNotNull()).select(id_col, label, features), label, id_col, folds, seed))
+    sums = [0.0] * len(grid)
+    for fold in range(folds):
+        rows = balanced_rows(dealt.where(F.col("fold") != fold), label, features, id_col, use_smote, class_weight, seed)
+        held = materialize(dealt.where(F.col("fold") == fold).select(label, features))
+        own = estimator.copy()
+        own = own.setWeightCol("weight") if "weight" in rows.columns else own
+
+        def score_point(params, own=own, rows=rows, held=held) -> float:
+            return f1_of_class1(own.copy(params).fit(rows).transform(held), label)
+
+        with ThreadPool(parallelism) as pool:
+            sums = [a + b for a, b in zip(sums, pool.map(score_point, grid), strict=True)]
+    means = [x / folds for x in sums]
+    best = grid[max(range(len(grid)), key=lambda i: means[i])]
+    model = fit_balanced(estimator.copy(best), train, label, features, id_col, use_smote, class_weight, seed)
+    return [({p.name: v for p, v in params.items()}, m) for params, m in zip(grid, means, strict=True)], model
+
+
 def grid_search(pipeline: Pipeline, grid, train: DataFrame, label: str = "label", fold_col: str = "fold",
                 num_folds: int = 5, parallelism: int = 2, seed: int = 42):
     """Cross-validated grid search scored by the F1 of class 1 (``fMeasureByLabel``, label 1.0).

@@ -109,7 +109,7 @@ def describe(df: DataFrame) -> DataFrame:
             stats |= {"mean": F.avg(x).cast("string"), "std": F.stddev_samp(x).cast("string"),
                       "min": F.min(x).cast("double").cast("string"), "max": F.max(x).cast("double").cast("string")}
         elif c in times:
-            stats |= {"mean": as_time(F.floor(F.avg(x))), "min": as_time(F.min(x)), "max": as_time(F.max(x))}
+            stats |= {"mean": as_time(F.floor(F.sum(x.cast("decimal(38,0)")) / F.count(x))), "min": as_time(F.min(x)), "max": as_time(F.max(x))}
         for s, e in stats.items():
             keys.append((c, s, f"a{len(keys)}"))
             aggs.append(e.alias(keys[-1][2]))

@@ -90,11 +90,22 @@ def k5_error_analysis(spark, sf):
 
 @register("k6_compare_models", SC + f", {_MODELS_SQL}, c as (select model, {_COUNTS} from models group by model) "
           f"select model, 'classification' as task, {_RATIOS}, cast(null as double) as mse, cast(null as double) as mae, "
-          "cast(null as double) as r2, cast(null as double) as rmse from c")
+          "cast(null as double) as r2, cast(null as double) as rmse, cast(null as double) as mape from c")
 def k6_compare_models(spark, sf):
     return EV.compare_models(_models(spark, sf))
 
 
+def _k6_regression_sql():
+    from .timeseries_queries import _K4_SQL, FC
+    none = ", ".join(f"cast(null as double) as {c}" for c in ("accuracy", "precision", "recall", "f1_score"))
+    return FC + f"select model, 'regression' as task, {none}, m.* exclude (model, count) from (select model, {_K4_SQL} from forecasts group by model) m"
+
+
+@register("k6_compare_regressors", _k6_regression_sql())
+def k6_compare_regressors(spark, sf):
+    return EV.compare_models(fx.forecasts(spark, sf), "model", "actual", "predicted")
+
+
 @register("k7_roc_curve", SC + f", {_CUM} select {r6('score')} as threshold, cast(P - (pos_upto - pos) as bigint) as tp, "
           f"cast(N - (neg_upto - neg) as bigint) as fp, {r6('(P - (pos_upto - pos)) / P')} as tpr, "
           f"{r6('(N - (neg_upto - neg)) / N')} as fpr from cum")

@@ -32,6 +32,29 @@ def i4_stratified_split(spark, sf):
     return PR.stratified_split(fx.scored(spark, sf), "label", "id", 0.3, 42).select("id", "label", "split")
 
 
+#: Some labels unknown, as B4 leaves them for arrests that are neither true nor false.
+_SCN = SC + ", scored_n as (select id, case when id % 13 <> 0 then label end as label from scored)"
+
+
+def _scored_with_nulls(spark, sf):
+    return fx.scored(spark, sf).withColumn("label", F.when(F.col("id") % 13 != 0, F.col("label")))
+
+
+@register("i4_stratified_split_unknown_labels", _SCN + f" select id, cast(label as bigint) as label, case when row_number() over "
+          f"(partition by label order by {_H}) <= ceil(0.3 * count(*) over (partition by label)) then 'test' "
+          "else 'train' end as split from scored_n")
+def i4_stratified_split_unknown_labels(spark, sf):
+    return PR.stratified_split(_scored_with_nulls(spark, sf), "label", "id", 0.3, 42).select("id", "label", "split")
+
+
+@register("i9_undersample_unknown_labels", _SCN + ", r as (select id, label, row_number() over (partition by label order by "
+          f"{_H}) as rk, count(*) over (partition by label) as n from scored_n where label is not null), "
+          "m as (select min(n) as n_min, arg_min(label, n) as least from r) select id, cast(label as bigint) as label from r, m "
+          "where label = least or rk <= floor(n_min / 0.8)")
+def i9_undersample_unknown_labels(spark, sf):
+    return PR.undersample(_scored_with_nulls(spark, sf), "label", "id", 0.8, 42).select("id", "label")
+
+
 @register("i5_median_impute", _INC_SPLIT + f" select id, split, {r6('coalesce(latitude, (select quantile_cont(latitude, 0.5) '
           'from sp where split = \'train\'))')} as latitude from sp")
 def i5_median_impute(spark, sf):

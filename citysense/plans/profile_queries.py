@@ -55,11 +55,9 @@ def f4_count_by_weekday(spark, sf):
 @register("f4_count_by_weekday_log", LOG + "select cast(d.day_num as bigint) as day_num, d.day_of_week, c.count from (values "
           "(0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), "
           "(6, 'Sunday')) d(day_num, day_of_week) left join (select isodow(date) - 1 as day_num, count(*) as count "
-          "from incident_log where series = '1-URGENT' and month(date) = 7 group by 1) c on c.day_num = d.day_num")
+          "from incident_log group by 1) c on c.day_num = d.day_num")
 def f4_count_by_weekday_log(spark, sf):
-    """F4 where every day is absent: the empty Julys of the 1-URGENT series (NULL counts kept)."""
-    log = fx.incident_log(spark, sf)
-    return P.counts_by_weekday(log.where((F.col("series") == "1-URGENT") & (F.month("date") == 7)))
+    return P.counts_by_weekday(fx.incident_log(spark, sf))
 
 
 @register("f5_count_by_month", LOG + "select month(date) as month, count(*) as count from incident_log group by 1")
@@ -94,9 +92,36 @@ def f7_arrest_distribution(spark, sf):
     return P.distribution(df, "arrest_label")
 
 
-@register("f8_describe")
+def _describe_sql() -> str:
+    """Text statistics as text, all numbers as doubles; times as text to the microsecond."""
+    numbers, times = ["id", "latitude", "longitude", "district", "community_area"], ["date"]
+    texts = ["case_number", "primary_type", "description", "arrest", "location_description"]
+    row = lambda c, stat, number="null", text="null": (
+        f"select '{c}' as column, '{stat}' as stat, round(cast({number} as double), 6) as number, cast({text} as varchar) as text from incidents")
+    parts, stamp = [], lambda x: f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+    quarters = (("25%", 0.25), ("50%", 0.5), ("75%", 0.75))
+    for c in numbers:
+        parts += [row(c, "count", f"count({c})"), row(c, "mean", f"avg({c})"), row(c, "std", f"stddev_samp({c})"),
+                  row(c, "min", f"min({c})"), row(c, "max", f"max({c})")]
+        parts += [row(c, s, f"quantile_cont(cast({c} as double), {q})") for s, q in quarters]
+    for c in times:
+        us = f"cast(epoch_us({c}) as double)"
+        parts += [row(c, "count", f"count({c})"), row(c, "min", text=stamp(f"min({c})")), row(c, "max", text=stamp(f"max({c})")),
+                  row(c, "mean", text=stamp(f"make_timestamp(cast(sum(epoch_us({c})) // count({c}) as bigint))"))]
+        parts += [row(c, s, text=stamp(f"make_timestamp(cast(floor(quantile_cont({us}, {q})) as bigint))")) for s, q in quarters]
+    for c in texts:
+        parts += [row(c, "count", f"count({c})"), row(c, "unique", f"count(distinct {c})")]
+        top = f"(select {c} from incidents where {c} is not null group by 1 order by count(*) desc, 1 limit 1)"
+        parts += [f"select '{c}', 'top', cast(null as double), {top}",
+                  f"select '{c}', 'freq', (select cast(max(n) as double) from (select count(*) as n from incidents where {c} is not null group by {c})), null"]
+    return with_views("incidents") + " " + " union all ".join(parts)
+
+
+@register("f8_describe", _describe_sql())
 def f8_describe(spark, sf):
-    return P.describe(fx.incidents(spark, sf).drop("date"))
+    out = P.describe(fx.incidents(spark, sf))
+    return out.select("column", "stat", F.when(F.col("stat") != "top", F.expr("try_cast(value as double)")).alias("number"),
+                      F.when((F.col("stat") == "top") | (F.expr("try_cast(value as double)").isNull()), F.col("value")).alias("text"))
 
 
 _F9_COLS = ["id", "case_number", "date", "primary_type", "description", "arrest", "latitude", "longitude",

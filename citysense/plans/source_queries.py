@@ -17,6 +17,7 @@ from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import writers as WR
 from . import fixtures as fx
+from .evaluate_queries import _report_sql
 from .registry import register
 from .sqlviews import with_views
 
@@ -106,12 +107,13 @@ def a6_write_features(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("a7_write_report")
+@register("a7_write_report", _report_sql())
 def a7_write_report(spark, sf):
     from ..operators.evaluate import class_report
     path = _scratch(spark, "a7")
     WR.write_report(class_report(fx.scored(spark, sf)), path)
-    return spark.read.option("header", True).csv(path)
+    kinds = "class string, precision double, recall double, f1_score double, support long"
+    return spark.read.schema(kinds).option("header", True).csv(path)
 
 
 @register("a8_persist_splits", with_views("scored") + "select id, cast(label as bigint) as label, round(score, 6) as score, "

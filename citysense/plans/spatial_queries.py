@@ -33,10 +33,10 @@ def d4_grid_cell(spark, sf):
 
 
 @register("d5_cell_centres", INC + f", {CELLS}, {COUNTS}, {centres_cte()} "
-          f"select c.cell, {r6('z.lat_c')} as lat_c, {r6('z.lon_c')} as lon_c, c.n "
-          f"from counts c join centres z on z.cell = c.cell")
+          f"select z.cell, {r6('z.lat_c')} as lat_c, {r6('z.lon_c')} as lon_c, coalesce(c.n, 0) as n "
+          f"from centres z left join counts c on z.cell = c.cell")
 def d5_cell_centres(spark, sf):
-    return S.with_centres(S.cell_counts(S.assign_cells(fx.incidents(spark, sf))))
+    return S.with_centres(S.dense_cell_counts(S.assign_cells(fx.incidents(spark, sf))))
 
 
 @register("d6_dense_counts", INC + f", {CELLS}, {COUNTS}, {DENSE} select cell, n from dense")
