@@ -96,10 +96,6 @@ def hour_in_period(hour: Column, start: int, end: int) -> Column:
     return hour.between(start, end) if start < end else ((hour >= start) | (hour <= end))
 
 
-def period_filter(df: DataFrame, start: int, end: int, hour_col: str = "hour") -> DataFrame:
-    return df.where(hour_in_period(F.col(hour_col), start, end))
-
-
 def period_shares(df: DataFrame, periods, date_col: str = "date") -> DataFrame:
     """Rows and share of total per named hour period, in one aggregate pass."""
     h = F.hour(date_col)

@@ -11,12 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Fixed values (FIXTURES.md B1): event type -> description, location codes.
-DESCRIPTION_BY_EVENT = [("click", "POCKET-PICKING"), ("view", "ATTEMPT POCKET-PICKING"),
-                        ("purchase", "PURSE-SNATCHING"), ("signup", "FROM BUILDING")]
-LOCATION_BY_MOD11 = ["STREET", "CTA PLATFORM", "RESIDENCE", "RESTAURANT", "GROCERY", "CTA BUS",
-                     "SIDEWALK", "APARTMENT", "BAR OR TAVERN", "WAREHOUSE"]
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -26,8 +20,7 @@ def incidents_from_events(events: DataFrame) -> DataFrame:
     """B1 ``incidents``: one incident per event.
 
     Built from the FIXTURES.md select list in one ``selectExpr`` (one JVM call
-    instead of hundreds of Column constructions); :func:`incidents_from_events_api`
-    is the same view written with Column functions.
+    instead of hundreds of Column constructions).
     """
     return events.selectExpr(*INCIDENT_EXPRS)
 
@@ -53,36 +46,6 @@ INCIDENT_EXPRS = [
 ]
 
 
-def incidents_from_events_api(events: DataFrame) -> DataFrame:
-    """B1 ``incidents`` with Column functions (equal to :func:`incidents_from_events`)."""
-    eid, uid = F.col("event_id"), F.col("user_id")
-    desc = None
-    for et, d in DESCRIPTION_BY_EVENT:
-        cond = F.col("event_type") == et
-        desc = F.when(cond, F.lit(d)) if desc is None else desc.when(cond, F.lit(d))
-    desc = desc.otherwise(F.lit("SIMPLE"))
-    loc = None
-    for i, name in enumerate(LOCATION_BY_MOD11):
-        cond = (eid % 11) == i
-        loc = F.when(cond, F.lit(name)) if loc is None else loc.when(cond, F.lit(name))
-    no_coord = (eid % 97) == 0
-    lat = (F.lit(41.6) + ((uid * 37) % 400).cast("double") / 1000) + (eid % 10).cast("double") / 10000
-    lon = (F.lit(-87.9) + ((uid * 53) % 400).cast("double") / 1000) + (eid % 7).cast("double") / 10000
-    return events.select(
-        eid.alias("id"),
-        F.concat(F.lit("HZ"), F.lpad(eid.cast("string"), 6, "0")).alias("case_number"),
-        F.col("ts").alias("date"),
-        F.when(F.col("event_type") == "error", "BATTERY").otherwise("THEFT").alias("primary_type"),
-        desc.alias("description"),
-        F.when(F.col("value") >= 150, "true").otherwise("false").alias("arrest"),
-        F.when(no_coord, F.lit(None).cast("double")).otherwise(lat).alias("latitude"),
-        F.when(no_coord, F.lit(None).cast("double")).otherwise(lon).alias("longitude"),
-        loc.alias("location_description"),
-        (F.lit(1) + uid % 25).cast("int").alias("district"),
-        (F.lit(1) + uid % 77).cast("int").alias("community_area"),
-    )
-
-
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents_from_events(read_table(spark, sf_dir, "events"))
 

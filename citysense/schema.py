@@ -18,21 +18,6 @@ RAW_INCIDENT_FIELDS = [
 
 RAW_INCIDENT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_INCIDENT_FIELDS])
 
-# Typed incident schema used after cleaning.
-INCIDENT_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), True),
-    T.StructField("case_number", T.StringType(), True),
-    T.StructField("date", T.TimestampNTZType(), True),
-    T.StructField("primary_type", T.StringType(), True),
-    T.StructField("description", T.StringType(), True),
-    T.StructField("arrest", T.StringType(), True),
-    T.StructField("latitude", T.DoubleType(), True),
-    T.StructField("longitude", T.DoubleType(), True),
-    T.StructField("location_description", T.StringType(), True),
-    T.StructField("district", T.IntegerType(), True),
-    T.StructField("community_area", T.IntegerType(), True),
-])
-
 # Identifier-like columns removed before modelling.
 IDENTIFIER_COLUMNS = ["id", "case_number", "date", "block", "iucr", "fbi_code",
                       "updated_on", "primary_type", "description", "location"]

@@ -2,7 +2,9 @@
 
 import os
 import tempfile
-import time
+
+import pytest
+from pyspark.sql import types as T
 
 from citysense.sources import readers as RD
 from citysense.sources import writers as WR
@@ -14,7 +16,6 @@ SCHEMA = "id string, case_number string, date string, primary_type string, descr
 
 
 def test_csv_round_trip(spark):
-    from pyspark.sql import types as T
     df = spark.createDataFrame(ROWS, SCHEMA)
     path = os.path.join(tempfile.mkdtemp(prefix="cs-test-"), "raw")
     WR.write_report(df, path)
@@ -23,15 +24,31 @@ def test_csv_round_trip(spark):
     assert len(back) == 3 and back[1].case_number == "HZ123457"
 
 
-def test_latest_snapshot_wins(spark):
-    from pyspark.sql import types as T
+def test_latest_snapshot_is_read_whole(spark):
+    """1,000 rows in four part files, written by the snapshot sink after an older snapshot."""
     base = tempfile.mkdtemp(prefix="cs-test-")
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    df.limit(1).coalesce(1).write.option("header", True).csv(f"{base}/a")
-    time.sleep(1.1)
-    df.coalesce(1).write.option("header", True).csv(f"{base}/b")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
-    assert RD.read_latest_snapshot(spark, f"{base}/*", "csv", schema).count() == 3
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "latitude", "longitude")])
+    rows = spark.range(1000).selectExpr("cast(id as string) id", "'41.8' latitude", "'-87.7' longitude").repartition(4)
+    WR.write_raw_snapshot(rows.limit(10), f"{base}/snapshot-1")
+    WR.write_raw_snapshot(rows, f"{base}/snapshot-2")
+    assert RD.read_latest_snapshot(spark, base, "csv", schema).count() == 1000
+    one = f"{base}/snapshot-3.csv"
+    with open(one, "w") as f:
+        f.write("id,latitude,longitude\n1,2,3\n")
+    assert [tuple(r) for r in RD.read_latest_snapshot(spark, base, "csv", schema).collect()] == [("1", "2", "3")]
+
+
+def test_latest_snapshot_with_partition_folders(spark):
+    base = tempfile.mkdtemp(prefix="cs-test-")
+    df = spark.range(100).selectExpr("id", "id % 3 as year", "id % 2 as half")
+    df.write.partitionBy("year", "half").parquet(f"{base}/features")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "year", "half")])
+    assert RD.read_latest_snapshot(spark, base, "parquet", schema).count() == 100
+
+
+def test_reports_are_bounded(spark):
+    with pytest.raises(ValueError):
+        WR.write_report(spark.range(WR.MOST_REPORT_ROWS + 1), os.path.join(tempfile.mkdtemp(prefix="cs-test-"), "report"))
 
 
 def test_source_query_filters_and_orders(spark):

@@ -31,3 +31,26 @@ def test_score_table_is_read_from_checkpoint(spark):
     # the per-score table is checkpointed: the AUC plan itself no longer scans the input
     plan = _plan(E.queries()["k2_roc_auc"](spark, SMOKE_DIR))
     assert "FileScan parquet" not in plan
+
+
+def test_features_are_attached_without_shuffling_the_rows(spark):
+    """With automatic broadcasts off, a table counted to be small is still broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("d3_district_density", "i4_stratified_split", "d13_nearest_occupied"):
+            plan = _plan(E.queries()[name](spark, SMOKE_DIR))
+            assert "SortMergeJoin" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_correlation_scans_and_keeps_one_row_per_row(spark):
+    plan = _plan(E.queries()["f10_correlation"](spark, SMOKE_DIR))
+    assert plan.count("FileScan parquet") == 1 and plan.index("Generate") < plan.index("HashAggregate")
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from citysense.session import is_one_machine
+    assert is_one_machine("local[4]") and is_one_machine("local")
+    assert not any(map(is_one_machine, ("local-cluster[2,1,1024]", "yarn", "spark://host:7077", "k8s://x")))

@@ -15,7 +15,7 @@ ROWS = [
     ("2", "HZ123457", dt.datetime(2023, 1, 2), "THEFT", "PURSE-SNATCHING", "false", 41.8782, -87.6299, "CTA PLATFORM"),
     ("3", "HZ123458", dt.datetime(2023, 1, 3), "THEFT", "POCKET-PICKING", "true", 41.8783, -87.6300, "RESIDENCE"),
     ("4", "HZ123459", dt.datetime(2023, 1, 4), "THEFT", "PURSE-SNATCHING", "false", 41.8784, -87.6301, "RESTAURANT"),
-    ("5", "HZ123460", dt.datetime(2023, 1, 5), "THEFT", "POCKET-PICKING", "true", None, None, "GROCERY"),
+    ("5", "HZ123460", dt.datetime(2023, 1, 5), "THEFT", "POCKET-PICKING", "true", float("nan"), float("nan"), "GROCERY"),
 ]
 SCHEMA = ("id string, case_number string, date timestamp_ntz, primary_type string, description string, "
           "arrest string, latitude double, longitude double, location_description string")
@@ -70,3 +70,10 @@ def test_align_and_common_columns(frame):
     assert a.columns == ["latitude", "beat"] and a.where(F.col("beat") != 0).count() == 0
     l, r = CL.common_columns(frame, frame.select("latitude", "id"))
     assert l.columns == ["id", "latitude"]
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([("nan", 1.0), ("41.8", float("nan")), ("41.8", 1.0), ("x", 1.0), (None, None)], "latitude string, longitude double")
+    out = CL.coerce_numeric(df, ["latitude", "longitude"])
+    assert [tuple(r) for r in out.collect()] == [(None, 1.0), (41.8, None), (41.8, 1.0), (None, 1.0), (None, None)]
+    assert CL.drop_missing_coordinates(out).count() == 1
