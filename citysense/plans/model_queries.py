@@ -8,10 +8,12 @@ asserted in ``tests/``.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import clean as CL
 from ..operators import evaluate as EV
@@ -322,6 +324,42 @@ def h8_trend_seasonal(spark, sf):
     return FC.trend_seasonal(_weekly(spark, sf))
 
 
+def _residual_sums(rows, residual, features, keys=()):
+    """Mean of residual times feature over the training rows: 0 for a least-squares fit."""
+    sums = rows.groupBy(*keys).agg(*[F.avg(residual * x).alias(name) for name, x in features.items()])
+    cells = F.array(*[F.struct(F.lit(name).alias("feature"), (F.round(F.col(name), 4) + 0.0).alias("mean_product")) for name in features])
+    return sums.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+
+
+@register("h6_lag_forecast_residuals", "select feature, cast(0 as double) as mean_product from (values ('one'), "
+          + ", ".join(f"('x{i}')" for i in range(8)) + ") t(feature)")
+def h6_lag_forecast_residuals(spark, sf):
+    """H6 (linear) solves its normal equations: residuals are orthogonal to every lag."""
+    samples = materialize(TS.prepare_series(fx.incident_log(spark, sf), "W", 8, series_cols=["series"]))
+    found = FC.global_lag_regressor(samples, "linear").select("series", "period_end", "predicted")
+    rows = samples.where(F.col("split") == "train").join(found, ["series", "period_end"])
+    span = F.when(F.col("scale_max") == F.col("scale_min"), 1.0).otherwise(F.col("scale_max") - F.col("scale_min"))
+    residual = F.col("y_scaled") - (F.col("predicted") - F.col("scale_min")) / span
+    return _residual_sums(rows, residual, {"one": F.lit(1.0), **{f"x{i}": F.col("x_scaled")[i] for i in range(8)}})
+
+
+def _h8_residuals_sql() -> str:
+    from .timeseries_queries import LOG, _resample_sql
+    names = ", ".join(f"('{x}')" for x in ("one", "t", "s1", "c1", "s2", "c2", "s3", "c3"))
+    return (LOG + ", " + _resample_sql("W") + " select series, feature, cast(0 as double) as mean_product "
+            f"from (select distinct series from filled), (values {names}) t(feature)")
+
+
+@register("h8_trend_seasonal_residuals", _h8_residuals_sql())
+def h8_trend_seasonal_residuals(spark, sf):
+    """H8 solves the normal equations of each series."""
+    t = (F.row_number().over(Window.partitionBy("series").orderBy("period_end")) - 1).cast("double")
+    rows = FC.trend_seasonal(_weekly(spark, sf)).withColumn("t", t).where(F.col("split") == "train")
+    turn = {f"{n}{k}": f(F.col("t") * (2 * math.pi * k / (365.25 / 7))) for k in (1, 2, 3) for n, f in (("s", F.sin), ("c", F.cos))}
+    # the trend is scaled to about 1, so that rounding means the same for all features
+    return _residual_sums(rows, F.col("actual") - F.col("predicted"), {"one": F.lit(1.0), "t": F.col("t") / 100, **turn}, ["series"])
+
+
 @register("h9_model_comparison")
 def h9_model_comparison(spark, sf):
     """H9 over the three forecasters' test periods."""
