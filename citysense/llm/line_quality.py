@@ -10,6 +10,8 @@ The work is a column function (an Arrow UDF): texts go to the workers once, all
 other columns of the row stay where they are, and nothing is shuffled. Words,
 lines and windows are found with numpy over a few megabytes of text at a time.
 
+Words are compared as written, case and all.
+
 Defined results: a null or empty text has all counts 0, keeps no text and is
 rejected (fewer words than the least); repeated rows get equal answers; an
 empty table gives no rows; other columns are untouched, whatever their names.
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import fresh_name
-from .textbytes import BLANK_WORDS, LINES, PLAIN_WORDS, covered, per_document, seen_in_document, slices, windows
+from .textbytes import LINES, PLAIN_WORDS, WRITTEN_WORDS, covered, per_document, seen_in_document, slices, windows
 
 #: Phrases of page furniture and licences; a short line that holds one is boilerplate.
 BOILERPLATE = (
@@ -84,12 +86,12 @@ def _between(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def _judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict:
     n_docs = len(offsets) - 1
-    starts, ends, bounds = BLANK_WORDS.find(data, offsets)
+    starts, ends, bounds = WRITTEN_WORDS.find(data, offsets)
     n_words = np.diff(bounds)
-    hashes = BLANK_WORDS.hashes(data, starts, ends)
+    hashes = WRITTEN_WORDS.hashes(data, starts, ends)
     owner = np.repeat(np.arange(n_docs), n_words)
 
-    in_word = BLANK_WORDS.inside[data]
+    in_word = WRITTEN_WORDS.inside[data]
     out = {"n_words": n_words,
            "word_chars": per_document(in_word & _LEADING[data], offsets),
            "n_symbols": per_document(_SYMBOL[data], offsets)}

@@ -90,8 +90,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers_to(usual) if n < usual else _powers_to.__wrapped__(n + 1)
 
 
-#: Words of the contracts: all but the blank and 0x09-0x0D; or letters, digits and all beyond ASCII.
+#: Words: all but the blank and 0x09-0x0D, with A-Z as a-z or as written; or letters, digits and all beyond ASCII.
 BLANK_WORDS = Runs(b" \t\n\x0b\x0c\r")
+WRITTEN_WORDS = Runs(b" \t\n\x0b\x0c\r", lower=False)
 PLAIN_WORDS = Runs(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 LINES = Runs(b"\n", lower=False)
 
