@@ -56,8 +56,8 @@ class Rules:
     max_bullets_per_word: float = 0.3
     #: boilerplate: a line of at most so many words that holds one of BOILERPLATE
     max_boilerplate_words: int = 25
-    #: the document: the largest share of its text (UTF-8 bytes of lines) that may be removed
-    max_lost_share: float = 0.5
+    #: the document: the largest share of its text (UTF-8 bytes of lines, boilerplate aside) that noise and navigation may take
+    max_lost_share: float = 0.4
 
 
 DEFAULT_RULES = Rules()
@@ -131,7 +131,8 @@ def _judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict:
     removed = navigation | punctuation | boilerplate
     per_doc = lambda flags, weights=None: np.bincount(line_owner[flags], weights, minlength=n_docs)
     size = (last - first).astype(float)
-    everything, lost = np.bincount(line_owner, size, minlength=n_docs), per_doc(removed, size[removed])
+    noise_lines = navigation | punctuation
+    everything, lost = per_doc(~boilerplate, size[~boilerplate]), per_doc(noise_lines, size[noise_lines])
     out |= {"n_lines": np.diff(line_bounds), "n_punctuation_lines": per_doc(punctuation),
             "n_navigation_lines": per_doc(navigation), "n_boilerplate_lines": per_doc(boilerplate),
             "lost_share": lost / np.maximum(everything, 1)}
