@@ -63,12 +63,16 @@ _NAMES = ["kind", "shard", "block", "numbers"]
 # -- packed arrays ---------------------------------------------------------------------------------
 
 def _pack(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Columns of hashes by a sorted table of the distinct ones, and columns of counts. Bytes of equal
-    weight stand together, so that the shuffle's compression finds the zeros."""
+    """Columns of hashes by a sorted table of the distinct ones, and columns of counts. The rows are
+    sorted, the first column and the table are kept as steps, and bytes of equal weight stand
+    together, so that the shuffle's compression finds the zeros."""
     held, place = np.unique(np.concatenate(words), return_inverse=True)
-    steps = np.diff(held, prepend=np.uint64(0))
     n = len(words[0])
-    columns = [steps, *(place[i * n:(i + 1) * n].astype(np.uint32) for i in range(len(words))), *(v.astype(np.int64) for v in values)]
+    place = place.reshape(len(words), n).astype(np.uint32)
+    order = np.lexsort(place[::-1])
+    place = place[:, order]
+    place[0] = np.diff(place[0], prepend=np.uint32(0))
+    columns = [np.diff(held, prepend=np.uint64(0)), *place, *(v[order].astype(np.int64) for v in values)]
     head = np.array([len(words), len(values), n, len(held)], dtype=np.int64).tobytes()
     return head + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
 
@@ -85,8 +89,9 @@ def _unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         return np.ascontiguousarray(raw.T).view(kind).reshape(-1)
 
     held = np.cumsum(column(np.uint64, n_held), dtype=np.uint64)
-    words = [held[column(np.uint32, n)] for _ in range(n_words)]
-    return words, [column(np.int64, n) for _ in range(n_values)]
+    place = [column(np.uint32, n) for _ in range(n_words)]
+    place[0] = np.cumsum(place[0], dtype=np.uint32)
+    return [held[p] for p in place], [column(np.int64, n) for _ in range(n_values)]
 
 
 def _hash(words: list[np.ndarray]) -> np.ndarray:
