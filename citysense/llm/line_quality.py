@@ -111,6 +111,7 @@ def _judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict:
     symbols, bullets = _between(_SYMBOL[data], first, last), _between(_BULLET[data], first, last)
     shouts = np.zeros(len(data), dtype=bool)  # a ! or ? right after another
     shouts[1:] = _SHOUT[data[1:]] & _SHOUT[data[:-1]]
+    shouts[offsets[:-1][offsets[:-1] < len(data)]] = False  # nothing stands before a document's first character
     points = _between(_LEADING[data], first, last)
     signs = _between(_SIGN[data], first, last)
     navigation = with_word & (bullets >= 2) & (bullets > rules.max_bullets_per_word * least)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import with_hits
 from .kneser_ney import score_held_out
-from .line_quality import line_quality
+from .line_quality import BOILERPLATE, DEFAULT_RULES, line_quality
 from .packing import pack
 from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
@@ -36,12 +36,55 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("op3_line_quality")
+def _line_quality_sql() -> str:
+    r, word = DEFAULT_RULES, "[^\\x20\\x09-\\x0D]+"
+    found = lambda pattern: f"len(regexp_extract_all(x, '{pattern}'))"
+    phrases = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+                     regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+lines AS (
+  SELECT k, i, ls[i] AS x, translate(ls[i], '{upper}', '{upper.lower()}') AS low
+  FROM (SELECT k, string_split(text, chr(10)) AS ls FROM docs), unnest(range(1, len(ls) + 1)) t(i) WHERE ls[i] <> ''),
+counted AS (
+  SELECT k, i, x, low, strlen(x) AS size, length(x) AS points, {found(word)} AS n, {found("[#*$%&|<>]")} AS symbols, {found("[|>/]")} AS bullets,
+         length(x) - length(regexp_replace(x, '[!?]', '', 'g')) - {found("[!?]+")} AS shouts,
+         {found("[\\x00-\\x08\\x0E-\\x1F\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")} AS signs
+  FROM lines),
+menus AS (SELECT *, n > 0 AND bullets >= 2 AND bullets > {r.max_bullets_per_word}::DOUBLE * greatest(n, 1) AS nav FROM counted),
+noisy AS (SELECT *, n > 0 AND NOT nav AND (symbols - least(symbols, bullets) + shouts > {r.max_noise_per_word}::DOUBLE * greatest(n, 1)
+                 OR signs > {r.max_sign_share}::DOUBLE * greatest(points, 1)) AS noise FROM menus),
+judged AS (SELECT *, NOT nav AND NOT noise AND n <= {r.max_boilerplate_words} AND ({phrases}) AS boiler,
+                  n > 0 AND row_number() OVER (PARTITION BY k, x ORDER BY i) > 1 AS again FROM noisy),
+texts AS (
+  SELECT k, count(*) AS n_lines, sum(again::INT) AS dup, sum(noise::INT) AS noise, sum(nav::INT) AS nav, sum(boiler::INT) AS boiler,
+         sum(CASE WHEN noise OR nav THEN size ELSE 0 END) / greatest(sum(CASE WHEN boiler THEN 0 ELSE size END), 1) AS lost,
+         sum(CASE WHEN noise OR nav OR boiler THEN 0 ELSE n END) AS words_left
+  FROM judged GROUP BY k),
+grams AS (SELECT k, i, array_to_string(w[i:i + {r.window - 1}], ' ') AS g FROM docs, unnest(range(1, len(w) - {r.window - 2})) t(i)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM grams) WHERE c > 1),
+repeats AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + {r.window})) AS p FROM twice) GROUP BY k),
+counts AS (
+  SELECT d.k, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(noise, 0) AS noise,
+         coalesce(nav, 0) AS nav, coalesce(boiler, 0) AS boiler, coalesce(lost, 0) AS lost, coalesce(words_left, 0) AS words_left
+  FROM docs d LEFT JOIN texts USING (k) LEFT JOIN repeats r USING (k))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed,
+       NOT base_failed AND lost <= {r.max_lost_share}::DOUBLE AND words_left > 0 AS kept, n_lines::BIGINT AS n_lines,
+       noise::BIGINT AS n_punctuation_lines, nav::BIGINT AS n_navigation_lines, boiler::BIGINT AS n_boilerplate_lines,
+       round(lost::DOUBLE, 6) AS lost_share
+FROM counts"""
+
+
+@query("op3_line_quality", _line_quality_sql())
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", line_quality(F.col("text")).alias("q"))
     return docs.select("doc_id", *[f"q.{x}" for x in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "n_punctuation_lines", "n_navigation_lines", "n_boilerplate_lines", "lost_share")])
+        "n_lines", "n_punctuation_lines", "n_navigation_lines", "n_boilerplate_lines")],
+        F.round("q.lost_share", 6).alias("lost_share"))
 
 
 SHARDS = 24
@@ -54,7 +97,30 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op10_decontamination")
+def _words_sql(table_: str, id_: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return (f"SELECT row_number() OVER () AS k, {id_}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), "
+            f"'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_}")
+
+
+DECONTAMINATION_ORACLE = f"""
+WITH docs AS ({_words_sql("documents", "doc_id")}), items AS ({_words_sql("benchmark", "item_id")}),
+grams AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) t(i)),
+hits AS (
+  SELECT k, i, n, item_id
+  FROM (SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM docs, (SELECT DISTINCT n FROM grams), unnest(range(1, len(w) - n + 2)) t(i))
+  JOIN grams USING (n, g)),
+words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hits) GROUP BY k),
+named AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x
+          FROM (SELECT DISTINCT k, coalesce(item_id::VARCHAR, 'null') AS x FROM hits) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (k) LEFT JOIN named USING (k)"""
+
+
+@query("op10_decontamination", DECONTAMINATION_ORACLE)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_hits(docs, table(spark, sf_dir, "benchmark"), "hits")
