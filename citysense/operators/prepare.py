@@ -59,7 +59,7 @@ def _ranked_by_hash(df: DataFrame, id_col: str, partition_cols: Sequence[str], s
 def _below_cut(df: DataFrame, cutoffs: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
     """Add ``_below``: whether the row's hash is at or below its class's cut (one row per class, joined by size)."""
     cuts = cutoffs.select(F.col(label).alias("_class"), "cut")
-    joined = attach(df, cuts, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
+    joined = attach(df, cuts, F.col(label).eqNullSafe(F.col("_class")), "left", written=True).drop("_class")
     return joined.withColumn("_below", F.coalesce(row_hash(id_col, seed) <= F.col("cut"), F.lit(False))).drop("cut")
 
 

@@ -75,51 +75,58 @@ def _bucketed(df: DataFrame, order_col: str, buckets: int) -> tuple[DataFrame, C
     return cut.transform(keyed).withColumn("_key", F.col("_cut")).drop("_cut"), F.col("_key")
 
 
+#: Hashes of one prefix that are sorted in one task; a longer list is counted by longer prefixes first.
+MOST_SORTED = 100_000
+
+
 def hash_cutoffs(df: DataFrame, hash_: Column, take: Column, group_cols: Sequence[str], digits: int = 4,
-                 levels: int = 2) -> DataFrame:
+                 most: int = MOST_SORTED) -> DataFrame:
     """For each group the least hash text below or at which ``take`` of its rows lie: ``(group, rows, take, cut)``.
 
     ``take`` may use ``rows``, the group's size; where it is 0 or less, ``cut`` is NULL. Rows with equal
-    hashes lie on the same side. Each level counts rows by ``digits`` more leading hex digits, inside the
-    one prefix that holds the cut, and so narrows it 65,536 times; then one short prefix is left to sort.
-    A count has at most ``16 ** digits`` rows for each group, and no row is shuffled.
+    hashes lie on the same side. Rows are counted by the leading hex digits of their hash, which leaves
+    one prefix with the cut; while that of any group holds more than ``most`` rows, they are counted by
+    ``digits`` more digits inside it. A count has at most ``16 ** digits`` rows for each group, and no
+    row is shuffled. Equal hashes beyond the last digit are one hash.
     """
     g = list(group_cols) or ["_all"]
     keyed = df.withColumn("_all", F.lit(0)).select(*g, hash_.alias("_h"))
-    state = None
-    for level in range(levels):
-        if state is None:
-            rows, length = keyed, digits
-        else:
-            rows, length = _inside(keyed, state, g), digits * (level + 1)
+    state, groups, length = None, None, 0
+    while state is None or (longest > most and length < 32):
+        length += digits
+        rows = keyed if state is None else _inside(keyed, state, g, groups)
         counts = rows.groupBy(*g, F.substring("_h", 1, length).alias("_prefix")).agg(F.count(F.lit(1)).alias("_c"))
-        w = Window.partitionBy(*g).orderBy("_prefix")
+        whole = F.sum("_c").over(Window.partitionBy(*g))
         if state is None:
-            sized = counts.withColumn("rows", F.sum("_c").over(Window.partitionBy(*g))).withColumn("take", take.cast("long"))
-            sized = sized.withColumn("_left", F.col("take"))
+            sized = counts.withColumn("rows", whole).withColumn("take", take.cast("long")).withColumn("_left", F.col("take"))
         else:
-            sized = _joined(counts, state.select(*g, "rows", "take", "_left"), g)
-        upto = sized.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            sized = _joined(counts, state.select(*g, "rows", "take", "_left"), g, groups)
+        upto = sized.withColumn("_upto", F.sum("_c").over(
+            Window.partitionBy(*g).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         # the prefix with the cut; for a take of 0 the first one, for one beyond the rows the last
-        wanted = F.least(F.greatest(F.col("_left"), F.lit(1)), F.sum("_c").over(Window.partitionBy(*g)))
-        at = upto.withColumn("_wanted", wanted).where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_c") < F.col("_wanted")))
-        state = materialize(at.select(*g, "rows", "take", (F.col("_wanted") - (F.col("_upto") - F.col("_c"))).alias("_left"), "_prefix"))
-    ends = _inside(keyed, state, g).groupBy(*g).agg(F.sort_array(F.collect_list("_h")).alias("_hs"))
-    out = _joined(ends, state, g)
-    return materialize(out.select(*g, "rows", "take", F.when(F.col("take") > 0, F.element_at("_hs", F.col("_left").cast("int"))).alias("cut")))
-
-
-def _joined(rows: DataFrame, table: DataFrame, g: list[str]) -> DataFrame:
-    """Rows with the columns of a table of one row for each group; NULL groups match."""
+        upto = upto.withColumn("_wanted", F.least(F.greatest(F.col("_left"), F.lit(1)), whole))
+        at = upto.where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_c") < F.col("_wanted")))
+        state = materialize(at.select(*g, "rows", "take", (F.col("_wanted") - (F.col("_upto") - F.col("_c"))).alias("_left"), "_prefix", "_c"))
+        groups, longest = state.agg(F.count(F.lit(1)), F.coalesce(F.max("_c"), F.lit(0))).first()
+    # where a prefix is a whole hash it is the cut, however many rows share it
+    listed = F.collect_set("_h") if length >= 32 else F.collect_list("_h")
+    ends = _inside(keyed, state, g, groups).groupBy(*g).agg(F.sort_array(listed).alias("_hs"))
+    out = _joined(ends, state, g, groups)
+    place = F.least(F.col("_left"), F.size("_hs")).cast("int")
+    return materialize(out.select(*g, "rows", "take", F.when(F.col("take") > 0, F.element_at("_hs", place)).alias("cut")))
+
+
+def _joined(rows: DataFrame, table: DataFrame, g: list[str], groups: int) -> DataFrame:
+    """Rows with the columns of a table of one row for each of so many groups; NULL groups match."""
     named = table.select(*[F.col(c).alias(f"_g_{c}") for c in g], *[c for c in table.columns if c not in g])
     same = F.lit(True)
     for c in g:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return attach(rows, named, same).drop(*[f"_g_{c}" for c in g])
+    return rows.join(F.broadcast(named) if groups <= MOST_BROADCAST_ROWS else named, same).drop(*[f"_g_{c}" for c in g])
 
 
-def _inside(keyed: DataFrame, state: DataFrame, g: list[str]) -> DataFrame:
-    found = _joined(keyed, state.select(*g, "_prefix"), g)
+def _inside(keyed: DataFrame, state: DataFrame, g: list[str], groups: int) -> DataFrame:
+    found = _joined(keyed, state.select(*g, "_prefix"), g, groups)
     return found.where(F.col("_h").startswith(F.col("_prefix"))).drop("_prefix")
 
 
@@ -127,10 +134,12 @@ def _inside(keyed: DataFrame, state: DataFrame, g: list[str]) -> DataFrame:
 MOST_BROADCAST_ROWS = 100_000
 
 
-def attach(rows: DataFrame, table: DataFrame, same: Column, how: str = "inner", most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, same: Column, how: str = "inner", most: int = MOST_BROADCAST_ROWS,
+           written: bool = False) -> DataFrame:
     """Join a small table onto all rows without shuffling these: it is broadcast if it is counted to have at
-    most ``most`` rows; a larger one is left to a shuffled join with adaptive skew splitting."""
-    table = materialize(table)
+    most ``most`` rows; a larger one is left to a shuffled join with adaptive skew splitting. ``written``:
+    the table is a checkpoint already."""
+    table = table if written else materialize(table)
     return rows.join(F.broadcast(table) if table.count() <= most else table, same, how)
 
 

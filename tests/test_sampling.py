@@ -33,12 +33,12 @@ def test_undersampling_ignores_unknown_labels(spark):
     assert PR.undersample(labelled(spark).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("digits", [1, 4])
-def test_hash_cutoffs(spark, digits):
+@pytest.mark.parametrize(("digits", "most"), [(4, 100_000), (1, 3)])
+def test_hash_cutoffs(spark, digits, most):
     df = labelled(spark, extra=[(7000, 2), (None, None)])
     h = PR.row_hash("id")
     for take in (0, 1, 37, 5000):
-        cuts = hash_cutoffs(df, h, F.lit(take), ["label"], digits)
+        cuts = hash_cutoffs(df, h, F.lit(take), ["label"], digits, most)
         rows = {r.label: r for r in cuts.collect()}
         for label in (0, 1, 2, None):
             own = sorted(r.h for r in df.where(F.col("label").eqNullSafe(label)).select(h.alias("h")).collect())
@@ -46,6 +46,15 @@ def test_hash_cutoffs(spark, digits):
             assert rows[label].cut == (None if not take else own[min(take, len(own)) - 1])
 
 
+def test_hash_cutoffs_of_repeated_hashes(spark):
+    df = spark.createDataFrame([(1,)] * 50 + [(2,)] * 5, "id long")
+    h = PR.row_hash("id")
+    hashes = sorted(df.select(h.alias("h")).distinct().toPandas()["h"])
+    first = 50 if df.where("id = 1").select(h.alias("h")).first().h == hashes[0] else 5
+    for take, want in ((1, hashes[0]), (first, hashes[0]), (first + 1, hashes[1]), (55, hashes[1])):
+        assert hash_cutoffs(df, h, F.lit(take), [], 4, 10).first().cut == want
+
+
 def test_prefix_sums_with_unknown_groups_and_many_buckets(spark):
     df = spark.createDataFrame([(g, float(k)) for g in ("a", None) for k in range(50)] + [("a", float("nan"))], "g string, k double").withColumn("w", F.lit(1))
     for buckets in (1, 7, 400):
