@@ -209,16 +209,20 @@ def _mapped(folder: str, name: str, kind) -> np.ndarray:
         return np.frombuffer(mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ), dtype=kind)
 
 
-#: Values of each kind of file: n-grams' adjusted counts; contexts' totals and followers seen once, twice, more; raw counts of words.
-_VALUES = {"gram": ("count",), "context": ("total", "once", "twice", "more"), "raw": ("count",)}
-
-
 def _values(kind: str) -> tuple[str, ...]:
-    return _VALUES[kind.rstrip("0123456789")]
+    """The value files of a kind: n-grams' adjusted counts (of single words also the raw ones); contexts'
+    totals and followers seen once, twice, more."""
+    if kind.startswith("context"):
+        return "total", "once", "twice", "more"
+    return ("count", "raw") if kind == "gram1" else ("count",)
+
 
+def _merge(folder: str, bits: int):
+    """Merges the blocks of one kind and shard, writes its files, and emits blocks for the lower order.
 
-def _merge(folder: str, bits: int, top: int):
-    """Merges the blocks of one kind and shard, writes its files, and emits blocks for lower orders."""
+    Below the highest order blocks hold two values: the adjusted count, and how often the words stand at
+    the end of an n-gram of the highest order, which for single words is their raw count.
+    """
     def merge(group: pa.Table) -> pa.Table:
         kind, shard = group["kind"][0].as_py(), group["shard"][0].as_py()
         if kind.startswith("file"):
@@ -229,23 +233,22 @@ def _merge(folder: str, bits: int, top: int):
         del parts
         keys, words, values = _summed(words, values)
         _write(folder, f"{kind}-{shard:06d}.keys", keys)
-        for name, v in zip(_values(kind), values, strict=True):
-            _write(folder, f"{kind}-{shard:06d}.{name}", v.astype(np.uint32 if len(v) == 0 or v.max() < 1 << 32 else np.uint64))
-        wide = [int(len(v) > 0 and v.max() >= 1 << 32) for v in values]
-        rows = []
-        numbers = [len(keys), int(values[0].sum()), *wide]
+        kept = [values[0], values[-1]] if kind == "gram1" else values[:1] if kind.startswith("gram") else values
+        wide = [int(len(v) > 0 and v.max() >= 1 << 32) for v in kept]
+        for name, v, w in zip(_values(kind), kept, wide, strict=True):
+            _write(folder, f"{kind}-{shard:06d}.{name}", v.astype(np.uint64 if w else np.uint32))
+        rows, numbers = [], [len(keys), int(values[0].sum()), int(values[-1].sum())]
         if kind.startswith("gram"):
-            order, counts = len(words), values[0]
-            numbers = [len(keys), int(counts.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), *wide]
+            order, counts, raw = len(words), values[0], values[-1]
+            numbers += [int((counts == k).sum()) for k in (1, 2, 3, 4)]
             ones = np.ones(len(keys), dtype=np.int64)
             if order > 1:
                 # contexts by their hash only: nothing below needs their words
                 context = _hash(words[:-1])
                 rows += _blocks(f"context{order}", *_summed([context], [counts, ones * (counts == 1), ones * (counts == 2), ones * (counts > 2)]), bits)
                 below = np.where(words[1] == BEGIN, counts, ones)
-                rows += _blocks(f"gram{order - 1}", *_summed(words[1:], [below]), bits)
-            if order == top:
-                rows += _blocks("raw", *_summed(words[-1:], [counts]), bits)
+                rows += _blocks(f"gram{order - 1}", *_summed(words[1:], [below, raw]), bits)
+        numbers += wide
         rows.append((f"file:{kind}", shard, None, numbers))
         return pa.Table.from_batches([_batch(rows)])
 
@@ -305,22 +308,21 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shard_bytes:
     bits = max(0, int(size) // shard_bytes).bit_length()
     folder = shared_folder(docs.sparkSession, "kneser-ney")
     rows = texts.mapInArrow(_count(order, bits, chunk_tokens), _ROWS)
-    for _ in range(order + 1):  # the orders from the highest, then what the lowest has left
-        rows = rows.groupBy("kind", "shard").applyInArrow(_merge(folder, bits, order), _ROWS)
+    for _ in range(order + 1):  # the orders from the highest, then the contexts of the lowest
+        rows = rows.groupBy("kind", "shard").applyInArrow(_merge(folder, bits), _ROWS)
     found = materialize(rows.select("kind", "shard", "numbers")).collect()  # a row for each kind and shard
 
     files: dict[str, list] = {}
     sums: dict[str, np.ndarray] = {}
     for r in sorted(found, key=lambda r: (r.kind, r.shard)):
         kind = r.kind.removeprefix("file:")
-        n = 6 if kind.startswith("gram") else 2
+        n = 7 if kind.startswith("gram") else 3
         files.setdefault(kind, []).append((r.shard, tuple(r.numbers[n:])))
         sums[kind] = sums.get(kind, np.zeros(n, dtype=np.int64)) + np.array(r.numbers[:n])
-    grams = [sums.get(f"gram{k}", np.zeros(6, dtype=np.int64)).tolist() for k in range(1, order + 1)]
-    raw = sums.get("raw", np.zeros(2, dtype=np.int64)).tolist()
-    n, total, once, twice = grams[0][:4]
-    return KneserNeyModel(folder, order, bits, {k: tuple(v) for k, v in files.items()}, tuple(discounts(g[2:6]) for g in grams),
-                          raw[1], raw[0], (total, once, twice, n - once - twice))
+    grams = [sums.get(f"gram{k}", np.zeros(7, dtype=np.int64)).tolist() for k in range(1, order + 1)]
+    n, total, tokens, once, twice = grams[0][:5]
+    return KneserNeyModel(folder, order, bits, {k: tuple(v) for k, v in files.items()}, tuple(discounts(g[3:7]) for g in grams),
+                          tokens, n, (total, once, twice, n - once - twice))
 
 
 class _Files:
@@ -358,7 +360,7 @@ def _opened(model: KneserNeyModel) -> tuple:
     if model.folder not in _OPEN:
         _OPEN.clear()
         _OPEN[model.folder] = ([_Files(model, f"gram{k}") for k in range(1, model.order + 1)],
-                               [_Files(model, f"context{k}") for k in range(2, model.order + 1)], _Files(model, "raw"))
+                               [_Files(model, f"context{k}") for k in range(2, model.order + 1)])
     return _OPEN[model.folder]
 
 
@@ -368,15 +370,15 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
 
 def token_probabilities(model: KneserNeyModel, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """p(token | before) of each token, and its count in the training texts."""
-    grams, contexts, raw = _opened(model)
+    grams, contexts = _opened(model)
     columns = _columns(tokens, begins, model.order)
     words, place = np.unique(tokens, return_inverse=True)
-    counts = raw.find(words)[0][place]
+    adjusted, counts = (v[place] for v in grams[0].find(words))
     total, once, twice, more = model.words
     d = model.discounts[0]
     p = np.full(len(tokens), 1 / (model.vocabulary + 1))
     if total:
-        own = _discounted(grams[0].find(words)[0], d)[place]
+        own = _discounted(adjusted, d)
         p = (own + (d[0] * once + d[1] * twice + d[2] * more) * p) / total
     for k in range(2, model.order + 1):
         context = _hash(columns[-k:-1])
