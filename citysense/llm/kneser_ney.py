@@ -1,6 +1,6 @@
 """Operator 2: interpolated modified Kneser-Ney n-gram model, counted in Spark.
 
-*Counting.* Workers turn texts into 64-bit word hashes and count n-grams by a few
+*Counting.* Workers turn texts into 64-bit word hashes and count n-grams by a
 million tokens at a time. The counts travel as packed arrays, one row for each
 shard of the n-gram hash space, so a very frequent n-gram is one entry in each
 task's array and no key can overload a task. One grouped step for each order
@@ -54,7 +54,7 @@ from .store import materialize, shared_folder
 from .textbytes import BLANK_WORDS, fold, mix, slices
 
 BEGIN, END = mix(np.array([11, 12], dtype=np.uint64))
-CHUNK_TOKENS = 2 << 20
+CHUNK_TOKENS = 1 << 20
 SHARD_BYTES = 16 << 20
 _ROWS = "kind string, shard int, block binary, numbers array<long>"
 _NAMES = ["kind", "shard", "block", "numbers"]
