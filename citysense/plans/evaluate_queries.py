@@ -96,9 +96,14 @@ def k6_compare_models(spark, sf):
 
 
 def _k6_regression_sql():
+    """Regression metrics where the actuals have more than 10 distinct values, else classification metrics."""
     from .timeseries_queries import _K4_SQL, FC
-    none = ", ".join(f"cast(null as double) as {c}" for c in ("accuracy", "precision", "recall", "f1_score"))
-    return FC + f"select model, 'regression' as task, {none}, m.* exclude (model, count) from (select model, {_K4_SQL} from forecasts group by model) m"
+    ratios = ", ".join(f"case when not reg then r.{c} end as {c}" for c in ("accuracy", "precision", "recall", "f1_score"))
+    errors = ", ".join(f"case when reg then m.{c} end as {c}" for c in ("mse", "mae", "r2", "rmse", "mape"))
+    return (FC + ", f as (select model, actual as label, predicted as pred from forecasts), "
+            f"c as (select model, {_COUNTS}, count(distinct label) > 10 as reg from f group by model), "
+            f"r as (select model, reg, {_RATIOS} from c), m as (select model, {_K4_SQL} from forecasts group by model) "
+            f"select r.model, case when reg then 'regression' else 'classification' end as task, {ratios}, {errors} from r join m on r.model = m.model")
 
 
 @register("k6_compare_regressors", _k6_regression_sql())
