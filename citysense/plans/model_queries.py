@@ -204,7 +204,7 @@ def j4_area_safety_report(spark, sf):
     return AS.train_area_safety(fx.incidents(spark, sf)).report
 
 
-#: Axes of RF_GRID that this query searches; all 27 points take over an hour on one machine of 8 cores (README).
+#: Axes of RF_GRID that this query searches; all 27 points are too many for a check on one machine (README).
 _J5_GRID = {"numTrees": [50, 100], "maxDepth": [10], "minInstancesPerNode": [1, 5]}
 
 
