@@ -5,9 +5,10 @@ class a window slides over the candidate; counts and the entropy sum are updated
 for the character that enters and the one that leaves, so a step costs the same
 however wide the window is. Windows above the entropy threshold of their class
 merge into spans, unless an allow-list rule explains the candidate (identifiers,
-paths of URLs, well-known digests and alphabets, ordinary words). To these come
-the spans of three fixed patterns (assignments, access keys, hex strings), which
-no allow-list suppresses.
+paths of URLs, well-known digests and alphabets, ordinary words). Of a URL only
+the path is explained: user-info, host, query and fragment are not, nor is the
+path of a webhook, which is its key. To these come the spans of three fixed
+patterns (assignments, access keys, hex strings), which no allow-list suppresses.
 
 Texts pass through the workers once, in place. Byte-level searches over a few
 megabytes at a time tell which documents can have a span at all; only those
@@ -21,6 +22,7 @@ other columns are untouched, whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
@@ -71,14 +73,22 @@ ALLOWED = tuple(re.compile(x) for x in (
     "([A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z]*[0-9]{0,4}[-_/=+]*",  # names with numbers: version-12/file_name-3
 ))
 _RUNNING = _DIGITS + _LOWER
+#: What ends a URL in running text, JSON, CSV and markup. A password in the user-info may hold slashes (what
+#: follows the colon is then no port). No part runs over another "://", so each character is read a few times at most.
+_URL_END = r"\s\"'`,()\[\]{}<>\\|^“”‘’«»"
+_URL_PATH = re.compile(
+    rf"(?<=[A-Za-z0-9])://(?P<host>(?:[^{_URL_END}@/?#:]*:(?![0-9]*[/?#])(?:(?!://)[^{_URL_END}@])*@)?"
+    rf"(?:[^{_URL_END}@/?#]*@)?(?:\[[0-9A-Fa-f:.]+\])?[^{_URL_END}@/?#;&]*)(?P<path>/(?:(?!://)[^{_URL_END}?#;&])*)")
+_WEBHOOK = re.compile("(^|[/.@])(web)?hooks?[/.]", re.I)
 
 
-def _suppressed(text: str, start: int, end: int) -> bool:
-    own = text[start:end]
-    if any(x.fullmatch(own) for x in ALLOWED) or "EXAMPLE" in own or own.lower() in _RUNNING * 2:
-        return True
-    before = re.search(r"\S*$", text[max(0, start - 2000):start])[0]
-    return "://" in before
+def _allowed(own: str) -> bool:
+    return any(x.fullmatch(own) for x in ALLOWED) or "EXAMPLE" in own or own.lower() in _RUNNING * 2
+
+
+def _url_paths(text: str) -> list[tuple[int, int]]:
+    """Spans of the paths of the URLs in ``text``, without webhooks."""
+    return [m.span("path") for m in _URL_PATH.finditer(text) if not _WEBHOOK.search(m["host"] + m["path"])] if "://" in text else []
 
 
 def entropy_windows(text: str, kind: CharacterClass) -> list[tuple[int, int]]:
@@ -129,10 +139,12 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
-    rich = []
+    rich, paths = [], _url_paths(text)
     for m in _CANDIDATE.finditer(text):
-        if not _suppressed(text, *m.span()):
-            rich += [(m.start() + a, m.start() + b) for kind in CLASSES for a, b in entropy_windows(m[0], kind)]
+        i = bisect_left(paths, m.end(), key=lambda p: p[0]) - 1  # the last path that begins before the candidate's end
+        own = m[0][:max(0, paths[i][0] - m.start())] if i >= 0 and paths[i][1] > m.start() else m[0]
+        if not _allowed(m[0]) and not _allowed(own):
+            rich += [(m.start() + a, m.start() + b) for kind in CLASSES for a, b in entropy_windows(own, kind)]
     own = _merged([(a, b) for _, a, b in base])
     more = [("entropy", a, b) for a, b in _merged(rich) if not any(x <= a and b <= y for x, y in own)]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

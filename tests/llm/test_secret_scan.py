@@ -65,6 +65,34 @@ def test_allow_list():
     assert "assign" in found(f"secret='{RANDOM}EXAMPLE'")
 
 
+def test_only_paths_of_urls_are_allowed(spark):
+    key = "Zk3xQ9vLr7TnB2mWc8YpHs4D"
+    secret = [
+        f'{{"endpoint":"https://api.example.org/v1","auth":"{key}"}}', f"https://api.example.org/v1,{key},7", f"<a>https://example.org/x</a><b>{key}</b>",
+        f"[https://example.org/x]({key})", f"at=https://example.org/x|auth={key}", f"url=https://example.org/x&auth={key}", f"https://example.org/x;{key}",
+        f"https://blob.example.org/a/b?sig={key}&v=1", f"https://example.org?sig={key}", f"https://example.org/x#{key}", f"https://user:{key}@example.org/x",
+        f"https://{key}@example.org/x", f"postgres://user:a/{key}@example.org:5432/x", f"https://proxy.example.org/https://user:{key}@example.org/x",
+        f"https://hooks.example.org/services/T0/B0/{key}", f"https://example.org/api/webhooks/1234/{key}",
+    ]
+    path = [
+        f"https://example.org/{key}", f"https://example.org:8080/a/{key}/b?x=1", f"https://user:pw@example.org/{key}", f"(https://example.org/{key}),", f"file:///a/{key}",
+        f"https://example.org/?to=https://example.com/{key}", f"http://[::1]:80/{key}", f"https://example.org/@me/{key}", "https://example.org/" + "a/b." * 1000 + key,
+    ]
+    for text in secret:
+        assert [text[a:b] for k, a, b in find_secrets(text) if k == "entropy" and key in text[a:b]], text
+    for text in path:
+        assert find_secrets(text) == [], text
+    for dots in (1, 3000):  # whatever the distance
+        assert [k for k, _, _ in find_secrets("https://example.org/x" + "," + "." * dots + key)] == ["entropy"]
+    got = [r.text for r in redact(frame(spark, secret + path)).orderBy("doc_id").collect()]
+    assert not any(key in x for x in got[:len(secret)]) and got[len(secret):] == path
+
+
+def test_many_urls_without_blanks_take_linear_time():
+    for unit in ("a://a:a", "a://a/a", "a://:"):
+        assert find_secrets(unit * 100_000) == []
+
+
 def test_redaction(spark):
     texts = TEXTS + random_texts(10)
     df = clashing(frame(spark, texts))
