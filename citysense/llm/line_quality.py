@@ -2,8 +2,9 @@
 
 Every line of a document is judged by itself: a line of noise punctuation, of
 navigation or of boilerplate is removed. Then the document is judged by what it
-lost: one that loses too large a share of its text, or has no word left, is
-rejected, as is one that fails the base counts (too few words, or too many
+lost: one that loses too large a share of its text to noise and navigation
+(boilerplate aside), or to all three rules together, or has too few words left,
+is rejected, as is one that fails the base counts (too few words, or too many
 words in repeated word windows).
 
 The work is a column function (an Arrow UDF): texts go to the workers once, all
@@ -58,12 +59,14 @@ class Rules:
     max_boilerplate_words: int = 25
     #: the document: the largest share of its text (UTF-8 bytes of lines, boilerplate aside) that noise and navigation may take
     max_lost_share: float = 0.4
+    #: the document: the largest share of all its text that the three rules together may take; one licence line below a short text fits in
+    max_removed_share: float = 0.6
 
 
 DEFAULT_RULES = Rules()
 RESULT = ("struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,base_failed:boolean,"
           "kept:boolean,n_lines:long,n_punctuation_lines:long,n_navigation_lines:long,n_boilerplate_lines:long,"
-          "lost_share:double,cleaned:string>")
+          "lost_share:double,removed_share:double,cleaned:string>")
 
 
 def _bytes_in(values: bytes) -> np.ndarray:
@@ -136,10 +139,12 @@ def _judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict:
     everything, lost = per_doc(~boilerplate, size[~boilerplate]), per_doc(noise_lines, size[noise_lines])
     out |= {"n_lines": np.diff(line_bounds), "n_punctuation_lines": per_doc(punctuation),
             "n_navigation_lines": per_doc(navigation), "n_boilerplate_lines": per_doc(boilerplate),
-            "lost_share": lost / np.maximum(everything, 1)}
+            "lost_share": lost / np.maximum(everything, 1),
+            "removed_share": per_doc(removed, size[removed]) / np.maximum(np.bincount(line_owner, size, minlength=n_docs), 1)}
     out["base_failed"] = (n_words < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_percent * n_words)
     words_left = n_words - per_doc(removed, line_words[removed].astype(float))
-    out["kept"] = ~out["base_failed"] & (out["lost_share"] <= rules.max_lost_share) & (words_left > 0)
+    out["kept"] = (~out["base_failed"] & (out["lost_share"] <= rules.max_lost_share)
+                   & (out["removed_share"] <= rules.max_removed_share) & (words_left >= max(rules.min_words, 1)))
 
     cleaned = []
     touched = per_doc(removed) > 0
@@ -160,13 +165,14 @@ def _judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict:
 
 def line_quality(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """A struct for each text: the base counts, ``base_failed``, ``kept``, how many lines each
-    rule removed, ``lost_share`` and the ``cleaned`` text (without the removed lines)."""
+    rule removed, ``lost_share`` (noise and navigation, boilerplate aside), ``removed_share`` (all removed
+    bytes of all line bytes) and the ``cleaned`` text (without the removed lines)."""
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
                           ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()),
                           ("kept", pa.bool_()), ("n_lines", pa.int64()), ("n_punctuation_lines", pa.int64()),
                           ("n_navigation_lines", pa.int64()), ("n_boilerplate_lines", pa.int64()),
-                          ("lost_share", pa.float64()), ("cleaned", pa.string())])
+                          ("lost_share", pa.float64()), ("removed_share", pa.float64()), ("cleaned", pa.string())])
         for texts in batches:
             parts = [_judge(data, offsets, rules) for _, data, offsets in slices(texts)]
             arrays = []

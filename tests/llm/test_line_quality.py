@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citysense.llm.line_quality import clean_documents, line_quality
+from citysense.llm.line_quality import BOILERPLATE, clean_documents, line_quality
 from citysense.llm.queries import QUERIES
 from citysense.llm.textbytes import BLANK_WORDS, slices
 
@@ -54,6 +54,21 @@ def test_line_rules(spark):
     assert counts[3].lost_share == 1.0 and not counts[3].kept
 
 
+def test_boilerplate_counts_against_the_document(spark):
+    prose = "Ten plain words stand in this one line of text."
+    page = "\n".join(f"Page {i}: {p}, see the {i}th note." for i, p in enumerate(BOILERPLATE))
+    licence = "This work is licensed under the GNU General Public License, version 3."
+    ten = "a day of sun is to be had at sea"
+    texts = [f"{page}\nok", f"{page}\n{prose}", f"{prose}\n{page[:60]}", f"{licence}\nOf the day.", f"{prose}\n{licence}", f"{ten}\n{licence}\nAll rights reserved by the owners."]
+    q = [r.q for r in frame(spark, texts).select("doc_id", line_quality(F.col("text")).alias("q")).orderBy("doc_id").collect()]
+    assert [r.base_failed for r in q] == [False] * 6 and [r.lost_share for r in q] == [0.0] * 6
+    for r, text in zip(q, texts, strict=True):
+        size = lambda t: sum(len(x) for x in t.split("\n"))
+        assert r.removed_share == pytest.approx(1 - size(r.cleaned) / size(text))
+    assert [r.kept for r in q] == [False, False, True, False, True, False]
+    assert {r.doc_id for r in clean_documents(frame(spark, texts)).collect()} == {2, 4}
+
+
 def test_other_columns_repeats_and_empty_tables(spark):
     texts = ["Ten plain words stand in this one line of text."] * 3
     df = clashing(frame(spark, texts))
