@@ -11,6 +11,7 @@ from citysense.operators import sampling as SM
 from citysense.operators.neighbours import nearest_neighbours
 from citysense.operators.stats import hash_cutoffs, ordered_prefix
 from citysense.operators.timeseries import regression_metrics
+from citysense.plans import model_queries
 
 
 def labelled(spark, n=1000, extra=()):
@@ -108,6 +109,24 @@ def test_training_rows(spark):
     assert len(found) == 2 and all(0 <= f <= 1 for _, f in found) and model.getMaxDepth() in (1, 2)
 
 
+def test_searches_cover_whole_grids_and_score_the_refitted_model(spark, monkeypatch):
+    df = labelled(spark, 300, [(900, None)]).withColumns({
+        "features": array_to_vector(F.array(F.col("id") * 1.0, F.lit(0.5))), "split": F.when(F.col("id") % 7 == 0, "test").otherwise("train")})
+    out = model_queries.searched(M.random_forest(num_trees=3), {"maxDepth": [1, 2]}, df, folds=2).collect()
+    assert [r.params for r in out] == ["maxDepth=1", "maxDepth=2"]
+    (best,) = [r for r in out if r.best]
+    assert best.cv_f1 == max(r.cv_f1 for r in out) and [r.test_f1 is None for r in out] == [not r.best for r in out]
+    model = M.fit_balanced(M.random_forest(num_trees=3, max_depth=int(best.params[-1])), df.where("split = 'train'"))
+    test = M.score(model, df.where("split = 'test' and label is not null")).withColumn("pred", (F.col("p1") > 0.2).cast("int"))
+    assert best.test_f1 == pytest.approx(M.f1_of_class1(test, pred="pred")) and 0 <= best.test_auc <= 1
+    asked = []
+    monkeypatch.setattr(model_queries, "searched", lambda estimator, grid, data: asked.append((type(estimator).__name__, len(M.param_grid(estimator, **grid)))))
+    monkeypatch.setattr(model_queries, "_prepared", lambda spark, sf: (None, None))
+    for name in ("j5_rf_grid_search", "j5_gb_grid_search"):
+        getattr(model_queries, name)(spark, "")
+    assert asked == [("RandomForestClassifier", 27), ("GBTClassifier", 27)]
+
+
 def test_depths_that_cannot_be_grown_raise():
     for depth in (0, 31, 50):
         with pytest.raises(ValueError):
