@@ -60,6 +60,7 @@ judged AS (SELECT *, NOT nav AND NOT noise AND n <= {r.max_boilerplate_words} AN
 texts AS (
   SELECT k, count(*) AS n_lines, sum(again::INT) AS dup, sum(noise::INT) AS noise, sum(nav::INT) AS nav, sum(boiler::INT) AS boiler,
          sum(CASE WHEN noise OR nav THEN size ELSE 0 END) / greatest(sum(CASE WHEN boiler THEN 0 ELSE size END), 1) AS lost,
+         sum(CASE WHEN noise OR nav OR boiler THEN size ELSE 0 END) / greatest(sum(size), 1) AS removed,
          sum(CASE WHEN noise OR nav OR boiler THEN 0 ELSE n END) AS words_left
   FROM judged GROUP BY k),
 grams AS (SELECT k, i, array_to_string(w[i:i + {r.window - 1}], ' ') AS g FROM docs, unnest(range(1, len(w) - {r.window - 2})) t(i)),
@@ -68,11 +69,12 @@ repeats AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i +
 counts AS (
   SELECT d.k, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
          coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(noise, 0) AS noise,
-         coalesce(nav, 0) AS nav, coalesce(boiler, 0) AS boiler, coalesce(lost, 0) AS lost, coalesce(words_left, 0) AS words_left
+         coalesce(nav, 0) AS nav, coalesce(boiler, 0) AS boiler, coalesce(lost, 0) AS lost, coalesce(removed, 0) AS removed, coalesce(words_left, 0) AS words_left
   FROM docs d LEFT JOIN texts USING (k) LEFT JOIN repeats r USING (k))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed,
-       NOT base_failed AND lost <= {r.max_lost_share}::DOUBLE AND words_left > 0 AS kept, n_lines::BIGINT AS n_lines,
+       NOT base_failed AND lost <= {r.max_lost_share}::DOUBLE AND removed <= {r.max_removed_share}::DOUBLE
+       AND words_left >= {max(r.min_words, 1)} AS kept, n_lines::BIGINT AS n_lines,
        noise::BIGINT AS n_punctuation_lines, nav::BIGINT AS n_navigation_lines, boiler::BIGINT AS n_boilerplate_lines,
        round(lost::DOUBLE, 6) AS lost_share
 FROM counts"""
