@@ -53,12 +53,28 @@ def test_query_equals_brute_force(spark, tmp_path, benchmark):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
-def test_blocks_give_the_same(spark):
+@pytest.mark.parametrize("bound", [{"max_windows": 7}, {"max_bytes": 400}])
+def test_blocks_give_the_same(spark, bound):
     every = texts()
-    docs, bench = frame(spark, every), spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
+    docs = clashing(frame(spark, [*every, *every[-6:]]))  # repeated rows, and columns named as the operator's own
+    bench = spark.createDataFrame([*enumerate(ITEMS), (90, ITEMS[0]), (91, ITEMS[0])], "item_id long, text string")
     one = with_hits(docs, bench, "h").select("doc_id", "h").orderBy("doc_id").collect()
-    many = with_hits(docs, bench, "h", max_windows=2).select("doc_id", "h").orderBy("doc_id").collect()
+    many = with_hits(docs, bench, "h", **bound).select("doc_id", "h").orderBy("doc_id").collect()
     assert one == many and any(r.h["items"] for r in one)
+    for remove in (remove_spans, remove_documents):
+        a, b = (remove(docs, bench, **k).select("doc_id", "text", "n_chars").orderBy("doc_id").collect() for k in ({}, bound))
+        assert a == b
+
+
+def test_blocks_cut_overlapping_and_nested_windows(spark):
+    """Windows of different blocks overlap, and what is left after a cut joins to a window of another item."""
+    a, b = "a b c d e f g h i j".split(), "k l m n o p q r s t".split()
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[5:] + b[:5])), (3, " ".join(b)), (4, "u v w x y z 1 2 3 4")], "item_id long, text string")
+    docs = frame(spark, [" ".join(a + b), "u v w x y " + " ".join(a + b) + " z 1 2 3 4 end", "left alone", None])
+    whole = [r.text for r in remove_spans(docs, bench).orderBy("doc_id").collect()]
+    for n in (1, 3):
+        assert [r.text for r in remove_spans(docs, bench, max_windows=n).orderBy("doc_id").collect()] == whole
+    assert [x and x.split() for x in whole] == [[], ["end"], ["left", "alone"], None]
 
 
 def test_removal(spark):
