@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import with_hits
 from .kneser_ney import score_held_out
+from .license_scan import labels_of, license_scan
 from .line_quality import BOILERPLATE, DEFAULT_RULES, line_quality
 from .packing import pack
 from .secret_scan import secret_spans, spans_text
@@ -228,3 +229,13 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     linked = link_tool_calls(spark.sql(CHAT_CALLS, conversations=turns), spark.sql(CHAT_RESULTS, conversations=turns), spark.sql(CHAT_SCHEMAS))
     return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", license_scan(F.col("text")).alias("s"))
+    base = F.filter("s.found", lambda d: d["base"])
+    starts = F.transform(base, lambda d: d["start"])
+    return found.select(
+        "doc_id", "s.n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels_of(base).alias("base_labels"), labels_of(F.col("s.found")).alias("labels"), "s.score")
