@@ -115,7 +115,7 @@ FAMILIES: list[Family] = [
     *_gnu("free documentation", "gfdl", "documentation"),
     *_creative(),
     Family("mit", ("mit", "expat"), name=f"(?:mit|expat)(?: x11)? (?:style )?(?:open source )?(?:software )?{_L}", short="mit licen[cs]ed", spdx="mit", url="opensource org licenses mit(?: license)?(?: php)?"),
-    Family("mit-0", ("mit",), name=f"mit no attribution(?: {_L})?", spdx="mit 0", url="opensource org licenses mit 0"),
+    Family("mit-0", ("mit",), name=f"mit no attribution {_L}", spdx="mit 0", url="opensource org licenses mit 0"),
     Family("x11", ("x11",), name=f"x11 {_L}|x consortium {_L}", spdx="x11"),
     Family("apache-2", ("apache", "apache2"), name=f"apache(?: software)? {_L} (?:version |v |v)?2(?: 0)?|apache(?: software foundation)? (?:version |v |v)?2(?: 0)? {_L}",
            short="apache (?:v |v)?2(?: 0)?|apache2|asl 2 0", spdx="apache 2 0", url="apache org licenses license 2 0(?: txt| html)?|opensource org licenses apache 2 0"),

@@ -15,6 +15,7 @@ from .decontaminate import with_hits
 from .kneser_ney import score_held_out
 from .license_scan import labels_of, license_scan
 from .line_quality import BOILERPLATE, DEFAULT_RULES, line_quality
+from .merkle import folded, leaf_hash, merkle_manifest, proof_hash
 from .packing import pack
 from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
@@ -239,3 +240,44 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "s.n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), labels_of(base).alias("base_labels"), labels_of(F.col("s.found")).alias("labels"), "s.score")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: each character stands before seven zeros."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1)), 4294967295::BIGINT), 4294967295)"
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """The trees level by level as lists, enough levels for 3 ** levels leaves and sources; a leaf goes up along its siblings."""
+    entry = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(entry, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    cut = leaf("replace(text, chr(10), '')")
+    up = lambda x: f"CASE WHEN len({x}) > 1 THEN list_transform(range(0, (len({x}) + 2) // 3), lambda i: sha256(array_to_string({x}[3 * i + 1:3 * i + 3], ''))) ELSE {x} END"
+    out = [f"leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 2 = 0 "
+           f"THEN {cut} ELSE {leaf('text')} END AS tampered FROM documents)",
+           "t0 AS (SELECT source, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS x FROM leaves GROUP BY source)"]
+    out += [f"t{k + 1} AS (SELECT source, {up('x')} AS x FROM t{k})" for k in range(levels)]
+    out += [f"s0 AS (SELECT list(x[1] ORDER BY source NULLS FIRST) AS x FROM t{levels})"]
+    out += [f"s{k + 1} AS (SELECT {up('x')} AS x FROM s{k})" for k in range(levels)]
+    out += ["at0 AS (SELECT doc_id, source, leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, "
+            "tampered AS node, '' AS proof FROM leaves)"]
+    step = ("CASE WHEN len(x) > 1 THEN sha256(array_to_string(x[p // 3 * 3 + 1:p], '') || node || array_to_string(x[p + 2:p // 3 * 3 + 3], '')) ELSE node END AS node, "
+            "CASE WHEN len(x) > 1 THEN proof || array_to_string(x[p // 3 * 3 + 1:p], '') || array_to_string(x[p + 2:p // 3 * 3 + 3], '') ELSE proof END AS proof, p // 3 AS p")
+    out += [f"at{k + 1} AS (SELECT a.doc_id, a.source, a.leaf, {step} FROM at{k} a JOIN t{k} t ON a.source IS NOT DISTINCT FROM t.source)" for k in range(levels)]
+    out += ["sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM t0)",
+            f"up0 AS (SELECT a.doc_id, a.source, a.leaf, a.node, a.proof, s.p FROM at{levels} a JOIN sources s ON a.source IS NOT DISTINCT FROM s.source)"]
+    out += [f"up{k + 1} AS (SELECT doc_id, source, leaf, {step} FROM up{k}, s{k})" for k in range(levels)]
+    return ("WITH " + ",\n".join(out) + f"""
+SELECT doc_id, leaf, t.x[1] AS subroot, r.x[1] AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.x[1] AS verified
+FROM up{levels} u JOIN t{levels} t ON u.source IS NOT DISTINCT FROM t.source, s{levels} r""")
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle_manifest(table(spark, sf_dir, "documents"), columns=[*columns, "text"], carry={"shown": F.unhex(leaf_hash([*columns, shown]))})
+    up = made.withColumn("folded_root", folded(F.lower(F.hex("shown")), F.col("proof")))
+    return up.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root",
+                     (F.col("folded_root") == F.col("root")).alias("verified"))
