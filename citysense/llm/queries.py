@@ -17,11 +17,12 @@ from .license_scan import labels_of, license_scan
 from .line_quality import BOILERPLATE, DEFAULT_RULES, line_quality
 from .merkle import folded, leaf_hash, merkle_manifest, proof_hash
 from .packing import pack
+from .prefix_trie import conversation_trie, turns_in_order
 from .secret_scan import secret_spans, spans_text
 from .shards import byte_shards
 from .simhash import fingerprint_text, near_duplicates
 from .site_quality import site_quality
-from .store import table
+from .store import materialize, table
 from .token_counts import token_counts
 from .tool_calls import link_tool_calls
 
@@ -281,3 +282,49 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = made.withColumn("folded_root", folded(F.lower(F.hex("shown")), F.col("proof")))
     return up.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root",
                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+TRIE_ORACLE = f"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, {_crc32_sql("c::VARCHAR")} % 9 AS h FROM turns),
+rebuilt AS (
+  SELECT v.c, 0 AS own, t.p, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 AND t.p < v.h
+  UNION ALL SELECT t.c, 1, t.p, t.role, t.text FROM turns t JOIN convs v ON v.c = t.c AND t.p >= v.h),
+paths AS (
+  SELECT c, list(md5(strlen(role) || ':' || role || text) ORDER BY own, p) AS ids, list(strlen(text) ORDER BY own, p) AS sizes FROM rebuilt GROUP BY c),
+full_paths AS (SELECT v.c, coalesce(ids, []) AS ids, coalesce(sizes, []) AS sizes, len(coalesce(ids, [])) AS n FROM convs v LEFT JOIN paths USING (c)),
+steps AS (SELECT c, d, ids[1:d] AS k, n, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM full_paths, unnest(range(0, n + 1)) t(d)),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM steps GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a AS d, k[1:a] AS k, sum((n_children IS NULL)::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT nodes.d, nodes.k, n_convs, size, n_children FROM nodes LEFT JOIN kids USING (d, k)), unnest(range(0, d + 1)) t(a) GROUP BY ALL)
+SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN below b ON b.d = x.d AND b.k = x.k LEFT JOIN kids c ON c.d = x.d AND c.k = x.k
+LEFT JOIN nodes u ON u.d = x.d - 1 AND u.k = x.k[1:x.d - 1]"""
+
+
+def rebuilt_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that share starts: the first h turns of conversation c - c % 5, then c's own beyond its
+    first h, where h is crc32(c) % 9. Turns as from ``turns_in_order``; also all conversations."""
+    turns = materialize(turns)
+    convs = turns.groupBy("conv").agg(F.max("turns").alias("turns")).select(
+        "conv", "turns", (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).alias("h"), (F.col("conv") - F.col("conv") % 5).alias("base"))
+    convs = materialize(convs.join(convs.select(F.col("conv").alias("base"), F.col("turns").alias("given")), "base", "left")
+                        .withColumn("lead", F.least("h", F.coalesce("given", F.lit(0)))))
+    first = turns.where("place < 8 AND conv % 5 = 0").select(F.col("conv").alias("base"), "place", "id", "bytes")
+    heads = convs.select("conv", "base", "h").join(first, "base").where("place < h").select("conv", "place", "id", "bytes")
+    own = turns.drop("turns").join(convs.select("conv", "h", "lead"), "conv").where("place >= h").select(
+        "conv", (F.col("place") - F.col("h") + F.col("lead")).alias("place"), "id", "bytes")
+    return heads.unionByName(own), convs.select("conv")
+
+
+@query("op13_prefix_trie", TRIE_ORACLE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(*rebuilt_conversations(turns_in_order(table(spark, sf_dir, "conversations"))))
