@@ -179,7 +179,8 @@ SELECT conv_id, concat('call_', turn) AS call_id, turn,
        concat('{{ ', CASE WHEN length(text) % 7 = 0 THEN '' ELSE concat('"query" : ', to_json(cast(split_part(text, ' ', 1) AS variant)), ', ') END,
               '"limit": ', CASE WHEN length(text) % 5 = 0 THEN concat('"', length(text) % 50, '"') ELSE cast(length(text) % 50 AS string) END,
               ', "exact":', length(text) % 2 = 0, CASE WHEN length(text) % 11 = 0 THEN '' ELSE ' }}' END) AS arguments,
-       concat('call_', turn - 2) AS after
+       CASE length(text) % 3 WHEN 0 THEN array(concat('call_', turn - 2), concat('call_', turn - 4))
+                             WHEN 1 THEN array(concat('call_', turn - 4)) ELSE array(concat('call_', turn - 2)) END AS after
 FROM {conversations} WHERE role = 'assistant'"""
 CHAT_RESULTS = """
 SELECT conv_id, concat('call_', turn - 1) AS call_id, turn, text AS content FROM {conversations} WHERE role IS DISTINCT FROM 'assistant'"""
@@ -197,10 +198,14 @@ WITH RECURSIVE raw AS (
 calls AS (
   SELECT conv_id, call_id, u.turn, u.n, u.name, u.q, copies
   FROM (SELECT conv_id, call_id, min(struct_pack(turn := turn, name := name, n := n, q := q)) AS u, count(*) AS copies FROM raw GROUP BY ALL)),
-levels AS (
-  SELECT conv_id, turn, 0::BIGINT AS level FROM calls WHERE (conv_id, turn - 2) NOT IN (SELECT (conv_id, turn) FROM calls)
-  UNION ALL
-  SELECT c.conv_id, c.turn, l.level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+waits AS (
+  SELECT DISTINCT c.conv_id, c.turn, b.turn AS before FROM calls c JOIN calls b
+  ON b.conv_id = c.conv_id AND b.turn IN (c.turn - CASE WHEN c.n % 3 = 1 THEN 4 ELSE 2 END, c.turn - CASE WHEN c.n % 3 = 2 THEN 2 ELSE 4 END)),
+chains AS (
+  SELECT conv_id, turn, 0::BIGINT AS level FROM calls WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM waits)
+  UNION
+  SELECT w.conv_id, w.turn, l.level + 1 FROM chains l JOIN waits w ON w.conv_id = l.conv_id AND w.before = l.turn),
+levels AS (SELECT conv_id, turn, max(level) AS level FROM chains GROUP BY ALL),
 results AS (
   SELECT conv_id, 'call_' || (turn - 1) AS call_id, turn AS result_turn, min(text) AS content FROM conversations
   WHERE role IS DISTINCT FROM 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),

@@ -8,9 +8,10 @@ a contiguous run of the order and no shard is off its target by more than one
 document. Everything is built-in DataFrame functions.
 
 Only (id, size, checksum, order key) rows are shuffled, never texts. The order
-is by a hash of the text, then the id: copies of one text are neighbours and so
-share a shard unless a cut falls among them, and the id splits a text that
-makes up a third of the rows over many range partitions. The order is written
+is by a hash of the text, then the id, then a row number: copies of one text are
+neighbours and so share a shard unless a cut falls among them, and id and row
+number split a text, or a row, that makes up a third of the table over many
+range partitions. The order is written
 to the shared checkpoint folder before it is read twice, so a lost executor
 can't change it.
 
@@ -51,8 +52,9 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
         (F.octet_length(text).cast("long") + overhead).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     ))
-    ordered = materialize(measured.repartitionByRange(partitions, "key", "id")
+    ordered = materialize(measured.repartitionByRange(partitions, "key", "id", "row")
                           .withColumn("part", F.spark_partition_id()))
 
     totals = ordered.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -63,7 +65,7 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
         F.coalesce(F.sum("rows").over(so_far), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"))
 
-    inside = Window.partitionBy("part").orderBy("key", "id", "size")
+    inside = Window.partitionBy("part").orderBy("key", "id", "row")
     placed = (ordered.join(F.broadcast(offsets), "part")
               .withColumn("prefix", F.col("bytes_before") - F.col("size")
                           + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

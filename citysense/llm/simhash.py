@@ -258,11 +258,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
                                     fingerprint(text, shingle).alias("fingerprint")))
     classes = materialize(found.groupBy("fingerprint").agg(F.min("id").alias("least_id")))
-    roots = connected_components(fingerprint_links(classes, "fingerprint", max_bits, usual, largest))
-    rooted = materialize(classes.join(roots, F.col("fingerprint") == F.col("node"), "left")
-                         .select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component"))
-    names = rooted.join(least, "root").select("fingerprint", "root", "component")
+    # a node is named so that the least of a component has its least id: its root is the answer, and no component is gathered
+    none, kind = F.col("least_id").isNull(), classes.schema["least_id"].dataType
+    named = materialize(classes.select("fingerprint", F.struct(none.alias("none"), F.coalesce("least_id", F.lit("0").cast(kind)).alias("id"),
+                                                               F.col("fingerprint").alias("x")).alias("name")))
+    links = fingerprint_links(classes, "fingerprint", max_bits, usual, largest)
+    for end in ("a", "b"):
+        links = links.join(named.select(F.col("fingerprint").alias(end), F.col("name").alias(f"{end}_name")), end)
+    roots = connected_components(links, "a_name", "b_name")
+    root = F.coalesce("root", "name")
+    names = named.join(roots, F.col("name") == F.col("node"), "left").select(
+        "fingerprint", root["x"].alias("root"), F.when(~root["none"], root["id"]).alias("component"))
     return found.join(names, "fingerprint").select("id", "text_hash", "fingerprint", "root", "component")
 
 

@@ -6,13 +6,16 @@ on both columns. A conversation that holds a third of all rows is so dealt out
 by identifier, and repeated rows of one identifier are summed before they are
 shuffled.
 
-*Order.* A call may use the result of another call of its conversation
-(``after``). Its level is the number of calls that must be answered before it,
-found by pointer doubling: every round joins each call with the call that it
-points at and doubles the distance, so a chain of n calls takes log2 n rounds.
-Calls that never reach a first call wait for each other in a circle and are
-marked. (conversation, level, turn, call_id) is a topological order; no
-conversation is collected or sorted in one task.
+*Order.* A call may use the results of other calls of its conversation
+(``after``, an array). Its level is the length of the longest chain of calls that
+must be answered before it. Calls that wait for one call only are chains: every
+round of pointer doubling joins each with what it points at and doubles the
+distance, so a chain of n calls takes log2 n rounds and hangs on its anchor, a
+call that waits for none or for several. Those that wait for several are then
+levelled in waves, each as soon as the anchors of all it waits for are. Calls in
+a circle, or behind one, are never reached and are marked. (conversation, level,
+turn, call_id) is a topological order; no conversation is collected or sorted in
+one task.
 
 *Arguments* are parsed once into Spark's variant type and checked against the
 schema of the tool: required keys, unknown keys, kinds of values.
@@ -36,6 +39,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .store import materialize
 
@@ -53,20 +57,48 @@ def _first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(first.alias("first"), F.count(F.lit(1)).alias("copies")).select(*keys, "first.*", "copies")
 
 
+def _several(calls: DataFrame) -> DataFrame:
+    """``after`` as an array."""
+    if isinstance(calls.schema["after"].dataType, ArrayType):
+        return calls
+    return calls.withColumn("after", F.when(F.col("after").isNotNull(), F.array("after")))
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of distinct calls (conv_id, call_id, after). ``level`` is null for
-    calls in a circle, or behind one. An ``after`` that names no call of the conversation counts as none."""
-    nodes = materialize(calls.select("conv_id", "call_id", "after"))
-    named = nodes.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    state = materialize(nodes.join(named, ["conv_id", "after"], "left").select(
-        "conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("before"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("level")))
-    n, reach = nodes.count(), 1
-    while reach <= n and not state.where("before IS NOT NULL").isEmpty():
-        ahead = state.select("conv_id", F.col("call_id").alias("before"), F.col("before").alias("next"), F.col("level").alias("more"))
-        state = materialize(state.join(ahead, ["conv_id", "before"], "left").select(
-            "conv_id", "call_id", F.col("next").alias("before"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+    """(conv_id, call_id, level) of distinct calls (conv_id, call_id, after), by the longest chain before each. ``level``
+    is null for calls in a circle, or behind one. What ``after`` names and the conversation lacks counts as nothing."""
+    nodes = materialize(_several(calls).select("conv_id", "call_id", "after"))
+    node = ["conv_id", "call_id"]
+    named = nodes.select("conv_id", F.col("call_id").alias("before"))
+    waits = materialize(nodes.select(*node, F.explode(F.array_distinct("after")).alias("before")).join(named, ["conv_id", "before"]))
+    one = waits.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("only"))
+    state = materialize(nodes.join(one, node, "left").select(
+        *node, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("call_id")).alias("anchor"),
+        (F.coalesce("n", F.lit(0)) == 1).cast("long").alias("distance"), (F.coalesce("n", F.lit(0)) != 1).alias("there")))
+    most, reach = state.where("n = 1").count(), 1
+    while reach <= most and not state.where("NOT there").isEmpty():
+        ahead = state.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("distance").alias("more"), F.col("there").alias("ends"))
+        moving = state.where("NOT there").join(ahead, ["conv_id", "anchor"]).select(
+            *node, "n", F.col("next").alias("anchor"), (F.col("distance") + F.col("more")).alias("distance"), F.col("ends").alias("there"))
+        state = materialize(state.where("there").unionByName(moving))
         reach *= 2
-    return state.select("conv_id", "call_id", F.when(F.col("before").isNull(), F.col("level")).alias("level"))
+    chained = state.where("there").select(*node, "anchor", "distance")
+    levels = materialize(state.where("n = 0").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("level")))
+    several = state.where("n > 1").select(*node, "n")
+    if not several.isEmpty():
+        # for each such call the anchors it waits for; one behind a circle has none and keeps its call waiting
+        on = waits.join(several, node).select("conv_id", F.col("call_id").alias("waiting"), "n", F.col("before").alias("call_id"))
+        open_ = materialize(on.join(chained, node).select("conv_id", "waiting", "n", "anchor", "distance"))
+        while True:
+            ready = open_.join(levels, ["conv_id", "anchor"]).groupBy("conv_id", "waiting").agg(
+                F.max(F.col("level") + F.col("distance") + 1).alias("level"), F.count(F.lit(1)).alias("known"), F.max("n").alias("n"))
+            wave = materialize(ready.where("known = n").select("conv_id", F.col("waiting").alias("anchor"), "level"))
+            if wave.isEmpty():
+                break
+            levels = materialize(levels.unionByName(wave))
+            open_ = materialize(open_.join(wave.select("conv_id", F.col("anchor").alias("waiting")), ["conv_id", "waiting"], "left_anti"))
+    reached = chained.join(levels, ["conv_id", "anchor"]).select(*node, (F.col("level") + F.col("distance")).alias("level"))
+    return nodes.select(*node).join(reached, node, "left")
 
 
 def _with_schemas(calls: DataFrame, schemas: DataFrame, max_broadcast: int) -> DataFrame:
@@ -106,14 +138,14 @@ def argument_errors(arguments: Column, properties: Column, required: Column, kno
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row for each call, and for each result without a call.
 
-    ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (a call_id or null);
+    ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (array of call_ids, one call_id, or null);
     ``results``: conv_id, call_id, turn, content; ``schemas``: name, properties
     (map of argument to JSON Schema kind), required (array).
 
     Columns: conv_id, call_id, turn, level, status (``linked``, ``no result``, ``no call``, ``no
     identifier``, ``circular``), copies, valid, errors, json (canonical, one line).
     """
-    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after")
+    calls = _several(calls).select("conv_id", "call_id", "turn", "name", "arguments", "after")
     results = results.select("conv_id", "call_id", "turn", "content")
     given = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     own = materialize(_first_of(calls.where(given), ["conv_id", "call_id"], ["turn", "name", "arguments", "after"]))

@@ -106,3 +106,14 @@ def test_redaction(spark):
             assert r.text == own
         assert r.n_chars == (None if r.text is None else len(r.text))
     assert redact(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text, secret", [
+    ("key abcd1234-efgh5678-ijkl9012-mnop3456 end", "abcd1234-efgh5678-ijkl9012-mnop3456"), ("lic=Q7XK2-9PLM4-TT8ZW-3RB6N;", "Q7XK2-9PLM4-TT8ZW-3RB6N"),
+    ("Zk3xQ9vLr7TnB2mWc8YpHs4DEXAMPLE", "Zk3xQ9vLr7TnB2mWc8YpHs4DEXAMPLE"), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", None),
+    ("some-file-name-with-words-12/version-3_final", None), ("word-word-word-word-word", None), ("2024-2025-2026-2027-2028", None),
+    ("0123abcd-0123-4567-89ab-0123456789ab", None),
+])
+def test_grouped_keys_and_documented_ones(text, secret):
+    spans = [text[a:b] for kind, a, b in find_secrets(text) if kind == "entropy"]
+    assert spans == ([secret] if secret else [])

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import zlib
 
 import pytest
@@ -49,3 +50,27 @@ def test_edges(spark):
     assert sorted(r.slot for r in byte_shards(df, 1).collect()) == [0, 1, 2]
     with pytest.raises(ValueError):
         byte_shards(df, 0)
+
+
+def test_equal_rows_are_split_over_partitions(spark):
+    """A third of the rows are one row with a null id: range partitions stay balanced, and slots gapless."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+                                  F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).otherwise("the same").alias("text"))
+    seen = []
+    from citysense.llm import shards
+
+    def spy(frame, real=shards.materialize):
+        out = real(frame)
+        if "part" in out.columns:
+            seen.append([r.n for r in out.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()])
+        return out
+
+    try:
+        shards.materialize, real = spy, shards.materialize
+        placed = byte_shards(df, 5, partitions=8).collect()
+    finally:
+        shards.materialize = real
+    assert max(seen[0]) <= 2 * 6000 / 8 and len(placed) == 6000
+    for s in range(5):
+        own = sorted(r.slot for r in placed if r.shard == s)
+        assert own == list(range(len(own)))

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,28 @@ def test_levels_of_long_chains(spark):
     assert got == {**{(1, str(i)): i for i in range(300)}, (2, "x"): None, (3, "y"): 0}
 
 
+def test_levels_of_graphs(spark):
+    """Longest chains over several predecessors, against a direct search; circles and what lies behind them are null."""
+    rng = random.Random(2)
+    after = {(c, str(i)): [str(j) for j in rng.sample(range(i), min(i, rng.choice([0, 1, 1, 2, 3])))] + ["gone"] * (i % 5 == 0) for c in range(4) for i in range(25)}
+    after |= {(9, "p"): ["q", "free"], (9, "q"): ["p"], (9, "r"): ["q", "free"], (9, "s"): ["r"], (9, "t"): ["free", "free"], (9, "free"): [], (9, "u"): ["u", "free"]}
+
+    def level(key, seen=()):
+        if key in seen:
+            raise RecursionError
+        return max((level((key[0], b), (*seen, key)) + 1 for b in after[key] if (key[0], b) in after), default=0)
+
+    want = {}
+    for key in after:
+        try:
+            want[key] = level(key)
+        except RecursionError:
+            want[key] = None
+    rows = [(c, i, a) for (c, i), a in after.items()]
+    got = call_levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want and want[9, "s"] is None and want[9, "t"] == 1
+
+
 CASES = [
     ('{"q":"s","n":1,"x":1.5,"b":true,"l":[1],"o":{"a":1},"z":null}', []),
     ('{"n":1}', ["missing q"]), ('{"q":1}', ["not string q"]), ('{"q":"a","n":1.5}', ["not integer n"]), ('{"q":"a","n":2.0}', []),
