@@ -8,6 +8,7 @@ importances: one entry per feature).
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .prepare import _ranked_by_hash, class_weights
 from .sampling import smote
+from .trees import is_boosted, node_importances, node_table, staged_scores, tree_model
 
 SPARK_MAX_DEPTH = 30
 
@@ -94,6 +96,15 @@ def feature_importances(model, transformed: DataFrame, features: str = "features
     return spark.createDataFrame(list(zip(names, imps)), schema).orderBy(F.desc("importance"), F.asc("feature"))
 
 
+def importances_from_nodes(model, transformed: DataFrame, features: str = "features") -> DataFrame:
+    """J8 from the node table: ``(feature, importance)`` of every feature, 0 for those that never split."""
+    spark, names = transformed.sparkSession, feature_names(transformed, features)
+    names = names or [f"feature_{i}" for i in range(tree_model(model).numFeatures)]
+    named = spark.createDataFrame(list(enumerate(names)), "at int, feature string")  # one row for each feature
+    own = node_importances(node_table(model, spark), is_boosted(model)).select(F.col("feature").alias("at"), "importance")
+    return named.join(own, "at", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` most important features."""
     return importances.orderBy(F.desc("importance"), F.asc("feature")).limit(n)
@@ -139,32 +150,69 @@ def f1_of_class1(scored: DataFrame, label: str = "label", pred: str = "predictio
     return 2 * hit / (said + true) if said + true else 0.0
 
 
-def grid_search_balanced(estimator, grid: list, train: DataFrame, label: str = "label", features: str = "features",
+#: Rows that one task of a small fit holds at least; fits of a search run side by side, so small data need few tasks each.
+FIT_ROWS = 50_000
+
+
+def staged_fits(grid: dict[str, list], boosted: bool) -> list[tuple[dict, list[tuple[dict, tuple[int, int]]]]]:
+    """The fits that cover a whole grid: (parameters of the largest model, [(point, (trees, depth))]).
+
+    Points that differ in the number of trees share a fit, and those of a forest that differ in depth too."""
+    count = "maxIter" if boosted else "numTrees"
+    staged = [count] if boosted else [count, "maxDepth"]
+    fixed = [k for k in grid if k not in staged]
+    fits = []
+    for values in itertools.product(*[grid[k] for k in fixed]):
+        own = dict(zip(fixed, values, strict=True))
+        points = [own | dict(zip(staged, v, strict=True)) for v in itertools.product(*[grid[k] for k in staged])]
+        largest = own | {k: max(grid[k]) for k in staged}
+        fits.append((largest, [(p, (p[count], p["maxDepth"])) for p in points]))
+    return fits
+
+
+def grid_search_balanced(estimator, grid: dict[str, list], train: DataFrame, label: str = "label", features: str = "features",
                          id_col: str = "id", folds: int = 5, use_smote: bool = True, class_weight: str | dict | None = None,
-                         parallelism: int = 2, seed: int = 42) -> tuple[list[tuple[dict, float]], object]:
-    """Cross-validated search by the F1 of class 1, with SMOTE (or weights) inside each fold.
+                         parallelism: int = 8, seed: int = 42) -> tuple[list[tuple[dict, float]], object]:
+    """Cross-validated search of a whole grid by the F1 of class 1, with SMOTE (or weights) inside each fold.
 
     The held-out rows of a fold are never oversampled, and no synthetic row is made from them. Each
-    fold is prepared and written once for all grid points. Returns the mean score of each point and
-    the best one refitted on all balanced training rows.
+    fold is prepared and written once. Points that are stages of one larger model share its fit (see
+    :mod:`.trees`), and the fits of all folds run side by side. Returns the mean score of each point
+    (first the first of the grid) and the best one refitted on all balanced training rows.
     """
+    boosted = estimator.__class__.__name__.startswith("GBT")
+    if boosted and estimator.getSubsamplingRate() != 1.0:
+        raise ValueError("stages of a boosted fit are smaller fits only without subsampling")
+    count = "maxIter" if boosted else "numTrees"
+    grid = grid | {k: [estimator.getOrDefault(k)] for k in (count, "maxDepth") if k not in grid}
+    fits = staged_fits(grid, boosted)
     dealt = materialize(stratified_folds(train.where(F.col(label).isNotNull()).select(id_col, label, features), label, id_col, folds, seed))
-    sums = [0.0] * len(grid)
-    for fold in range(folds):
-        rows = balanced_rows(dealt.where(F.col("fold") != fold), label, features, id_col, use_smote, class_weight, seed)
-        held = materialize(dealt.where(F.col("fold") == fold).select(label, features))
-        own = estimator.copy()
-        own = own.setWeightCol("weight") if "weight" in rows.columns else own
 
-        def score_point(params, own=own, rows=rows, held=held) -> float:
-            return f1_of_class1(own.copy(params).fit(rows).transform(held), label)
+    def prepared(fold: int) -> tuple[DataFrame, DataFrame]:
+        rows = balanced_rows(dealt.where(F.col("fold") != fold), label, features, id_col, use_smote, class_weight, seed)
+        return rows.coalesce(max(1, -(-rows.count() // FIT_ROWS))), materialize(dealt.where(F.col("fold") == fold).select(label, features))
 
-        with ThreadPool(parallelism) as pool:
-            sums = [a + b for a, b in zip(sums, pool.map(score_point, grid), strict=True)]
-    means = [x / folds for x in sums]
-    best = grid[max(range(len(grid)), key=lambda i: means[i])]
-    model = fit_balanced(estimator.copy(best), train, label, features, id_col, use_smote, class_weight, seed)
-    return [({p.name: v for p, v in params.items()}, m) for params, m in zip(grid, means, strict=True)], model
+    def scored(task) -> list[tuple[dict, float]]:
+        (rows, held), (largest, points) = task
+        own = estimator.copy({estimator.getParam(k): v for k, v in largest.items()})
+        own = own.setWeightCol("weight") if "weight" in rows.columns else own
+        staged = staged_scores(held, own.fit(rows), [stage for _, stage in points], "_p", features)
+        hit = [F.col("_p")[i] > 0.5 for i in range(len(points))]
+        y = F.col(label) == 1
+        sums = materialize(staged.select(label, "_p")).agg(*[F.count(F.when(c, 1)) for h in hit for c in (y & h, h, y)]).first()
+        return [(p, 2 * sums[3 * i] / (sums[3 * i + 1] + sums[3 * i + 2]) if sums[3 * i + 1] + sums[3 * i + 2] else 0.0) for i, (p, _) in enumerate(points)]
+
+    with ThreadPool(parallelism) as pool:
+        of_fold = pool.map(prepared, range(folds))
+        found = pool.map(scored, [(f, fit) for f in of_fold for fit in fits], chunksize=1)
+    points = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
+    sums = dict.fromkeys((tuple(sorted(p.items())) for p in points), 0.0)
+    for point, f1 in itertools.chain.from_iterable(found):
+        sums[tuple(sorted(point.items()))] += f1
+    means = [sums[tuple(sorted(p.items()))] / folds for p in points]
+    best = points[max(range(len(points)), key=lambda i: means[i])]
+    model = fit_balanced(estimator.copy({estimator.getParam(k): v for k, v in best.items()}), train, label, features, id_col, use_smote, class_weight, seed)
+    return list(zip(points, means, strict=True)), model
 
 
 def grid_search(pipeline: Pipeline, grid, train: DataFrame, label: str = "label", fold_col: str = "fold",

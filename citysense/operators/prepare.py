@@ -10,15 +10,16 @@ unless asked otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .stats import attach, exact_quantiles, hash_cutoffs, ordered_prefix
+from .stats import MOST_BROADCAST_ROWS, attach, dense_ranks, exact_quantiles, hash_cutoffs, ordered_prefix
 
 #: Rows that one bucket of a hash order should hold, and the most leading hex digits used as a bucket.
 BUCKET_ROWS, MOST_DIGITS = 50_000, 4
@@ -165,42 +166,68 @@ def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced",
     return df.join(F.broadcast(w), label, "left")
 
 
-# ---- encoders (pyspark.ml) -------------------------------------------------------
+# ---- encoders ------------------------------------------------------------------
 
-def one_hot_drop_first(cols: Sequence[str]) -> Pipeline:
-    """Dummies with the alphabetically first level dropped and NULL -> all zeros.
-
-    Levels are indexed alphabetically; NULL/unseen go to the extra 'keep'
-    slot, which ``dropLast`` removes; the first level is removed afterwards by
-    :func:`drop_first_level` (needs the fitted label count).
-    """
-    stages = []
-    for c in cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe_all", dropLast=True))
-    return Pipeline(stages=stages)
+#: Levels of a column up to which their names go into the vector's attributes; more are only in ``levels``.
+NAMED_LEVELS = 1_000
+_OTHER = "__other"
 
 
-def fit_one_hot_drop_first(df: DataFrame, cols: Sequence[str]) -> PipelineModel:
-    model = one_hot_drop_first(cols).fit(df)
-    slicers = []
-    for st in model.stages:
-        if hasattr(st, "labelsArray"):
-            n = len(st.labelsArray[0])
-            c = st.getInputCol()
-            slicers.append(VectorSlicer(inputCol=f"{c}_ohe_all", outputCol=f"{c}_ohe", indices=list(range(1, n))))
-    return PipelineModel(stages=list(model.stages) + slicers)
+@dataclass
+class OneHotLevels:
+    """Fitted one-hot encoder: a table of levels, numbered alphabetically, joined to the rows.
 
+    ``levels``: (name, value, rank), one row for each column and level; ``sizes``: how many levels each column
+    has. With ``drop_first`` the first level has no slot. NULL, unseen and dropped levels are all zeros.
+    """
 
-def one_hot_all_levels(cols: Sequence[str]) -> Pipeline:
+    levels: DataFrame
+    sizes: dict[str, int]
+    names: dict[str, list[str]]
+    drop_first: bool
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows with a sparse vector ``<column>_ohe`` for each column. The levels of a column are broadcast
+        up to ``MOST_BROADCAST_ROWS`` counted rows; more are joined by shuffles with adaptive skew splitting."""
+        first = int(self.drop_first)
+        for c, n in self.sizes.items():
+            width = max(n - first, 0)
+            own = self.levels.where(F.col("name") == c).select(F.col("value").alias("_value"), (F.col("rank") - first).alias("_slot"))
+            joined = df.join(F.broadcast(own) if n <= MOST_BROADCAST_ROWS else own, F.col(c) == F.col("_value"), "left").drop("_value")
+            if not width:
+                df = joined.withColumn(f"{c}_ohe", array_to_vector(F.array().cast("array<double>"))).drop("_slot")
+                continue
+            slot = F.when(F.col("_slot") >= 0, F.col("_slot")).otherwise(F.lit(width)).cast("double")
+            attribute = {"type": "nominal", "num_vals": width + 1}
+            if c in self.names:
+                attribute = {"type": "nominal", "vals": [*self.names[c][first:], _OTHER]}
+            df = joined.withColumn("_slot", slot.alias("_slot", metadata={"ml_attr": attribute}))
+            # the sizes are known, so fitting reads no row; the last slot, of all others, is the one it drops
+            encoder = OneHotEncoder(inputCol="_slot", outputCol=f"{c}_ohe", dropLast=True)
+            df = encoder.fit(df).transform(df).drop("_slot")
+        return df
+
+
+def fit_one_hot(train: DataFrame, cols: Sequence[str], drop_first: bool) -> OneHotLevels:
+    """Number the levels of the columns by a distributed dense rank. The driver sees one row for each column, and
+    the names of columns with at most ``NAMED_LEVELS`` levels."""
+    levels = materialize(dense_ranks(_stacked(train, cols, "string"), ["name"], "value"))
+    sizes = dict.fromkeys(cols, 0) | {r["name"]: r.n for r in levels.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = [c for c, n in sizes.items() if n <= NAMED_LEVELS]
+    names: dict[str, list[str]] = {c: [] for c in few}
+    for r in levels.where(F.col("name").isin(few)).orderBy("name", "rank").collect():
+        names[r["name"]].append(r["value"])
+    return OneHotLevels(levels, sizes, names, drop_first)
+
+
+def fit_one_hot_drop_first(train: DataFrame, cols: Sequence[str]) -> OneHotLevels:
+    """Dummies with the alphabetically first level dropped and NULL -> all zeros."""
+    return fit_one_hot(train, cols, drop_first=True)
+
+
+def fit_one_hot_all_levels(train: DataFrame, cols: Sequence[str]) -> OneHotLevels:
     """All levels kept; unseen and NULL -> all zeros (fit on train, apply to both)."""
-    stages = []
-    for c in cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True))
-    return Pipeline(stages=stages)
+    return fit_one_hot(train, cols, drop_first=False)
 
 
 # ---- I12: the full classification preparation -------------------------------------
@@ -210,10 +237,10 @@ CATEGORICAL = ["day_of_week", "location_description", "district", "beat"]
 
 def preprocess_classification(df: DataFrame, target: str = "arrest", test_frac: float = 0.2, seed: int = 42,
                               numeric: Sequence[str] = ("latitude", "longitude", "hour", "month", "year", "day"),
-                              id_col: str = "id") -> tuple[DataFrame, PipelineModel]:
+                              id_col: str = "id") -> tuple[DataFrame, OneHotLevels]:
     """B1-B5, C1, C2, C5, I1 (fit on train), I3, I5-I7 -> ``(id, split, label, features)``.
 
-    Returns the prepared frame and the fitted encoder/assembler model.
+    Returns the prepared frame and the fitted encoder.
     """
     from ..functions.temporal import day_name
     from .clean import binary_target, coerce_numeric, drop_missing_coordinates
@@ -235,7 +262,6 @@ def preprocess_classification(df: DataFrame, target: str = "arrest", test_frac:
     enc = fit_one_hot_drop_first(df.where(F.col("split") == "train"), cats)
     inputs = nums + ["is_weekend"] + [f"{c}_ohe" for c in cats]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    model = PipelineModel(stages=list(enc.stages) + [assembler])
     # cut lineage: every model iteration would run the preparation again
-    out = materialize(model.transform(df).select(id_col, "split", "label", "features"))
-    return out, model
+    out = materialize(assembler.transform(enc.transform(df)).select(id_col, "split", "label", "features"))
+    return out, enc

@@ -9,8 +9,8 @@ size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -198,68 +198,66 @@ def cell_label_lookup(df: DataFrame, labels: DataFrame, cell: str = "cell") -> D
         "safety_label", F.coalesce(F.col("safety_label"), F.lit(0)))
 
 
-def _candidates(profile: pd.DataFrame, grid: Grid) -> pd.DataFrame:
-    """For each cell, and for -1 (anywhere), the occupied cells that can be the nearest to a point inside it.
+#: Occupied cells up to which a ring index (nine entries a cell) is broadcast.
+MOST_RING_CELLS = 100_000
+#: Lattice coordinates beyond this are not told apart.
+_FAR = 1e15
 
-    Some occupied cell lies ``r`` rings away, so a point of the cell has a mean within the far
-    corners of these two; cells whose box begins beyond that can't be nearer. Means outside their
-    cell's box (the grid clips far points into its border) are candidates everywhere.
-    """
-    m = grid.cells_per_axis
-    cells = profile["grid_cell"].to_numpy()
-    la, lo = profile["latitude_mean"].to_numpy(), profile["longitude_mean"].to_numpy()
-    i, j = cells // m, cells % m
-    lat, lon = np.array(grid.lat_edges), np.array(grid.lon_edges)
-    inside = (la >= lat[i]) & (la <= lat[i + 1]) & (lo >= lon[j]) & (lo <= lon[j + 1])
-    dla, dlo = np.diff(lat), np.diff(lon)
-    far, near = np.hypot(dla.max(), dlo.max()), min(dla.min(), dlo.min())
-    by_row = [np.flatnonzero(inside & (i == r)) for r in range(m)]
-    strays, rows = np.flatnonzero(~inside), [list(range(len(cells)))]
-    for cell in range(grid.n_cells):
-        ci, cj = divmod(cell, m)
-        found, r, most = [], 0, m
-        while r <= most and r < m:  # ring by ring, until the next one begins too far away
-            ring = [k for row in {max(ci - r, 0), min(ci + r, m - 1)} if abs(row - ci) == r for k in by_row[row] if abs(j[k] - cj) <= r]
-            ring += [k for row in range(max(ci - r + 1, 0), min(ci + r, m)) for k in by_row[row] if abs(j[k] - cj) == r]
-            if ring and most == m:
-                most = int((r + 1) * far * (1 + 1e-9) / near) + 1
-            found += ring
-            r += 1
-        rows.append(sorted({*found, *strays.tolist()}))
-    return pd.DataFrame({"probe_cell": range(-1, grid.n_cells), "candidates": [cells[r].tolist() for r in rows]})
-
-
-def nearest_profile_cell(points: DataFrame, profile: DataFrame, lat: str = "latitude",
-                         lon: str = "longitude", carry: tuple = ("safety_label",), grid: Grid = DEFAULT_GRID) -> DataFrame:
+
+def _lattice(x: Column, edges: tuple) -> Column:
+    """Number of the grid step that holds ``x``, going on beyond the grid on both sides."""
+    step = (edges[-1] - edges[0]) / (len(edges) - 1)
+    return F.floor(F.least(F.greatest((x - F.lit(edges[0])) / F.lit(step), F.lit(-_FAR)), F.lit(_FAR))).cast("long")
+
+
+def nearest_profile_cell(points: DataFrame, profile: DataFrame, lat: str = "latitude", lon: str = "longitude",
+                         carry: tuple = ("safety_label",), grid: Grid = DEFAULT_GRID) -> DataFrame:
     """Nearest occupied cell by mean incident location; ties -> lowest cell id.
 
-    A point is compared with the few cells around its own that can be the
-    nearest (see :func:`_candidates`), not with all. That list has one row per
-    grid cell, made in one task from the profile (<= n_cells rows each), and is
-    broadcast; the points are not shuffled. Points beyond the grid are compared
-    with every occupied cell; without coordinates there is no nearest cell.
+    An iterative ring join. The means lie on the lattice of grid steps, which goes on beyond the grid. In
+    round k the lattice is cut into squares of ``4 ** k`` steps; a mean is entered in its own square and the
+    eight around it, so one equi-join gives a point all means of the three by three squares around it. What
+    is nearest there is the nearest of all if it is no further than one square's side, since everything else
+    lies beyond; such points are settled and leave, the others go on to the next round. Points that no ring
+    settles (far beyond all means) are compared with every mean. Points are not shuffled while an index has at
+    most nine entries for ``MOST_RING_CELLS`` counted cells; points without coordinates have no nearest cell.
     """
-    fields = [F.col("latitude_mean").alias("la"), F.col("longitude_mean").alias("lo"),
-              F.col("grid_cell").alias("grid_cell")] + [F.col(c).alias(c) for c in carry]
-    found = profile.select("grid_cell", "latitude_mean", "longitude_mean").groupBy().applyInPandas(
-        lambda f: _candidates(f, grid), "probe_cell int, candidates array<int>")
-    held = profile.select(F.col("grid_cell").alias("_held"), F.struct(*fields).alias("_place"))
-    lists = (found.select("probe_cell", F.explode("candidates").alias("_held")).join(F.broadcast(held), "_held")
-             .groupBy("probe_cell").agg(F.collect_list("_place").alias("_profile")))
+    fields = [F.col("latitude_mean").alias("la"), F.col("longitude_mean").alias("lo"), F.col("grid_cell").alias("grid_cell"),
+              *[F.col(c).alias(c) for c in carry]]
+    means = materialize(profile.select(_lattice(F.col("latitude_mean"), grid.lat_edges).alias("i"), _lattice(F.col("longitude_mean"), grid.lon_edges).alias("j"),
+                                       F.struct(*fields).alias("place")))
+    cells, height, width = means.agg(F.count(F.lit(1)), F.max("i") - F.min("i"), F.max("j") - F.min("j")).first()
+    step = min((e[-1] - e[0]) / (len(e) - 1) for e in (grid.lat_edges, grid.lon_edges)) * (1 - 1e-9)
     plat, plon = F.col(lat), F.col(lon)
-    within = plat.between(*grid.lat_range) & plon.between(*grid.lon_range)
-    probe = F.when(within, grid.cell(lat, lon)).otherwise(F.when(plat.isNotNull() & plon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon), -1))
-
-    def key(p):
-        return F.struct(euclid(p["la"], p["lo"], plat, plon).alias("d"), p["grid_cell"].alias("grid_cell"),
-                        *[p[c].alias(c) for c in carry])
-
-    best = F.array_min(F.transform(F.col("_profile"), key))
-    # lists has n_cells + 1 rows: broadcast by construction
-    joined = points.withColumn("probe_cell", probe).join(F.broadcast(lists), "probe_cell", "left")
-    return joined.withColumn("_best", best).drop("_profile", "probe_cell").withColumns(
-        {"nearest_occupied_cell": F.col("_best.grid_cell"),
-         **{f"nearest_{c}": F.col(f"_best.{c}") for c in carry}}).drop("_best")
+
+    def best(found: Column) -> Column:
+        return F.array_min(F.transform(found, lambda p: F.struct(euclid(p["la"], p["lo"], plat, plon).alias("d"), p["grid_cell"].alias("grid_cell"),
+                                                                *[p[c].alias(c) for c in carry])))
+
+    placed = plat.isNotNull() & plon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    every = points.withColumns({"_i": F.when(placed, _lattice(plat, grid.lat_edges)), "_j": F.when(placed, _lattice(plon, grid.lon_edges))})
+    side, done, left = 1, [], None
+    while cells and side <= max(height, width, 1) * 4:
+        square = lambda x: F.floor(x / F.lit(side)).cast("long")  # noqa: B023, E731  used within this round
+        near = F.explode(F.array(*[F.struct((square(F.col("i")) + a).alias("_si"), (square(F.col("j")) + b).alias("_sj")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        index = means.select(near.alias("s"), "place").groupBy("s._si", "s._sj").agg(F.collect_list("place").alias("_places"))
+        at = (every if left is None else left).withColumns({"_pi": square(F.col("_i")), "_pj": square(F.col("_j"))})
+        joined = at.join(F.broadcast(index) if cells <= MOST_RING_CELLS else index, (F.col("_pi") == F.col("_si")) & (F.col("_pj") == F.col("_sj")), "left")
+        known = (F.abs("_i") < _FAR / 2) & (F.abs("_j") < _FAR / 2)
+        scored = materialize(joined.withColumn("_best", best(F.col("_places"))).withColumn(
+            "_settled", F.col("_i").isNull() | F.coalesce(known & (F.col("_best.d") <= F.lit(step * side)), F.lit(False)))
+            .drop("_places", "_pi", "_pj", "_si", "_sj"))
+        done.append(scored.where("_settled").drop("_settled"))
+        left = scored.where("NOT _settled").drop("_settled", "_best")
+        if left.isEmpty():
+            left = None
+            break
+        side *= 4
+    if left is not None or not done:
+        whole = means.agg(F.collect_list("place").alias("_places"))  # one row: all means
+        done.append((every if left is None else left).join(F.broadcast(whole)).withColumn("_best", best(F.col("_places"))).drop("_places"))
+    out = reduce(DataFrame.unionByName, done)
+    return out.withColumns({"nearest_occupied_cell": F.col("_best.grid_cell"), **{f"nearest_{c}": F.col(f"_best.{c}") for c in carry}}).drop("_best", "_i", "_j")
 
 
 def score_locations(points: DataFrame, incidents_df: DataFrame, grid: Grid = DEFAULT_GRID,

@@ -168,3 +168,23 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     outs = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).cast("double")
             .alias(f"{prefix}_{i}") for i in range(len(probs))]
     return agg.select(*g, *outs)
+
+
+def dense_ranks(values: DataFrame, group_cols: Sequence[str], value: str, partitions: int | None = None) -> DataFrame:
+    """``(group..., value, rank)``: the distinct values of each group numbered from 0 in their order.
+
+    Values are range-partitioned by (group, value); each partition numbers its own, and the counts of the
+    partitions before (one row for each group and partition) are added. No list of values is collected."""
+    g = list(group_cols)
+    distinct = materialize(values.select(*g, value).distinct())
+    n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(distinct.repartitionByRange(n, *g, value).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*g, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"_of_{c}") for c in g], F.col("_part").alias("_of_part"),
+                            F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_of_part")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    own = F.row_number().over(Window.partitionBy(*g, "_part").orderBy(value))
+    return dealt.withColumn("_own", own).join(offsets, same).select(*g, value, (F.col("_before") + F.col("_own") - 1).alias("rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import temporal as TM
@@ -9,6 +11,7 @@ from ..functions import text as TX
 from ..functions.spatial import HOTSPOTS
 from ..operators import clean as CL
 from ..operators.spatial import TIME_PERIODS
+from ..schema import MissingColumnsError, require_columns
 from . import fixtures as fx
 from .registry import dbl, r6, register
 from .sqlviews import with_views
@@ -70,6 +73,37 @@ def b7_fill_zero(spark, sf):
 TRAIN_COLUMNS = ["district", "beat", "latitude", "hour"]
 
 
+#: Transforms and the columns they require.
+_REQUIRED = {"temporal features": ["date"], "spatial features": ["latitude", "longitude"], "keyword features": ["description", "location_description"],
+             "area safety": ["date", "latitude", "longitude", "arrest"], "projected coordinates": ["x_coordinate", "y_coordinate"]}
+_HELD = ["id", "case_number", "date", "primary_type", "description", "arrest", "latitude", "longitude", "location_description", "district", "community_area"]
+
+
+def _b8_sql() -> str:
+    rows = []
+    for where, needed in _REQUIRED.items():
+        missing = [c for c in needed if c not in _HELD]
+        ready = "null" if missing else f"(select count(*) from incidents where {' and '.join(f'{c} is not null' for c in needed)})"
+        rows.append(f"select '{where}' as transform, '{', '.join(missing)}' as missing, cast({ready} as bigint) as ready_rows")
+    return INC + " union all ".join(rows)
+
+
+@register("b8_required_columns", _b8_sql())
+def b8_required_columns(spark, sf):
+    """Which transforms the records allow, what the refused ones lack, and how many rows have all that the others need."""
+    inc, missing = fx.incidents(spark, sf), {}
+    for where, needed in _REQUIRED.items():
+        try:
+            require_columns(inc, needed, where)
+        except MissingColumnsError as refused:
+            missing[where] = refused.columns
+    allowed = {w: needed for w, needed in _REQUIRED.items() if w not in missing}
+    ready = inc.agg(*[F.count(F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed]), 1)).alias(w) for w, needed in allowed.items()])
+    rows = [F.struct(F.lit(w).alias("transform"), F.lit(", ".join(missing.get(w, []))).alias("missing"),
+                     (F.col(f"`{w}`") if w in allowed else F.lit(None).cast("long")).alias("ready_rows")) for w in _REQUIRED]
+    return ready.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @register("b9_align_columns", INC + f"select cast(district as bigint) as district, cast(0 as bigint) as beat, "
           f"{r6('latitude')} as latitude, cast(0 as bigint) as hour from incidents")
 def b9_align_columns(spark, sf):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from ..operators import prepare as PR
 from ..operators import sampling as SM
 from ..operators import spatial as S
 from ..operators import timeseries as TS
+from ..operators import trees as TR
 from ..session import materialize, scratch_path
 from . import area_safety as AS
 from . import fixtures as fx
@@ -57,7 +59,7 @@ def i1_one_hot_drop_first(spark, sf):
           f"select id, split, {_onehot_sql('location_description', 'll')} as ohe from sp, lv")
 def i2_one_hot_all_levels(spark, sf):
     inc = PR.random_split(fx.incidents(spark, sf), "id", 0.2, 42)
-    model = PR.one_hot_all_levels(["location_description"]).fit(inc.where(F.col("split") == "train"))
+    model = PR.fit_one_hot_all_levels(inc.where(F.col("split") == "train"), ["location_description"])
     return model.transform(inc).select("id", "split", vector_to_array("location_description_ohe").alias("ohe"))
 
 
@@ -168,7 +170,7 @@ def _checked(scored, cut=0.5):
 @register("j1_random_forest", _TEST_SQL)
 def j1_random_forest(spark, sf):
     """J1 with SMOTE, decided at the reference's threshold of 0.2."""
-    model, test = _fit(spark, sf, M.random_forest(seed=42))
+    model, test = _forest(spark, sf)
     scored = M.score(model, test)
     return _checked(scored.withColumn("pred", EV.threshold("p1", 0.2, strict=True)), 0.2)
 
@@ -204,11 +206,10 @@ def j4_area_safety_report(spark, sf):
     return AS.train_area_safety(fx.incidents(spark, sf)).report
 
 
-def searched(estimator, grid, data, cut=0.2, folds=5, parallelism=4):
+def searched(estimator, grid, data, cut=0.2, folds=5):
     """The reference's whole path: the search on the training rows, the refit of the best point, and that model on the
     test rows, decided at ``cut``. A row for each point; the scores on the test rows stand with the best one."""
-    found, model = M.grid_search_balanced(estimator, M.param_grid(estimator, **grid), data.where(F.col("split") == "train"),
-                                          folds=folds, parallelism=parallelism)
+    found, model = M.grid_search_balanced(estimator, grid, data.where(F.col("split") == "train"), folds=folds)
     test = M.score(model, data.where((F.col("split") == "test") & F.col("label").isNotNull()))
     test = materialize(test.select("label", "p1", EV.threshold("p1", cut, strict=True).alias("pred")))
     f1, auc = M.f1_of_class1(test, pred="pred"), EV.roc_auc(test, score="p1").first()["auc"]
@@ -228,32 +229,59 @@ def j5_gb_grid_search(spark, sf):
     return searched(M.gradient_boosting(seed=42), M.GB_GRID, _prepared(spark, sf)[0])
 
 
-#: Axes of RF_GRID that this query, the one with an oracle, searches; j5_rf_grid_search and j5_gb_grid_search search whole grids.
-_J5_GRID = {"numTrees": [50, 100], "maxDepth": [10], "minInstancesPerNode": [1, 5]}
+@lru_cache(maxsize=2)
+def _forest_of(application: str, spark, sf):
+    return _fit(spark, sf, M.random_forest(seed=42))
 
 
-@register("j5_grid_search", "select * from (values " + ", ".join(
-    f"('maxDepth=10, minInstancesPerNode={m}, numTrees={t}', true)" for t in _J5_GRID["numTrees"] for m in _J5_GRID["minInstancesPerNode"])
-    + ") t(params, f1_valid)")
-def j5_grid_search(spark, sf):
-    data, _ = _prepared(spark, sf)
-    rf = M.random_forest(max_depth=10, seed=42)
-    found, _ = M.grid_search_balanced(rf, M.param_grid(rf, **_J5_GRID), data.where(F.col("split") == "train"), folds=5, parallelism=4)
-    rows = [(", ".join(f"{k}={v}" for k, v in sorted(params.items())), 0.0 <= f1 <= 1.0) for params, f1 in found]
-    return spark.createDataFrame(rows, "params string, f1_valid boolean")
+def _forest(spark, sf):
+    """The forest of J1 (SMOTE, 100 trees, unlimited depth) and the test rows; one fit serves all queries on it."""
+    return _forest_of(spark.sparkContext.applicationId, spark, sf)
 
 
 @register("j6_batch_scoring", _TEST_SQL)
 def j6_batch_scoring(spark, sf):
-    model, test = _fit(spark, sf, M.random_forest(max_depth=10, seed=42))
+    model, test = _forest(spark, sf)
     return _checked(M.score(model, test))
 
 
+@register("j6_node_scoring", _TEST_SQL.replace("true as p_valid, true as pred_valid", "true as p_equal, true as pred_equal"))
+def j6_node_scoring(spark, sf):
+    """J6 by a fold over the forest's node table, at J1's depth, against ``transform`` row by row."""
+    model, test = _forest(spark, sf)
+    mine = TR.score_by_nodes(M.score(model, test, "theirs", "their_pred"), model)
+    return mine.select("id", "label", (F.abs(F.col("p1") - F.col("theirs")) < 1e-9).alias("p_equal"), (F.col("pred") == F.col("their_pred")).alias("pred_equal"))
+
+
 @register("j8_feature_importances")
 def j8_feature_importances(spark, sf):
-    data, _ = _prepared(spark, sf)
-    model = M.fit_balanced(M.random_forest(max_depth=10, seed=42), data.where(F.col("split") == "train"))
-    return M.feature_importances(model, data)
+    model, test = _forest(spark, sf)
+    return M.feature_importances(model, test)
+
+
+def _compared(model, rows):
+    """Importances by the model and from its nodes, feature by feature."""
+    theirs = M.feature_importances(model, rows).withColumnRenamed("importance", "theirs")
+    return M.importances_from_nodes(model, rows).join(theirs, "feature", "full")
+
+
+def _equal_importances(model, rows):
+    both = _compared(model, rows)
+    total = both.agg(F.round(F.sum("importance"), 6).alias("total"))  # one row
+    return both.join(F.broadcast(total)).select("feature", F.coalesce(F.abs(F.col("importance") - F.col("theirs")) < 1e-9, F.lit(False)).alias("equal"), "total")
+
+
+def _feature_list_sql() -> str:
+    names = "[" + ", ".join(f"'{c}'" for c in [*_I12_NUMS, "is_weekend"]) + "]"
+    for column, levels in (("day_of_week", "dl"), ("location_description", "ll"), ("district", "tl")):
+        names += f" || list_transform({levels}[2:], lambda x: '{column}_ohe_' || x)"
+    return _i12_sql().split("select id, split, cast(label")[0] + f"select unnest({names}) as feature from lv"
+
+
+@register("j8_importances_from_nodes", f"select feature, true as equal, cast(1 as double) as total from ({_feature_list_sql()})")
+def j8_importances_from_nodes(spark, sf):
+    """J8 recomputed by grouped aggregates over the node table: equal to the model's, summing to 1."""
+    return _equal_importances(*_forest(spark, sf))
 
 
 @register("w5_top_features")
@@ -261,6 +289,38 @@ def w5_top_features(spark, sf):
     return M.top_features(j8_feature_importances(spark, sf), 10)
 
 
+@register("w5_top_from_nodes", f"select cast(place as bigint) as place, true as equal from range(1, 1 + least(10, (select count(*) from ({_feature_list_sql()})))) t(place)")
+def w5_top_from_nodes(spark, sf):
+    """W5 on the node table's importances: place by place as important as the model's top features."""
+    both = _compared(*_forest(spark, sf))
+    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "feature"))  # noqa: E731  one row for each feature
+    mine = M.top_features(both.select("feature", "importance"), 10).select(place("importance").alias("place"), "importance")
+    theirs = M.top_features(both.select("feature", F.col("theirs").alias("importance")), 10).select(place("importance").alias("place"), F.col("importance").alias("other"))
+    return mine.join(theirs, "place").select("place", (F.abs(F.col("importance") - F.col("other")) < 1e-9).alias("equal"))
+
+
+@register("j4_importances_from_nodes", "select feature, true as equal, cast(1 as double) as total from (values "
+          + ", ".join(f"('{c}')" for c in AS.PROFILE_FEATURES) + ") t(feature)")
+def j4_importances_from_nodes(spark, sf):
+    """The area model's importances recomputed from its nodes."""
+    res = AS.train_area_safety(fx.incidents(spark, sf))
+    return _equal_importances(res.model, res.model.transform(res.profile))
+
+
+@register("j4_held_out_cells", INC + f", {CELLS}, prof as (select cell, count(*) as n from cells group by cell), "
+          "lab as (select cell, cast(n >= (select quantile_cont(n, 0.75) from prof) as int) as label from prof), "
+          "rk as (select cell, label, row_number() over (partition by label order by md5('42:' || cast(cell as varchar))) as r, "
+          "count(*) over (partition by label) as m from lab) "
+          "select cast(cell as bigint) as cell, cast(label as bigint) as label, true as p_equal, true as pred_equal from rk where r <= ceil(m * cast(0.3 as double))")
+def j4_held_out_cells(spark, sf):
+    """J4's held-out cells: their labels, and the area model's scores against its own nodes, cell by cell."""
+    res = AS.train_area_safety(fx.incidents(spark, sf))
+    test = PR.stratified_split(res.profile, "safety_label", "grid_cell", 0.3, 42).where("split = 'test'")
+    scored = TR.score_by_nodes(M.score(res.model, test, "theirs", "their_pred"), res.model)
+    return scored.select(F.col("grid_cell").alias("cell"), F.col("safety_label").alias("label"), (F.abs(F.col("p1") - F.col("theirs")) < 1e-9).alias("p_equal"),
+                         (F.col("pred") == F.col("their_pred")).alias("pred_equal"))
+
+
 @register("a9_model_roundtrip", INC + f", {CELLS} select distinct cast(cell as bigint) as cell, true as equal from cells")
 def a9_model_roundtrip(spark, sf):
     res = AS.train_area_safety(fx.incidents(spark, sf))
@@ -395,6 +455,20 @@ def h9_model_comparison(spark, sf):
     return TS.regression_metrics(allf.where(F.col("split") == "test"), ["model"])
 
 
+def _h9_sql() -> str:
+    from .timeseries_queries import _K4_SQL
+    one, many = _h7_sql(), _h7_recursive_sql()
+    return (f"select model, {_K4_SQL} from (select * from ({one}) union all by name select * from ({many})) where split = 'test' group by model")
+
+
+@register("h9_forecaster_comparison", _h9_sql())
+def h9_forecaster_comparison(spark, sf):
+    """H9 over fitted forecasters whose coefficients SQL finds in closed form: one step ahead, and the whole horizon."""
+    weekly = _weekly(spark, sf)
+    every = FC.differenced_ar(weekly, p=2).unionByName(FC.differenced_ar_recursive(weekly, p=2))
+    return TS.regression_metrics(every.where(F.col("split") == "test"), ["model"])
+
+
 @register("d14_score_locations_model")
 def d14_score_locations_model(spark, sf):
     """D14 plus the area model's probability for the nearest occupied cell."""
@@ -412,7 +486,7 @@ def d14_score_locations_model(spark, sf):
           "and substr(md5('42:' || cast(id as varchar)), 1, 8) < '33333333'")
 def k2_model_auc(spark, sf):
     """K1/K2 on a fitted forest's test-set probabilities."""
-    model, test = _fit(spark, sf, M.random_forest(max_depth=10, seed=42))
+    model, test = _forest(spark, sf)
     scored = materialize(M.score(model, test).select("label", "p1", "pred"))
     auc = EV.roc_auc(scored, "label", "p1").select("auc").scalar()
     m = EV.classification_metrics(scored, "label", "pred")

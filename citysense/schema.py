@@ -24,7 +24,11 @@ IDENTIFIER_COLUMNS = ["id", "case_number", "date", "block", "iucr", "fbi_code",
 
 
 class MissingColumnsError(ValueError):
-    """Raised when a transform is applied to a frame lacking required columns."""
+    """Raised when a transform is applied to a frame lacking required columns (``columns``)."""
+
+    def __init__(self, message: str, columns: Iterable[str] = ()):
+        super().__init__(message)
+        self.columns = list(columns)
 
 
 def require_columns(df: DataFrame, required: Iterable[str], where: str = "") -> None:
@@ -32,4 +36,4 @@ def require_columns(df: DataFrame, required: Iterable[str], where: str = "") ->
     missing = [c for c in required if c not in df.columns]
     if missing:
         suffix = f" for {where}" if where else ""
-        raise MissingColumnsError(f"Missing required columns{suffix}: {missing}")
+        raise MissingColumnsError(f"Missing required columns{suffix}: {missing}", missing)

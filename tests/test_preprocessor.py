@@ -77,3 +77,22 @@ def test_nan_is_missing(spark):
     out = CL.coerce_numeric(df, ["latitude", "longitude"])
     assert [tuple(r) for r in out.collect()] == [(None, 1.0), (41.8, None), (41.8, 1.0), (None, 1.0), (None, None)]
     assert CL.drop_missing_coordinates(out).count() == 1
+
+
+def test_a_million_levels(spark):
+    """Levels are numbered and joined in Spark: sparse vectors of a million slots, no level on the driver."""
+    from pyspark.ml.functions import vector_to_array
+    n = 1_000_000
+    train = spark.range(n).select(F.format_string("level %07d", F.col("id")).alias("c"))
+    enc = PR.fit_one_hot_drop_first(train, ["c"])
+    assert enc.sizes == {"c": n} and enc.names == {}
+    rows = spark.createDataFrame([("level 0000000",), ("level 0000001",), ("level 0999999",), ("unseen",), (None,)], "c string")
+    got = {r.c: r.c_ohe for r in enc.transform(rows).collect()}
+    assert {k: (v.size, v.indices.tolist(), v.values.tolist()) for k, v in got.items()} == {
+        "level 0000000": (n - 1, [], []), "level 0000001": (n - 1, [0], [1.0]), "level 0999999": (n - 1, [n - 2], [1.0]),
+        "unseen": (n - 1, [], []), None: (n - 1, [], [])}
+    few = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x")], "c string, d string")
+    out = PR.fit_one_hot_drop_first(few, ["c", "d"]).transform(few).select("c", vector_to_array("c_ohe").alias("v"), vector_to_array("d_ohe").alias("w"))
+    assert {r.c: (r.v, r.w) for r in out.collect()} == {"a": ([0.0], []), "b": ([1.0], []), None: ([0.0], [])}
+    kept = PR.fit_one_hot_all_levels(few, ["c"]).transform(few).select("c", vector_to_array("c_ohe").alias("v"))
+    assert {r.c: r.v for r in kept.collect()} == {"a": [1.0, 0.0], "b": [0.0, 1.0], None: [0.0, 0.0]}
