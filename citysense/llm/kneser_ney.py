@@ -15,11 +15,12 @@ value, in the shared checkpoint folder. Shards are ranges of the hash space.
 Files are written under a task's own name and then renamed, so a task that is
 run again leaves the same files.
 
-*Scoring.* Workers map the files into memory (a shared folder is mapped where it
-is; files of a remote store are first copied to an unlinked temporary file).
-They look up the distinct n-grams of some thousand documents at once, in sorted
-order, so a shard is passed from front to back and memory stays bounded
-however large the model is. A document's score is the sum over its tokens of
+*Scoring.* Workers map the files into memory (those of a store that is not
+mounted are read into it). They look up the distinct n-grams of some thousand
+documents at once, in sorted order and shard by shard; a shard is opened when a
+key falls into it, and the least recently used ones are let go beyond
+``MOST_MAPPED`` files or ``MOST_READ`` bytes, so maps and memory stay bounded
+however large the model is, and nothing is copied to a worker's disk. A document's score is the sum over its tokens of
 log10 p(token | the words before it).
 
     p(w | c) = (max(a(c w) - D(a(c w)), 0) + (D1 N1(c) + D2 N2(c) + D3 N3+(c)) p(w | c')) / a(c .)
@@ -36,10 +37,9 @@ columns are not read. Two words with one 64-bit hash would be taken for one.
 
 from __future__ import annotations
 
-import mmap
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -195,18 +195,50 @@ def _write(folder: str, name: str, array: np.ndarray) -> None:
     store.move(own, f"{root}/{name}")
 
 
-def _mapped(folder: str, name: str, kind) -> np.ndarray:
+def _read(folder: str, name: str, kind) -> np.ndarray:
+    """A file as an array: mapped where the shared folder is mounted, else read into memory."""
     store, root = _filesystem(folder)
+    path = f"{root}/{name}"
     if isinstance(store, fs.LocalFileSystem):
-        path = f"{root}/{name}"
         return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
-    with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{root}/{name}") as source:
-        while part := source.read(8 << 20):
-            copy.write(part)
-        copy.flush()
-        if not copy.tell():
-            return np.zeros(0, dtype=kind)
-        return np.frombuffer(mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ), dtype=kind)
+    with store.open_input_file(path) as source:
+        return np.frombuffer(source.read(), dtype=kind)
+
+
+#: How many mapped files, and how many bytes of files read, a worker holds open at once.
+MOST_MAPPED, MOST_READ = 1_024, 64 << 20
+
+
+class _Open:
+    """The shards in use, least recently used first; a shard is opened when a key falls into it."""
+
+    def __init__(self, most_mapped: int = MOST_MAPPED, most_read: int = MOST_READ):
+        self.most_mapped, self.most_read, self.held = most_mapped, most_read, OrderedDict()
+        self.mapped = self.read = 0
+
+    def shard(self, folder: str, kind: str, shard: int, wide: tuple[int, ...]) -> list[np.ndarray]:
+        key = (folder, kind, shard)
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        at = f"{kind}-{shard:06d}"
+        found = [_read(folder, f"{at}.keys", np.uint64),
+                 *[_read(folder, f"{at}.{name}", np.uint64 if w else np.uint32) for name, w in zip(_values(kind), wide, strict=True)]]
+        self._count(found, 1)
+        self.held[key] = found
+        while len(self.held) > 1 and (self.mapped > self.most_mapped or self.read > self.most_read):
+            self._count(self.held.popitem(last=False)[1], -1)
+        return found
+
+    def _count(self, arrays: list[np.ndarray], sign: int) -> None:
+        for x in arrays:
+            if isinstance(x, np.memmap):
+                self.mapped += sign
+            else:
+                self.read += sign * x.nbytes
+
+
+_OPEN = _Open()
 
 
 def _values(kind: str) -> tuple[str, ...]:
@@ -326,24 +358,23 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shard_bytes:
 
 
 class _Files:
-    """The mapped shards of one kind."""
+    """The shards of one kind, looked up shard by shard."""
 
     def __init__(self, model: KneserNeyModel, kind: str):
-        self.bits, self.names, self.shards = model.bits, _values(kind), {}
-        for shard, wide in model.files.get(kind, ()):
-            at = f"{kind}-{shard:06d}"
-            self.shards[shard] = (_mapped(model.folder, f"{at}.keys", np.uint64),
-                                  [_mapped(model.folder, f"{at}.{name}", np.uint64 if w else np.uint32)
-                                   for name, w in zip(self.names, wide, strict=True)])
+        self.folder, self.kind, self.bits, self.names = model.folder, kind, model.bits, _values(kind)
+        self.shards = dict(model.files.get(kind, ()))
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The values of sorted distinct keys; 0 for those that the files don't have."""
         out = [np.zeros(len(keys)) for _ in self.names]
         owner = keys >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(keys), dtype=np.uint64)
         cuts = np.searchsorted(owner, np.arange((1 << self.bits) + 1, dtype=np.uint64))
-        for shard, (held, values) in self.shards.items():
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            if shard not in self.shards:
+                continue
             a, b = cuts[shard], cuts[shard + 1]
-            if a == b or not len(held):
+            held, *values = _OPEN.shard(self.folder, self.kind, shard, self.shards[shard])
+            if not len(held):
                 continue
             place = np.minimum(np.searchsorted(held, keys[a:b]), len(held) - 1)
             same = held[place] == keys[a:b]
@@ -352,25 +383,13 @@ class _Files:
         return out
 
 
-_OPEN: dict[str, tuple] = {}
-
-
-def _opened(model: KneserNeyModel) -> tuple:
-    """The mapped files, once for each worker process; those of an earlier model are let go."""
-    if model.folder not in _OPEN:
-        _OPEN.clear()
-        _OPEN[model.folder] = ([_Files(model, f"gram{k}") for k in range(1, model.order + 1)],
-                               [_Files(model, f"context{k}") for k in range(2, model.order + 1)])
-    return _OPEN[model.folder]
-
-
 def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
 def token_probabilities(model: KneserNeyModel, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """p(token | before) of each token, and its count in the training texts."""
-    grams, contexts = _opened(model)
+    grams, contexts = ([_Files(model, f"{name}{k}") for k in range(least, model.order + 1)] for name, least in (("gram", 1), ("context", 2)))
     columns = _columns(tokens, begins, model.order)
     words, place = np.unique(tokens, return_inverse=True)
     adjusted, counts = (v[place] for v in grams[0].find(words))

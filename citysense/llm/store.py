@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize, scratch_path
 
 __all__ = ["fresh_name", "materialize", "shared_folder", "table"]
 
@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared checkpoint folder, for files that executors exchange."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared checkpoint folder, for files that executors exchange; it is removed when
+    the session's JVM ends."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def fresh_name(wanted: str, taken: Iterable[str]) -> str:

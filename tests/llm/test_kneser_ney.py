@@ -161,3 +161,29 @@ def test_discounts():
     assert discounts([0, 5, 1, 1]) == (0.5, 1.0, 1.5)
     d = discounts([100, 40, 20, 10])
     assert 0 < d[0] < 1 and d[0] < d[1] < 2 and d[1] < d[2] < 3
+
+
+def test_open_files_are_bounded(spark, monkeypatch):
+    """Many shards, few of them open at once; lookups and scores stay the same, mapped or read."""
+    from citysense.llm import kneser_ney as kn
+    docs = frame(spark, random_texts(60))
+    model = kn.train(docs, order=2, shard_bytes=256)
+    assert 1 << model.bits >= 16
+    texts = kn.pa.array(random_texts(60))
+    _, data, offsets = next(iter(kn.slices(texts)))
+    tokens, begins = kn._tokens(data, offsets)
+    whole = kn.token_probabilities(model, tokens, begins)
+    real = kn._read
+    for read, limits in ((real, (8, 1 << 20)), (lambda *a: np.array(real(*a)), (8, 4_000))):
+        held, most = kn._Open(*limits), [0]
+
+        def count(*a, read=read, held=held, most=most):
+            most[0] = max(most[0], held.mapped)
+            return read(*a)
+
+        monkeypatch.setattr(kn, "_read", count)
+        monkeypatch.setattr(kn, "_OPEN", held)
+        again = kn.token_probabilities(model, tokens, begins)
+        assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+        assert most[0] <= 8 + 5 and held.mapped <= 8 and (held.read <= 4_000 or len(held.held) == 1)
+    model.delete()
