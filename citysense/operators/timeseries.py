@@ -169,6 +169,32 @@ def prediction_intervals(df: DataFrame, group_cols: Sequence[str] = ("model", "s
     return out.withColumn("inside", F.col("actual").between(F.col("lower"), F.col("upper"))).drop("_rlo", "_rhi")
 
 
+def conformal_intervals(df: DataFrame, group_cols: Sequence[str] = ("model", "series"), alpha: float = 0.05, calibration: float = 0.8,
+                        order_col: str = "period_end") -> DataFrame:
+    """H10, split conformal: bounds from one span, judged on another.
+
+    The first ``calibration`` share of a group's forecasts, each made from earlier periods only, gives the
+    scores ``|actual - predicted|``; the radius is the ``ceil((n + 1)(1 - alpha))``-th smallest of the ``n``
+    scores. The later rows are returned with ``lower``, ``upper`` and ``inside``; they had no part in the radius.
+    With too few scores for ``alpha`` the bounds are NULL (unbounded) and everything is inside. A group holds
+    one row for each period.
+    """
+    g = list(group_cols)
+    w = Window.partitionBy(*g)
+    score = F.abs(F.col("actual") - F.col("predicted"))
+    place = F.row_number().over(w.orderBy(order_col)) - 1
+    dealt = df.withColumn("_calibrates", place < F.floor(F.count(F.lit(1)).over(w) * F.lit(calibration))).withColumn("_score", score)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*g, "_calibrates").orderBy("_score", order_col)))
+    used = F.col("_calibrates")
+    n = F.count(F.when(used, 1)).over(w)
+    ranked = ranked.withColumn("_k", F.ceil((n + 1) * F.lit(1 - alpha)))
+    radius = F.max(F.when(used & (F.col("_rank") == F.col("_k")), F.col("_score"))).over(w)
+    out = ranked.withColumn("_radius", radius).where(~used)
+    out = out.withColumns({"lower": F.col("predicted") - F.col("_radius"), "upper": F.col("predicted") + F.col("_radius"),
+                           "inside": F.col("_radius").isNull() | (F.col("_score") <= F.col("_radius"))})
+    return out.drop("_calibrates", "_score", "_rank", "_k", "_radius")
+
+
 def error_by_month(df: DataFrame, group_cols: Sequence[str] = ("model",), date_col: str = "period_end") -> DataFrame:
     """RMSE, MAE and count per calendar month ('yyyy-MM')."""
     err = F.col("predicted") - F.col("actual")

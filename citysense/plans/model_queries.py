@@ -444,6 +444,73 @@ def h8_trend_seasonal_residuals(spark, sf):
     return _residual_sums(rows, F.col("actual") - F.col("predicted"), {"one": F.lit(1.0), "t": F.col("t") / 100, **turn}, ["series"])
 
 
+def _arima_features_sql() -> str:
+    from .timeseries_queries import LOG, _resample_sql
+    names = ", ".join(f"('{x}')" for x in ("one", "d1", "d2", "e1", "e2"))
+    return (LOG + ", " + _resample_sql("W") + " select series, feature, cast(0 as double) as mean_product "
+            f"from (select distinct series from filled), (values {names}) t(feature)")
+
+
+@register("h7_arima_residuals", _arima_features_sql())
+def h7_arima_residuals(spark, sf):
+    """H7 with moving-average terms solves its normal equations: residuals are orthogonal to lags and innovations."""
+    rows, feats = FC.arima_rows(_weekly(spark, sf))
+    fitted = sum(F.col("coef")[i] * F.col(x) for i, x in enumerate(feats))
+    train = materialize(rows.where("split = 'train'").withColumn("fitted", fitted))
+    # innovations are as large as the counts: products are taken in units of their squares
+    size = F.greatest(F.max(F.abs("_d")).over(Window.partitionBy("series")), F.lit(1.0))
+    train = train.withColumn("size", size)
+    return _residual_sums(train, (F.col("_d") - F.col("fitted")) / F.col("size"),
+                          {x[1:]: F.col(x) / (F.lit(1.0) if x == "_one" else F.col("size")) for x in feats}, ["series"])
+
+
+def _arima_test_sql() -> str:
+    from .timeseries_queries import LOG, _resample_sql
+    return (LOG + ", " + _resample_sql("W") + ", nn as (select series, period_end, n, row_number() over (partition by series order by period_end) - 12 as r, "
+            "count(*) over (partition by series) - 11 as m from filled), "
+            "te as (select series, period_end, n, r - floor(m * cast(0.8 as double)) as h from nn where r >= floor(m * cast(0.8 as double))) "
+            "select series, period_end, cast(n as double) as actual, case when h = 0 then true end as first_step_equal from te")
+
+
+@register("h7_arima_recursive", _arima_test_sql())
+def h7_arima_recursive(spark, sf):
+    """H7 with moving-average terms over the test horizon; its first step is the one-step forecast."""
+    weekly = materialize(_weekly(spark, sf))
+    one = FC.arima(weekly).select("series", "period_end", F.col("predicted").alias("one_step"))
+    h = F.row_number().over(Window.partitionBy("series").orderBy("period_end"))
+    both = FC.arima_recursive(weekly).join(one, ["series", "period_end"]).withColumn("h", h)
+    return both.select("series", "period_end", "actual", F.when(F.col("h") == 1, F.abs(F.col("predicted") - F.col("one_step")) < 1e-6).alias("first_step_equal"))
+
+
+_KNOTS, _L1 = 12, 1e-3
+
+
+def _h8_optimal_sql() -> str:
+    from .timeseries_queries import LOG, _resample_sql
+    names = ", ".join(f"('{x}')" for x in ["one", "t", "s1", "c1", "s2", "c2", "s3", "c3", *[f"knot{i}" for i in range(1, _KNOTS + 1)]])
+    return (LOG + ", " + _resample_sql("W") + f" select series, feature, true as optimal from (select distinct series from filled), (values {names}) t(feature)")
+
+
+@register("h8_changepoint_optimality", _h8_optimal_sql())
+def h8_changepoint_optimality(spark, sf):
+    """H8 with changepoints meets its optimality conditions, feature by feature, on the rows themselves."""
+    rows, names = FC.changepoint_rows(_weekly(spark, sf), _KNOTS, _L1)
+    rows = rows.where("split = 'train'")
+    fitted = F.aggregate(F.zip_with("coef", "x", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("x").alias("v"), F.col("coef").alias("b"))).alias("p")
+    slopes = (rows.withColumn("r", F.col("target") - fitted).select("series", "r", pairs)
+              .groupBy("series", F.col("p.feature").alias("feature")).agg(F.avg(F.col("r") * F.col("p.v")).alias("slope"), F.max("p.b").alias("b")))
+    free, tol = ~F.col("feature").startswith("knot"), 1e-6
+    optimal = (F.when(free, F.abs("slope") < tol).when(F.col("b") == 0, F.abs("slope") <= _L1 + tol)
+               .otherwise(F.abs(F.col("slope") - _L1 * F.signum("b")) < tol))
+    return slopes.select("series", "feature", optimal.alias("optimal"))
+
+
+@register("h8_trend_changepoints")
+def h8_trend_changepoints(spark, sf):
+    return FC.trend_changepoints(_weekly(spark, sf), _KNOTS, _L1)
+
+
 @register("h9_model_comparison")
 def h9_model_comparison(spark, sf):
     """H9 over the three forecasters' test periods."""
@@ -451,7 +518,8 @@ def h9_model_comparison(spark, sf):
     weekly = _weekly(spark, sf)
     allf = (FC.global_lag_regressor(samples, "linear")
             .unionByName(FC.differenced_ar(weekly, p=2)).unionByName(FC.trend_seasonal(weekly))
-            .unionByName(FC.differenced_ar_recursive(weekly, p=2)))
+            .unionByName(FC.differenced_ar_recursive(weekly, p=2))
+            .unionByName(FC.arima(weekly)).unionByName(FC.arima_recursive(weekly)).unionByName(FC.trend_changepoints(weekly)))
     return TS.regression_metrics(allf.where(F.col("split") == "test"), ["model"])
 
 
@@ -465,7 +533,7 @@ def _h9_sql() -> str:
 def h9_forecaster_comparison(spark, sf):
     """H9 over fitted forecasters whose coefficients SQL finds in closed form: one step ahead, and the whole horizon."""
     weekly = _weekly(spark, sf)
-    every = FC.differenced_ar(weekly, p=2).unionByName(FC.differenced_ar_recursive(weekly, p=2))
+    every = FC.differenced_ar(weekly, p=2).unionByName(FC.differenced_ar_recursive(weekly, p=2)).withColumn("predicted", F.round("predicted", 6))
     return TS.regression_metrics(every.where(F.col("split") == "test"), ["model"])
 
 

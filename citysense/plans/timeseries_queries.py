@@ -157,6 +157,26 @@ def h10_interval_coverage(spark, sf):
     return iv.groupBy("model").agg(F.avg(F.col("inside").cast("double")).alias("coverage"))
 
 
+_CONFORMAL = (FC + ", pl as (select *, abs(actual - predicted) as score, row_number() over (partition by model, series order by period_end) - 1 "
+              "< floor(count(*) over (partition by model, series) * cast(0.8 as double)) as cal from forecasts), "
+              "sc as (select model, series, list_sort(list(score)) as s from pl where cal group by 1, 2), "
+              "rd as (select model, series, s[cast(ceil((len(s) + 1) * cast(0.95 as double)) as bigint)] as radius from sc), "
+              "iv as (select p.*, p.predicted - r.radius as lower, p.predicted + r.radius as upper, "
+              "r.radius is null or p.score <= r.radius as inside from pl p join rd r on r.model = p.model and r.series = p.series where not p.cal) ")
+
+
+@register("h10_conformal_intervals", _CONFORMAL + f"select model, series, period_end, actual, predicted, {r6('lower')} as lower, {r6('upper')} as upper, inside from iv")
+def h10_conformal_intervals(spark, sf):
+    """Bounds from the residuals of earlier one-step forecasts, on later rows only."""
+    return TS.conformal_intervals(fx.forecasts(spark, sf))
+
+
+@register("h10_conformal_coverage", _CONFORMAL + f"select model, {r6('avg(inside::int)')} as coverage, count(*) as count from iv group by model")
+def h10_conformal_coverage(spark, sf):
+    iv = TS.conformal_intervals(fx.forecasts(spark, sf))
+    return iv.groupBy("model").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count(F.lit(1)).alias("count"))
+
+
 @register("h11_error_by_month", FC + "select model, strftime(period_end, '%Y-%m') as month, "
           f"{r6('sqrt(avg((predicted - actual) * (predicted - actual)))')} as rmse, "
           f"{r6('avg(abs(predicted - actual))')} as mae, count(*) as count from forecasts group by 1, 2")

@@ -105,7 +105,7 @@ def test_training_rows(spark):
     weights = {r.label: r.weight for r in M.balanced_rows(df, use_smote=False, class_weight="balanced").collect()}
     assert weights[1] == pytest.approx(5.0) and weights[0] == pytest.approx(300 / 540)
     rf = M.random_forest(num_trees=3, max_depth=3)
-    found, model = M.grid_search_balanced(rf, M.param_grid(rf, maxDepth=[1, 2]), df, folds=2)
+    found, model = M.grid_search_balanced(rf, {"maxDepth": [1, 2]}, df, folds=2)
     assert len(found) == 2 and all(0 <= f <= 1 for _, f in found) and model.getMaxDepth() in (1, 2)
 
 
@@ -137,3 +137,16 @@ def test_constant_actuals(spark):
     df = spark.createDataFrame([("good", 2.0, 2.0), ("good", 2.0, 2.0), ("bad", 2.0, 3.0), ("bad", 2.0, 2.0)], "model string, actual double, predicted double")
     got = {r.model: r.r2 for r in regression_metrics(df, ["model"]).collect()}
     assert got == {"good": 1.0, "bad": 0.0}
+
+
+def test_clustered_points_in_many_dimensions_visit_few_chunks(spark):
+    """40 dimensions, 24 clusters: exact neighbours, and a vector visits less than a tenth of the chunks."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 40)) * 4
+    x = (centres[rng.integers(0, 24, 1500)] + rng.normal(size=(1500, 40)) * 0.3).round(6)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, x array<double>")
+    watch = []
+    got = {r.id: [n.id for n in r.neighbours] for r in nearest_neighbours(df, 5, chunk=60, watch=watch).select("id", "neighbours").collect()}
+    assert got == brute(x, list(range(1500)), 5)
+    chunks, vectors, visits = watch[0]
+    assert chunks > 40 and visits / vectors < chunks / 10, watch
