@@ -51,11 +51,14 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2 ``incident_log``: multi-year dated records in five series, one with empty Julys."""
-    o = read_table(spark, sf_dir, "orders")
-    return (o.where(~((F.col("o_orderpriority") == "1-URGENT") & (F.month("o_orderdate") == 7)))
-             .select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("series"),
-                     F.col("o_orderdate").cast("date").alias("date")))
+    """B2 ``incident_log``: multi-year dated records in five series, one for each order."""
+    return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("series"),
+                                                      F.col("o_orderdate").cast("date").alias("date"))
+
+
+def gapped_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``incident_log`` with empty Julys in one series: the gaps that resampling (H1) must fill."""
+    return incident_log(spark, sf_dir).where(~((F.col("series") == "1-URGENT") & (F.month("date") == 7)))
 
 
 def scored_from_incidents(inc: DataFrame) -> DataFrame:

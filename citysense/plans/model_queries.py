@@ -224,11 +224,6 @@ def j5_rf_grid_search(spark, sf):
     return searched(M.random_forest(seed=42), M.RF_GRID, _prepared(spark, sf)[0])
 
 
-@register("j5_gb_grid_search")
-def j5_gb_grid_search(spark, sf):
-    return searched(M.gradient_boosting(seed=42), M.GB_GRID, _prepared(spark, sf)[0])
-
-
 @lru_cache(maxsize=2)
 def _forest_of(application: str, spark, sf):
     return _fit(spark, sf, M.random_forest(seed=42))

@@ -25,8 +25,11 @@ from events)"""
 
 INCIDENT_LOG = """incident_log as (
 select o_orderkey as id, o_orderpriority as series, cast(o_orderdate as date) as date
-from orders
-where not (o_orderpriority = '1-URGENT' and month(o_orderdate) = 7))"""
+from orders)"""
+
+GAPPED_LOG = """gapped_log as (
+select * from incident_log
+where not (series = '1-URGENT' and month(date) = 7))"""
 
 SCORED = """scored as (
 select id, label, score, case when score > cast(0.2 as double) then 1 else 0 end as pred, hour, district
@@ -48,8 +51,8 @@ select 'lag1' as model, series, period_end, actual, p1 as predicted from fc_p wh
 union all
 select 'lag4' as model, series, period_end, actual, p4 as predicted from fc_p where p4 is not null)"""
 
-_DEPS = {"incidents": [], "incident_log": [], "scored": ["incidents"], "forecasts": ["incident_log"]}
-_TEXT = {"incidents": INCIDENTS, "incident_log": INCIDENT_LOG, "scored": SCORED, "forecasts": FORECASTS}
+_DEPS = {"incidents": [], "incident_log": [], "scored": ["incidents"], "forecasts": ["incident_log"], "gapped_log": ["incident_log"]}
+_TEXT = {"incidents": INCIDENTS, "incident_log": INCIDENT_LOG, "scored": SCORED, "forecasts": FORECASTS, "gapped_log": GAPPED_LOG}
 
 
 def with_views(*names: str) -> str:

@@ -39,9 +39,9 @@ def _resample_sql(freq: str) -> str:
 
 for _freq, _name in [("D", "daily"), ("W", "weekly"), ("M", "monthly"), ("Y", "yearly")]:
     def _q(spark, sf, _freq=_freq):
-        return TS.resample_counts(fx.incident_log(spark, sf), _freq, series_cols=["series"])
+        return TS.resample_counts(fx.gapped_log(spark, sf), _freq, series_cols=["series"])
     _q.__doc__ = f"H1: {_name} counts per series, gaps filled with 0."
-    register(f"h1_resample_{_name}", LOG + ", " + _resample_sql(_freq) + " select series, period_end, n from filled")(_q)
+    register(f"h1_resample_{_name}", with_views("gapped_log") + ", " + _resample_sql(_freq).replace("from incident_log", "from gapped_log") + " select series, period_end, n from filled")(_q)
 
 
 def _seq_sql(freq: str, L: int) -> str:

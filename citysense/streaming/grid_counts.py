@@ -37,8 +37,9 @@ def start_cell_counts(spark: SparkSession, landing: str, schema: T.StructType, f
     """Start the incremental count query over files landing in ``landing``.
 
     Without ``output`` the counts (at most ``n_cells`` rows) are the temp view
-    ``query_name`` (tests, notebooks); with it every trigger replaces the
-    Parquet table of that path by the complete counts.
+    ``query_name`` (tests, notebooks); with it every trigger writes the complete
+    counts as a new version below that path, and only then names it as the current
+    one (see :func:`current_counts`), so a reader never meets a missing table.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
@@ -50,7 +51,19 @@ def start_cell_counts(spark: SparkSession, landing: str, schema: T.StructType, f
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", ckpt).queryName(query_name)
     if output is None:
         return w.format("memory").start()
-    return w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(output)).start()
+
+    def publish(batch: DataFrame, number: int) -> None:
+        # a trigger that is run again writes the same version again
+        batch.write.mode("overwrite").parquet(f"{output}/version-{number}")
+        batch.sparkSession.range(1).select(F.lit(number).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{output}/current")
+
+    return w.foreachBatch(publish).start()
+
+
+def current_counts(spark: SparkSession, output: str) -> DataFrame:
+    """The counts of the newest finished trigger of a query with ``output``."""
+    newest = spark.read.schema("version long").parquet(f"{output}/current").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{output}/version-{newest}")
 
 
 def labels_from_counts(spark: SparkSession, counts: DataFrame, grid: Grid = DEFAULT_GRID,
