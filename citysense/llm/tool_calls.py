@@ -8,14 +8,14 @@ shuffled.
 
 *Order.* A call may use the results of other calls of its conversation
 (``after``, an array). Its level is the length of the longest chain of calls that
-must be answered before it. Calls that wait for one call only are chains: every
-round of pointer doubling joins each with what it points at and doubles the
-distance, so a chain of n calls takes log2 n rounds and hangs on its anchor, a
-call that waits for none or for several. Those that wait for several are then
-levelled in waves, each as soon as the anchors of all it waits for are. Calls in
-a circle, or behind one, are never reached and are marked. (conversation, level,
-turn, call_id) is a topological order; no conversation is collected or sorted in
-one task.
+must be answered before it, found by policy iteration: every call points at one
+of the calls it waits for; pointer doubling gives the length of all these chains,
+so a chain of n calls takes log2 n rounds; then each call points at the one with
+the longest chain, until no pointer gets better. Lengths only grow, and few
+iterations are enough for usual graphs, however long. Calls whose chain never
+ends are in a circle, or behind one, and are marked; an unending chain counts as
+the longest, so no circle stays hidden. (conversation, level, turn, call_id) is a
+topological order; no conversation is collected or sorted in one task.
 
 *Arguments* are parsed once into Spark's variant type and checked against the
 schema of the tool: required keys, unknown keys, kinds of values.
@@ -64,41 +64,41 @@ def _several(calls: DataFrame) -> DataFrame:
     return calls.withColumn("after", F.when(F.col("after").isNotNull(), F.array("after")))
 
 
+def _chain_lengths(nodes: DataFrame, points: DataFrame, longest: int) -> DataFrame:
+    """(conv_id, call_id, level): how many pointers (conv_id, call_id, to) lead from each call to one without; null without end."""
+    state = materialize(nodes.join(points, ["conv_id", "call_id"], "left").select(
+        "conv_id", "call_id", F.col("to").alias("next"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("level")))
+    reach = 1
+    while reach <= longest and not state.where("next IS NOT NULL").isEmpty():
+        ahead = state.select("conv_id", F.col("call_id").alias("next"), F.col("next").alias("further"), F.col("level").alias("more"))
+        state = materialize(state.join(ahead, ["conv_id", "next"], "left").select(
+            "conv_id", "call_id", F.col("further").alias("next"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        reach *= 2
+    return state.select("conv_id", "call_id", F.when(F.col("next").isNull(), F.col("level")).alias("level"))
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of distinct calls (conv_id, call_id, after), by the longest chain before each. ``level``
     is null for calls in a circle, or behind one. What ``after`` names and the conversation lacks counts as nothing."""
-    nodes = materialize(_several(calls).select("conv_id", "call_id", "after"))
     node = ["conv_id", "call_id"]
+    nodes = materialize(_several(calls).select(*node, "after"))
     named = nodes.select("conv_id", F.col("call_id").alias("before"))
     waits = materialize(nodes.select(*node, F.explode(F.array_distinct("after")).alias("before")).join(named, ["conv_id", "before"]))
-    one = waits.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("only"))
-    state = materialize(nodes.join(one, node, "left").select(
-        *node, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("call_id")).alias("anchor"),
-        (F.coalesce("n", F.lit(0)) == 1).cast("long").alias("distance"), (F.coalesce("n", F.lit(0)) != 1).alias("there")))
-    most, reach = state.where("n = 1").count(), 1
-    while reach <= most and not state.where("NOT there").isEmpty():
-        ahead = state.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("distance").alias("more"), F.col("there").alias("ends"))
-        moving = state.where("NOT there").join(ahead, ["conv_id", "anchor"]).select(
-            *node, "n", F.col("next").alias("anchor"), (F.col("distance") + F.col("more")).alias("distance"), F.col("ends").alias("there"))
-        state = materialize(state.where("there").unionByName(moving))
-        reach *= 2
-    chained = state.where("there").select(*node, "anchor", "distance")
-    levels = materialize(state.where("n = 0").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("level")))
-    several = state.where("n > 1").select(*node, "n")
-    if not several.isEmpty():
-        # for each such call the anchors it waits for; one behind a circle has none and keeps its call waiting
-        on = waits.join(several, node).select("conv_id", F.col("call_id").alias("waiting"), "n", F.col("before").alias("call_id"))
-        open_ = materialize(on.join(chained, node).select("conv_id", "waiting", "n", "anchor", "distance"))
-        while True:
-            ready = open_.join(levels, ["conv_id", "anchor"]).groupBy("conv_id", "waiting").agg(
-                F.max(F.col("level") + F.col("distance") + 1).alias("level"), F.count(F.lit(1)).alias("known"), F.max("n").alias("n"))
-            wave = materialize(ready.where("known = n").select("conv_id", F.col("waiting").alias("anchor"), "level"))
-            if wave.isEmpty():
-                break
-            levels = materialize(levels.unionByName(wave))
-            open_ = materialize(open_.join(wave.select("conv_id", F.col("anchor").alias("waiting")), ["conv_id", "waiting"], "left_anti"))
-    reached = chained.join(levels, ["conv_id", "anchor"]).select(*node, (F.col("level") + F.col("distance")).alias("level"))
-    return nodes.select(*node).join(reached, node, "left")
+    longest = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    points = waits.groupBy(*node).agg(F.min("before").alias("to"))
+    single = waits.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    while True:
+        levels = _chain_lengths(nodes.select(*node), points, longest)
+        if single:  # no call has a choice
+            return levels
+        levels = materialize(levels)
+        of = levels.select("conv_id", F.col("call_id").alias("before"), F.coalesce("level", F.lit(longest + 1)).alias("ahead"))
+        best = waits.join(of, ["conv_id", "before"]).groupBy(*node).agg(F.max(F.struct("ahead", "before")).alias("best"))
+        now = materialize(points.join(best, node).join(levels, node).select(
+            *node, "to", "best", (F.col("best.ahead") + 1 > F.coalesce("level", F.lit(longest + 2))).alias("better")))
+        if now.where("better").isEmpty():
+            return levels
+        points = now.select(*node, F.when(F.col("better"), F.col("best.before")).otherwise(F.col("to")).alias("to"))
 
 
 def _with_schemas(calls: DataFrame, schemas: DataFrame, max_broadcast: int) -> DataFrame:

@@ -55,7 +55,7 @@ def laid_out(spark, sequences):
     return turns_in_order(spark.createDataFrame(rows, TURNS)), members
 
 
-@pytest.mark.parametrize("segment, shard_rows, n", [(128, 20, 30), (3, 5, 25)])
+@pytest.mark.parametrize("segment, shard_rows, n", [(128, 20, 30), (4, 8, 25)])
 def test_shards_and_segments_give_the_same(spark, segment, shard_rows, n):
     sequences = random_conversations(n, seed=segment)
     got = conversation_trie(*laid_out(spark, sequences), segment=segment, shard_rows=shard_rows).collect()
