@@ -30,9 +30,8 @@ def con():
     return c
 
 
-#: Queries that fit large forests or many models; test_models and test_sampling cover their operators.
-COSTLY = {"j1_random_forest", "j1_random_forest_weighted", "j2_gradient_boosting", "j3_mlp", "j5_grid_search", "j6_batch_scoring",
-          "k2_model_auc", "a9_model_roundtrip"}
+#: Queries that fit forests or networks of their own; test_models, test_trees and test_sampling cover their operators.
+COSTLY = {"j1_random_forest_weighted", "j2_gradient_boosting", "j3_mlp", "j5_grid_search"}
 
 
 @pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - COSTLY))
