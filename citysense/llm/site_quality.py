@@ -2,9 +2,10 @@
 
 1. *Document evidence.* A worker measures the style of each text (an Arrow UDF);
    a logistic regression fitted on labelled documents turns it into log odds.
-2. *Sites.* Every document counts for its path and its host: with its label if it
-   has one, else with its probability. Counts come from two grouped
-   aggregations with map-side partial sums, so a host with a third of all rows
+2. *Sites.* Every document counts for its host and for the paths below it (one
+   column, or the prefixes of a URL level by level): with its label if it
+   has one, else with its probability. Counts come from grouped
+   aggregations with map-side partial sums (one for each level), so a host with a third of all rows
    is one row for each task.
 3. *Shrinkage.* How much hosts differ from the global rate, and paths from their
    host, beyond what chance explains, is estimated by moments over all sites;
@@ -134,42 +135,71 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def url_sites(url: Column, path_levels: int = 2) -> list[Column]:
+    """The host of a URL, and the host with its first one, two, ... path segments; the last one is never part of
+    a site, as it names the document. Null where there is no host."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    parts = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return [host, *[F.when(host.isNotNull(), F.array_join(F.concat(F.array(host), F.slice(folders, 1, k)), "/")) for k in range(1, path_levels + 1)]]
+
+
 def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 path_col: str = "lang", label_col: str = "quality", max_train: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
+                 path_col: str = "lang", label_col: str = "quality", max_train: int = MAX_TRAIN, threshold: float = 0.5,
+                 url_col: str | None = None, path_levels: int = 2) -> DataFrame:
     """One row for each document: the id, ``document_score`` (probability from the text alone),
-    ``host_docs``, ``host_rate`` (the host's posterior), ``path_docs``, ``path_rate`` (the path's, without
-    the document itself), ``score`` (combined) and ``kept`` (score at or above the threshold)."""
-    measured = materialize(docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"),
-                                       style(F.col(text_col)).alias("style")))
+    ``host_docs``, ``host_rate`` (the host's posterior), ``path_docs``, ``path_rate`` (the deepest path's; all without
+    the document itself), ``score`` (combined) and ``kept`` (score at or above the threshold), and with a URL
+    ``rates``, the posteriors of all levels.
+
+    With ``url_col`` host and paths are the prefixes of the URL, ``path_levels`` below the host; otherwise there is
+    one level of paths, ``path_col``."""
+    sites = [F.col(host_col), F.col(path_col)] if url_col is None else url_sites(F.col(url_col), path_levels)
+    names = [f"site{i}" for i in range(len(sites))]
+    measured = materialize(docs.select(F.col(id_col).alias("id"), *[c.alias(n) for c, n in zip(sites, names, strict=True)], style(F.col(text_col)).alias("style")))
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     marked = measured.join(known, "id", "left")
     evidence = fit_evidence(marked.where("label IS NOT NULL"), max_train)
     odds = evidence.log_odds(F.col("style"))
     scored = materialize(marked.select(
-        "id", "host", "path", odds.alias("odds"), F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-odds))).alias("y")))
+        "id", *names, odds.alias("odds"), F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-odds))).alias("y")))
+
+    def totals(rows: DataFrame, level: int, good: Column, n: Column) -> DataFrame:
+        return materialize(rows.groupBy(*names[:level + 1]).agg(F.sum(good).alias(f"good{level}"), F.sum(n).alias(f"docs{level}")))
 
-    paths = materialize(scored.groupBy("host", "path").agg(F.sum("y").alias("path_good"), F.count(F.lit(1)).alias("path_docs")))
-    hosts = materialize(paths.groupBy("host").agg(F.sum("path_good").alias("host_good"), F.sum("path_docs").alias("host_docs")))
-    good, n = hosts.agg(F.sum("host_good"), F.sum("host_docs")).first()
+    # from the deepest level up, each from the one below
+    tables = [totals(scored, len(names) - 1, F.col("y"), F.lit(1).cast("long"))]
+    for level in reversed(range(len(names) - 1)):
+        tables.insert(0, totals(tables[0], level, F.col(f"good{level + 1}"), F.col(f"docs{level + 1}")))
+    good, n = tables[0].agg(F.sum("good0"), F.sum("docs0")).first()
     rate = ((good or 0.0) + 1) / ((n or 0) + 2)
 
-    def moments(sites: DataFrame, good_col: str, n_col: str, parent: Column) -> float:
-        k = F.col(n_col)
-        row = sites.agg(F.sum(k * (F.col(good_col) / k - parent) ** 2), F.count(F.lit(1)), F.sum(k), F.sum(k * k)).first()
-        return _prior_weight(rate, *(float(x or 0) for x in row))
-
-    host_weight = moments(hosts, "host_good", "host_docs", F.lit(rate))
-    named = hosts.withColumnRenamed("host", "of_host")
-    both = materialize(paths.join(named, F.col("host").eqNullSafe(F.col("of_host")))
-                       .select("of_host", F.col("path").alias("of_path"), "path_good", "path_docs", "host_good", "host_docs"))
-    path_weight = moments(both, "path_good", "path_docs", F.col("host_good") / F.col("host_docs"))
-
-    here = F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path"))
-    joined = scored.join(both, here).select("id", "odds", "y", "path_good", "path_docs", "host_good", "host_docs")
-    host_rate = (F.col("host_good") - F.col("y") + rate * host_weight) / (F.col("host_docs") - 1 + host_weight)
-    path_rate = (F.col("path_good") - F.col("y") + F.col("host_rate") * path_weight) / (F.col("path_docs") - 1 + path_weight)
-    score = 1 / (1 + F.exp(-(F.col("odds") + _logit(F.least(F.greatest("path_rate", F.lit(1e-6)), F.lit(1 - 1e-6)))
+    def same(level: int) -> Column:
+        out = F.lit(True)
+        for name in names[:level + 1]:
+            out = out & F.col(name).eqNullSafe(F.col(f"of_{name}"))
+        return out
+
+    # each site with the sums of all sites above it, and each level's weight
+    chain, weights = None, []
+    for level, rows in enumerate(tables):
+        if chain is not None:
+            rows = materialize(rows.join(chain, same(level - 1)).drop(*[f"of_{x}" for x in names[:level]]))
+        parent = F.lit(rate) if not level else F.col(f"good{level - 1}") / F.col(f"docs{level - 1}")
+        k = F.col(f"docs{level}")
+        row = rows.agg(F.sum(k * (F.col(f"good{level}") / k - parent) ** 2), F.count(F.lit(1)), F.sum(k), F.sum(k * k)).first()
+        weights.append(_prior_weight(rate, *(float(x or 0) for x in row)))
+        chain = rows.withColumnsRenamed({x: f"of_{x}" for x in names[:level + 1]})
+
+    out = scored.join(chain, same(len(names) - 1)).select("id", "odds", "y", *[f"{x}{i}" for i in range(len(names)) for x in ("good", "docs")])
+    above = F.lit(rate)
+    for level, weight in enumerate(weights):
+        out = out.withColumn(f"rate{level}", (F.col(f"good{level}") - F.col("y") + above * weight) / (F.col(f"docs{level}") - 1 + weight))
+        above = F.col(f"rate{level}")
+    last = len(names) - 1
+    score = 1 / (1 + F.exp(-(F.col("odds") + _logit(F.least(F.greatest(f"rate{last}", F.lit(1e-6)), F.lit(1 - 1e-6)))
                              - float(np.log(rate / (1 - rate))))))
-    return (joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
-            .select(F.col("id").alias(id_col), (1 / (1 + F.exp(-F.col("odds")))).alias("document_score"), "host_docs", "host_rate",
-                    "path_docs", "path_rate", score.alias("score"), (score >= threshold).alias("kept")))
+    rates = [] if url_col is None else [F.array(*[f"rate{i}" for i in range(len(names))]).alias("rates")]
+    return out.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-F.col("odds")))).alias("document_score"), F.col("docs0").alias("host_docs"),
+                      F.col("rate0").alias("host_rate"), F.col(f"docs{last}").alias("path_docs"), F.col(f"rate{last}").alias("path_rate"),
+                      score.alias("score"), (score >= threshold).alias("kept"), *rates)

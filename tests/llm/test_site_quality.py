@@ -103,3 +103,44 @@ def test_style(spark):
     assert rows[0]["words"] == pytest.approx(math.log(9)) and rows[0]["distinct_words"] == pytest.approx(3 / 8)
     assert rows[0]["repeated_lines"] == 0.5 and rows[0]["doubled_words"] == pytest.approx(2 / 8) and rows[0]["finished_lines"] == 1
     assert rows[0]["capitals"] == pytest.approx(2 / 28) and rows[1] == rows[2]
+
+
+def test_url_prefixes_equal_brute_force(spark):
+    """Hosts and three levels of paths from a URL: posteriors by direct sums over the documents."""
+    rng, docs, labels = random.Random(9), [], []
+    for i in range(200):
+        host, folders = f"h{rng.choice([0, 0, 1, 2])}.org", [rng.choice(["a", "b"]) for _ in range(rng.choice([0, 1, 2, 3, 4]))]
+        url = None if i % 40 == 7 else f"https://{host.upper()}/" + "/".join([*folders, f"page{i}.html"]) + "?q=1"
+        docs.append((i, "some words here.", url))
+        labels.append((i, int(rng.random() < (0.9 if "a" in folders[:1] else 0.3)), 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string, url string")
+    got = {r.doc_id: r for r in site_quality(df, spark.createDataFrame(labels, LABELS), url_col="url", path_levels=3).collect()}
+    assert len(got) == len(docs)
+    y = {i: q for i, q, _ in labels}
+    rate = (sum(y.values()) + 1) / (len(docs) + 2)
+
+    def sites(url):
+        if url is None:
+            return (None,) * 4
+        host, *parts = url[8:].split("?")[0].split("/")
+        return tuple("/".join([host.lower(), *parts[:-1][:k]]) for k in range(4))
+
+    groups, weights = [{} for _ in range(4)], []
+    for i, _, url in docs:
+        own = sites(url)
+        for level in range(4):
+            groups[level].setdefault(own[:level + 1], []).append(i)
+    for level, found in enumerate(groups):
+        raw = lambda k, level=level: rate if not level else sum(y[i] for i in groups[level - 1][k[:-1]]) / len(groups[level - 1][k[:-1]])
+        n = sum(map(len, found.values()))
+        spread = sum(len(g) * (sum(y[i] for i in g) / len(g) - raw(k)) ** 2 for k, g in found.items())
+        room, chance = n - sum(len(g) ** 2 for g in found.values()) / n, rate * (1 - rate)
+        excess = (spread - max(len(found) - 1, 0) * chance) / room if room > 0 else 0
+        weights.append(min(max(chance / excess - 1 if excess > 0 else 1e6, 1), 1e6))
+    for i, _, url in docs:
+        above, own, want = rate, sites(url), []
+        for level in range(4):
+            g = groups[level][own[:level + 1]]
+            above = (sum(y[j] for j in g) - y[i] + above * weights[level]) / (len(g) - 1 + weights[level])
+            want.append(above)
+        assert got[i].rates == pytest.approx(want, abs=1e-9) and got[i].path_rate == pytest.approx(want[-1], abs=1e-9)
