@@ -3,6 +3,8 @@ import re
 from collections import Counter
 from math import log2
 
+import pytest
+
 from citysense.llm.queries import QUERIES
 from citysense.llm.secret_scan import CLASSES, entropy_windows, find_secrets, redact
 
