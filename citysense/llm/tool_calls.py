@@ -81,11 +81,13 @@ def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of distinct calls (conv_id, call_id, after), by the longest chain before each. ``level``
     is null for calls in a circle, or behind one. What ``after`` names and the conversation lacks counts as nothing."""
     node = ["conv_id", "call_id"]
-    nodes = materialize(_several(calls).select(*node, "after"))
-    named = nodes.select("conv_id", F.col("call_id").alias("before"))
+    # where calls have a turn, a pointer starts at the latest of the calls waited for: mostly it has the longest chain
+    turn = F.col("turn") if "turn" in calls.columns else F.lit(0)
+    nodes = materialize(_several(calls).select(*node, "after", turn.alias("turn")))
+    named = nodes.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("of"))
     waits = materialize(nodes.select(*node, F.explode(F.array_distinct("after")).alias("before")).join(named, ["conv_id", "before"]))
     longest = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    points = waits.groupBy(*node).agg(F.min("before").alias("to"))
+    points = waits.groupBy(*node).agg(F.max(F.struct("of", "before")).alias("last")).select(*node, F.col("last.before").alias("to"))
     single = waits.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     while True:
         levels = _chain_lengths(nodes.select(*node), points, longest)
