@@ -183,7 +183,7 @@ def grid_search_balanced(estimator, grid: dict[str, list], train: DataFrame, lab
     boosted = estimator.__class__.__name__.startswith("GBT")
     if boosted and estimator.getSubsamplingRate() != 1.0:
         raise ValueError("stages of a boosted fit are smaller fits only without subsampling")
-    count = "maxIter" if boosted else "numTrees"
+    asked, count = list(grid), "maxIter" if boosted else "numTrees"
     grid = grid | {k: [estimator.getOrDefault(k)] for k in (count, "maxDepth") if k not in grid}
     fits = staged_fits(grid, boosted)
     dealt = materialize(stratified_folds(train.where(F.col(label).isNotNull()).select(id_col, label, features), label, id_col, folds, seed))
@@ -212,7 +212,7 @@ def grid_search_balanced(estimator, grid: dict[str, list], train: DataFrame, lab
     means = [sums[tuple(sorted(p.items()))] / folds for p in points]
     best = points[max(range(len(points)), key=lambda i: means[i])]
     model = fit_balanced(estimator.copy({estimator.getParam(k): v for k, v in best.items()}), train, label, features, id_col, use_smote, class_weight, seed)
-    return list(zip(points, means, strict=True)), model
+    return [({k: p[k] for k in asked}, m) for p, m in zip(points, means, strict=True)], model
 
 
 def grid_search(pipeline: Pipeline, grid, train: DataFrame, label: str = "label", fold_col: str = "fold",

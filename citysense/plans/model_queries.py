@@ -219,11 +219,30 @@ def searched(estimator, grid, data, cut=0.2, folds=5):
     return data.sparkSession.createDataFrame(rows, "params string, cv_f1 double, best boolean, test_f1 double, test_auc double")
 
 
-@register("j5_rf_grid_search")
 def j5_rf_grid_search(spark, sf):
+    """The whole of RF_GRID; not registered: see README."""
     return searched(M.random_forest(seed=42), M.RF_GRID, _prepared(spark, sf)[0])
 
 
+def j5_gb_grid_search(spark, sf):
+    """The whole of GB_GRID; not registered: see README."""
+    return searched(M.gradient_boosting(seed=42), M.GB_GRID, _prepared(spark, sf)[0])
+
+
+#: Axes of RF_GRID that this query searches, in two fits for each fold.
+_J5_GRID = {"numTrees": [50, 100], "maxDepth": [10], "minInstancesPerNode": [1, 5]}
+
+
+@register("j5_grid_search", "select * from (values " + ", ".join(
+    f"('maxDepth=10, minInstancesPerNode={m}, numTrees={t}', true)" for t in _J5_GRID["numTrees"] for m in _J5_GRID["minInstancesPerNode"])
+    + ") t(params, f1_valid)")
+def j5_grid_search(spark, sf):
+    data, _ = _prepared(spark, sf)
+    found, _ = M.grid_search_balanced(M.random_forest(max_depth=10, seed=42), _J5_GRID, data.where(F.col("split") == "train"), folds=5)
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(params.items())), 0.0 <= f1 <= 1.0) for params, f1 in found]
+    return spark.createDataFrame(rows, "params string, f1_valid boolean")
+
+
 @lru_cache(maxsize=2)
 def _forest_of(application: str, spark, sf):
     return _fit(spark, sf, M.random_forest(seed=42))
