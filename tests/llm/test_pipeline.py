@@ -70,7 +70,7 @@ def test_stages_on_odd_tables(spark, tmp_path):
 def test_entry_adds_the_queries():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(entry.oracle_sql()) <= names
     assert importlib.util.find_spec("corpus_pipeline") is not None
