@@ -4,7 +4,14 @@
 works on all documents that its predecessor kept. All but the last return the
 columns of ``documents``. ``run`` writes what a stage returns as Parquet below
 the shared checkpoint folder and gives the next stage that table, so a lost
-executor never sends the work back beyond the last stage.
+executor never sends the work back beyond the last stage. The stage tables lie
+in the session's scratch folder and end with the session.
+
+Defined results: documents with a null or empty text fail the quality rules and
+go; a null id is kept through all stages, and of a component the document of the
+least known id stays; repeated rows are near duplicates of each other, so one
+stays; an empty table gives an empty result with the same columns; extra columns,
+whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
