@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 ODD = [
@@ -45,3 +48,19 @@ def write_tables(spark, folder, texts, benchmark=()):
     spark.createDataFrame([(i, t) for i, t in enumerate(benchmark)], "item_id long, text string").write.mode(
         "overwrite").parquet(f"{folder}/benchmark.parquet")
     return str(folder)
+
+
+#: Blanks of all kinds, and a special token's string as ordinary text.
+BLANKS = ["a  b", "a \n b", " lead", "trail  ", "a\n\nb \t c", "x　y 　z", "it's he'll 12 34!? ¿qué?", "<|endoftext|> a<|endoftext|>", " " * 200_000 + "x"]
+
+
+def library_tokenizer():
+    """The tokenizers library's own encoder, with special-token strings as ordinary text."""
+    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out.encode_special_tokens = True
+    return out
+
+
+def library_ids():
+    tokenizer = library_tokenizer()
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids

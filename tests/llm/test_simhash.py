@@ -39,6 +39,28 @@ def brute_components(values, max_bits=4):
     return label
 
 
+def test_hubs_keep_every_edge(spark):
+    """A hub with most of the edges, chains through it, islands, repeats, loops and nulls."""
+    rng = random.Random(5)
+    edges = [(i, 7) if i % 2 else (7, i) for i in range(3_000)] + [(i, i + 1) for i in range(4_000, 4_060)]
+    edges += [(rng.randrange(5_000, 9_000), rng.randrange(5_000, 9_000)) for _ in range(1_500)] + [(4_030, 2_999), (None, 3)]
+    edges += edges[:50] + [(9_500, 9_500)]
+    found = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.root for r in found} == {x: top(x) for x in root if top(x) != x}
+
+
 def near_texts():
     rng = random.Random(3)
     base = [" ".join(f"w{rng.randrange(400)}" for _ in range(150)) for _ in range(12)]
