@@ -150,3 +150,12 @@ def test_clustered_points_in_many_dimensions_visit_few_chunks(spark):
     assert got == brute(x, list(range(1500)), 5)
     chunks, vectors, visits = watch[0]
     assert chunks > 40 and visits / vectors < chunks / 10, watch
+
+
+def test_few_chunks_are_searched_without_rounds(spark):
+    """Some thousand points cost rounds of jobs, each shipping all vectors to every block; now one job compares them all."""
+    x = np.random.default_rng(4).normal(size=(2_300, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    watch = []
+    got = {r.id: [n.id for n in r.neighbours] for r in nearest_neighbours(df, 3, watch=watch).select("id", "neighbours").collect()}
+    assert watch[0][0] == 1 and got == brute(x, list(range(2_300)), 3)
