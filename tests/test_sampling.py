@@ -159,3 +159,17 @@ def test_few_chunks_are_searched_without_rounds(spark):
     watch = []
     got = {r.id: [n.id for n in r.neighbours] for r in nearest_neighbours(df, 3, watch=watch).select("id", "neighbours").collect()}
     assert watch[0][0] == 1 and got == brute(x, list(range(2_300)), 3)
+
+
+def test_more_vectors_are_compared_tile_by_tile(spark, monkeypatch):
+    """Where bounds prune little, rounds copied each vector to most of the chunks; copies, fractions and far values keep their order."""
+    from citysense.operators import neighbours as N
+    for name, value in (("FEW_CHUNKS", 0), ("LEAST_TILED", 100), ("TILE", 150), ("MOST_DISTANCES", 5_000)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.random((300, 6)), np.round(rng.random((150, 6))), 1e7 + rng.random((60, 6)), np.tile(rng.random((1, 6)), (9, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    watch = []
+    got = {r.id: [n.id for n in r.neighbours] for r in nearest_neighbours(df, 4, chunk=30, watch=watch).select("id", "neighbours").collect()}
+    assert watch[0][0] > 1 and watch[0][2] == watch[0][0] * watch[0][1]
+    assert got == brute(x, list(range(len(x))), 4)
