@@ -173,3 +173,12 @@ def test_more_vectors_are_compared_tile_by_tile(spark, monkeypatch):
     got = {r.id: [n.id for n in r.neighbours] for r in nearest_neighbours(df, 4, chunk=30, watch=watch).select("id", "neighbours").collect()}
     assert watch[0][0] > 1 and watch[0][2] == watch[0][0] * watch[0][1]
     assert got == brute(x, list(range(len(x))), 4)
+
+
+def test_the_gap_of_a_synthetic_row_is_hashed_once(spark):
+    """Its hash stood in the function that is applied to each dimension, and was taken as often."""
+    rows = [(i, int(i % 5 == 0), [float(i % 7), float(i), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, x array<double>").select("id", "label", array_to_vector("x").alias("features"))
+    plan = SM.smote(df)._jdf.queryExecution().optimizedPlan().toString()
+    inner = [part.split(", lambda")[0] for part in plan.split("lambdafunction(")[1:]]
+    assert "zip_with" in plan and "md5" in plan and not any("md5" in part for part in inner)
