@@ -75,7 +75,7 @@ def score(model, df: DataFrame, prob_col: str = "p1", pred_col: str = "pred") ->
 
 
 def score_by_transform(model, df: DataFrame, prob_col: str = "p1", pred_col: str = "pred") -> DataFrame:
-    """J6 by Spark ML's ``transform``; a grown forest is loaded a bounded number of nodes at a time."""
+    """J6 by ``transform``: Spark ML's; the rows of a grown forest of many nodes walk down them by values and thresholds."""
     return _plain(model.transform(df), prob_col, pred_col)
 
 
